@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gleaner.llm import merge_groups, splits
+from gleaner.llm import merge_groups, neighbours, splits
 
 QUERIES = {
     "p3_found": splits.p3_found,
     "p3_splits": splits.p3_splits,
+    "p4_found": neighbours.p4_found,
     "p7_found": merge_groups.p7_found,
 }
 ORACLES = {"p3_found": splits.P3_FOUND_SQL, "p7_found": merge_groups.P7_FOUND_SQL}
