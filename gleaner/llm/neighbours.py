@@ -18,17 +18,20 @@ K, MIN_COS, DIM = 5, 0.82, 64
 FOUND = "kind int, h long, a binary, b binary, ids array<binary>, items array<struct<far:double,id:binary>>"
 
 
-def vectors(features: DataFrame, method: str = "dinov2", dim: int = DIM) -> DataFrame:
+def vectors(features: DataFrame, method: str = "dinov2", dim: int = DIM, as_unit: bool = False) -> DataFrame:
     """(iuid BINARY, vec BINARY, weight, h) of the usable vectors of a method.
 
     Unusable vectors (null, of another length, with null, NaN or infinite
-    numbers, or all zero) and rows without a usable id are left out.
+    numbers, or all zero) and rows without a usable id are left out. `as_unit`
+    scales each to length 1.
     """
     rows = features.filter((F.col("method") == method) & usable("vec", dim)).select(F.unhex(hex_id("iuid")).alias("iuid"), "vec", F.xxhash64("vec").alias("h")).filter("iuid is not null")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim) + np.float32(0)
+            if as_unit:
+                x = unit(x.astype(np.float64)).astype(np.float32)
             raw = x.tobytes()
             vec = pa.array([raw[i : i + 4 * dim] for i in range(0, len(raw), 4 * dim)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("iuid"), vec, pa.array(np.ones(b.num_rows)), b.column("h")], names=["iuid", "vec", "weight", "h"])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from gleaner.llm import merge_groups, neighbours, splits
+from gleaner.llm import clusters, merge_groups, neighbours, splits
 
 QUERIES = {
+    "p2_found": clusters.p2_found,
+    "p2_clusters": clusters.p2_clusters,
     "p3_found": splits.p3_found,
     "p3_splits": splits.p3_splits,
     "p4_found": neighbours.p4_found,

@@ -153,10 +153,10 @@ def route(vectors: DataFrame, cells: Cells, hot: list[int]) -> DataFrame:
     indexed in the cell, `asks` rows search it; parts is the number of cells and
     blocks that a query searches.
     """
-    shared = vectors.sparkSession.sparkContext.broadcast(cells)
+    shared = vectors.sparkSession.sparkContext.broadcast((cells.centres, cells.n_leaders, cells.blocks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells: Cells = shared.value
+        cells = Cells(*shared.value)
         marked = set(hot)
         for batch in batches:
             groups: dict[bytes, list] = {}
