@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import clusters, merge_groups, neighbours, splits
+from gleaner.llm import canonical, clusters, merge_groups, neighbours, splits
 
 QUERIES = {
     "p2_found": clusters.p2_found,
@@ -10,6 +10,7 @@ QUERIES = {
     "p3_found": splits.p3_found,
     "p3_splits": splits.p3_splits,
     "p4_found": neighbours.p4_found,
+    "p6_found": canonical.p6_found,
     "p7_found": merge_groups.p7_found,
 }
 ORACLES = {"p3_found": splits.P3_FOUND_SQL, "p7_found": merge_groups.P7_FOUND_SQL}
