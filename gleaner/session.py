@@ -57,3 +57,14 @@ def drop_scratch(spark: SparkSession, df: DataFrame) -> None:
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(parent)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def wide(spark: SparkSession) -> int:
+    """Partitions for a stage of heavy Python work: two per core, or the shuffle setting, if larger."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in enough partitions to keep every core busy; a scan of few files is dealt out anew, others stay."""
+    few = df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wide(df.sparkSession)) if few else df
