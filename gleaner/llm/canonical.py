@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleaner.llm.text import INVISIBLE, edits, fold
+from gleaner.session import wide
 from gleaner.sources.tables import table
 
 #: Names that say nothing and defer to the aliases, folded and without blanks.
@@ -261,7 +262,7 @@ def map_values(entries: DataFrame, classes: DataFrame, concepts: DataFrame) -> D
     blank = lambda c: F.trim(F.regexp_replace(c, r"[\s ​‌‍﻿]", "")) == ""
     some = F.coalesce(~blank(F.col("name")), F.lit(False)) | F.exists(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.coalesce(~blank(a), F.lit(False)))
     wanted = entries.select("entry_id", "name", "aliases").filter(some & ~F.coalesce(F.col("name").isin(*names), F.lit(False)))
-    pairs = wanted.select("name", "aliases").distinct()
+    pairs = wanted.select("name", "aliases").distinct().repartition(wide(spark))
     mapped = pairs.mapInPandas(run, "name string, aliases array<string>, class_id string")
     return wanted.join(mapped, wanted["name"].eqNullSafe(mapped["name"]) & wanted["aliases"].eqNullSafe(mapped["aliases"])).select("entry_id", "class_id")
 
