@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 SAMPLE_ROWS, LEADER_COS, COARSE, MAX_LEADERS = 65_536, 0.75, 256, 4_096
 TIGHT_COS, MARGIN, PROBES, BLOCK_ROWS = 0.80, 0.06, 8, 60_000
+#: A row outside the leaders searches its PROBES best coarse cells, but none this much worse than its home.
+COARSE_MARGIN = 0.08
 #: Half-width of the error bound in units of the estimator's spread.
 EPSILON = 1.3
 #: A vector is hot when more rows than this, and more than a HOT_SHARE-th of all rows, are copies of
@@ -82,7 +84,8 @@ class Cells:
             home[lo : lo + len(s)] = first
             more += [NONE] * len(s)
             for i in np.flatnonzero(~plain).tolist():
-                own = near[i][np.argsort(-coarse[i, near[i]], kind="stable")] + self.n_leaders
+                own = near[i][np.argsort(-coarse[i, near[i]], kind="stable")]
+                own = own[coarse[i, own] >= coarse[i, own[0]] - COARSE_MARGIN] + self.n_leaders
                 if top[i] >= TIGHT_COS:
                     others = np.flatnonzero(alike[i])
                     extra = others[others != first[i]]
@@ -105,13 +108,12 @@ def fit_cells(vectors: DataFrame, rows: int, seed: int = 11) -> Cells:
     x = unit(np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1)).astype(np.float32)
     x = x[np.lexsort(x.T[:4])]
     x = x[np.random.default_rng(seed).permutation(len(x))]
-    leaders, count, total = np.empty((0, x.shape[1]), np.float32), np.zeros(0, np.int64), np.zeros((0, x.shape[1]))
-    loose: list[np.ndarray] = []
+    leaders, count, total, n = np.empty_like(x), np.zeros(len(x), np.int64), np.zeros(x.shape), 0
     for lo in range(0, len(x), 512):
         part = x[lo : lo + 512]
         at = np.full(len(part), -1)
-        if len(leaders):
-            s = part @ leaders.T
+        if n:
+            s = part @ leaders[:n].T
             at = np.where(s.max(1) >= LEADER_COS, s.argmax(1), -1)
         rest = np.flatnonzero(at < 0)
         if len(rest):
@@ -120,11 +122,13 @@ def fit_cells(vectors: DataFrame, rows: int, seed: int = 11) -> Cells:
             for i in range(len(rest)):
                 if free[i]:
                     hit = near[i] & free
-                    at[rest[hit]] = len(leaders)
+                    at[rest[hit]] = n
                     free &= ~hit
-                    leaders, count, total = np.vstack([leaders, part[rest[i]]]), np.append(count, 0), np.vstack([total, np.zeros(x.shape[1])])
+                    leaders[n] = part[rest[i]]
+                    n += 1
         np.add.at(count, at, 1)
         np.add.at(total, at, part)
+    leaders, count, total = leaders[:n], count[:n], total[:n]
     order = np.argsort(-count, kind="stable")
     kept = order[(count[order] >= 2)][:MAX_LEADERS]
     tight = unit(total[kept]).astype(np.float32)
