@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import canonical, clusters, leaks, merge_groups, mixing, neighbours, splits, subset
+from gleaner.llm import canonical, clusters, leaks, merge_groups, mixing, neighbours, splits, subset, truncation
 
 QUERIES = {
     "p2_found": clusters.p2_found,
@@ -18,5 +18,7 @@ QUERIES = {
     "p9_found": mixing.p9_found,
     "p9_mix": mixing.p9_mix,
     "p9_shares": mixing.p9_shares,
+    "p10_found": truncation.p10_found,
+    "p10_sources": truncation.p10_sources,
 }
 ORACLES = {"p3_found": splits.P3_FOUND_SQL, "p7_found": merge_groups.P7_FOUND_SQL}
