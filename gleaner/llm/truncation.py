@@ -15,14 +15,18 @@ from gleaner.sources.tables import table
 #: Lengths of the contexts that end a text, shortest first.
 ORDERS = (1, 2, 3, 5, 8, 12, 17, 24)
 #: Weight of a shorter context's estimate, in occurrences, and the log-odds below which an end is a cut.
-PRIOR, CUT = 2.0, -2.0
+PRIOR, CUT = 2.0, -3.0
 #: Contexts at more ends than this, and than a HOT_SHARE-th of all, are joined by broadcast.
 HOT_ENDS, HOT_SHARE = 10_000, 2_000
 FILTER_BITS = 1 << 24
+#: Longest closing words, in characters.
+CLOSING = 24
+_SENTENCES = re.compile(r"[.!?][\"'”’»)]*\s+")
 _B = 0x9E3779B97F4A7C15 | 1
 _BINV = pow(_B, -1, 1 << 64)
 #: Marks that stand where a text was cut.
-_MARK = re.compile(r"(?:\s*(?:\.{2,}|…|[\[({<]\s*(?:\.{2,}|…|truncated|cut|more|continued|continues|snip|clipped|shortened)[^\])}>\n]{0,20}[\])}>]|-->|>>+|\bread more\b|\(cont\.?\)))+\s*$", re.I)
+_MARK = re.compile(r"(?:\s*(?:\.{2,}|…|[\[({<]\s*(?:\.{2,}|…|truncated|cut|more|continued|continues|snip|clipped|shortened)[^\])}>\n]{0,20}[\])}>]|-->|>>+|(?<=[^\W\d_])[-\u2010\u2011]|\ufffd|\bread more\b|\(cont\.?\)))+\s*$", re.I)
+_BROKEN, _TAGS = re.compile(r"(?<=[^\W\d_])-[^\S\n]*\n\s*(?=[^\W\d_])"), re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
 _DIGITS, _BLANKS = re.compile(r"\d+"), re.compile(r"[^\S\n]+")
 _LOW_QUOTES = re.compile(r"„([^“”\n]*)[“”]")
 _OPEN, _CLOSE = "([{“«", ")]}”»"
@@ -30,10 +34,22 @@ _OPEN, _CLOSE = "([{“«", ")]}”»"
 
 def plain(text: str) -> str:
     """Lower-case text with numbers as 0, single blanks, and lines without their trailing blanks and cut marks."""
+    text = _BROKEN.sub("", _TAGS.sub("", text))
     lines = (_MARK.sub("", _BLANKS.sub(" ", line)).rstrip() for line in _DIGITS.sub("0", text.lower()).split("\n"))
     return _LOW_QUOTES.sub(r"“\1”", "\n".join(line for line in lines if line))
 
 
+def settles(text: str) -> bool:
+    """True if a final end like this one may stand for ends at large.
+
+    The last line is no prose, or it ends on a sign, or what follows its last
+    sentence is short, as in closing words. A text that stops within a long
+    sentence says nothing about where texts end.
+    """
+    line = text.rsplit("\n", 1)[-1]
+    return shape_of(line) > 0 or not line[-1].isalnum() or len(_SENTENCES.split(line)[-1]) <= CLOSING
+
+
 def shape_of(line: str) -> int:
     """What kind of line this is, from its start: prose, list or table, label, link, log."""
     if not line or line[0].isalpha():
@@ -106,13 +122,14 @@ def _chunks(texts: list[str], most: int = 300_000) -> Iterator[Codes]:
 
 
 def tails(texts: DataFrame) -> DataFrame:
-    """(copy, level, context) of the end of each of texts(copy, text), one row per level; level 0 is the line's state alone."""
+    """(copy, level, context, settled) of the end of each of texts(copy, text), one row per level; level 0 is the line's state alone."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             plains = [plain(t) for t in pdf["text"]]
             keep = [i for i, t in enumerate(plains) if t]
             copies, done = pdf["copy"].to_numpy()[keep], 0
+            settled = np.array([settles(plains[i]) for i in keep], dtype=bool)
             for codes in _chunks([plains[i] for i in keep]):
                 last = codes.finals()
                 row_of = np.full(codes.n, -1)
@@ -120,9 +137,9 @@ def tails(texts: DataFrame) -> DataFrame:
                 done += len(last)
                 for level, order in enumerate((0, *ORDERS)):
                     where, hashes = codes.at(last, order)
-                    yield pd.DataFrame({"copy": copies[row_of[where]], "level": level, "context": hashes})
+                    yield pd.DataFrame({"copy": copies[row_of[where]], "level": level, "context": hashes, "settled": settled[row_of[where]]})
 
-    return spread(texts).mapInPandas(run, "copy long, level int, context long")
+    return spread(texts).mapInPandas(run, "copy long, level int, context long, settled boolean")
 
 
 def _filter(ends: DataFrame) -> np.ndarray:
@@ -183,19 +200,21 @@ def end_odds(documents: DataFrame) -> DataFrame:
 
     The model reads backwards from the end: contexts of growing length, each
     blended with the shorter one's estimate as PRIOR occurrences. A text's own
-    end is left out of its counts, and copies of a text count as one.
+    end is left out of its counts, as are final ends within a long sentence, and
+    copies of a text count as one.
     """
     texts = documents.filter("text is not null").select(F.xxhash64("text").alias("copy"), "text")
     ends = materialize(tails(texts).distinct(), "tails")
     inner = count_contexts(texts, _filter(ends))
-    final = ends.groupBy("context").agg(F.count("*").alias("n_final"))
+    final = ends.groupBy("context").agg(F.count("*").alias("n_ends"), F.sum(F.col("settled").cast("long")).alias("n_final"))
     known = materialize(final.join(inner, "context", "left").na.fill(0), "contexts")
     rows = ends.count()
-    hot = known.filter(F.col("n_final") > max(HOT_ENDS, rows // HOT_SHARE))
+    hot = known.filter(F.col("n_ends") > max(HOT_ENDS, rows // HOT_SHARE))
     few = [r["context"] for r in hot.select("context").collect()]  # fewer than HOT_SHARE
     is_hot = F.col("context").isin(few) if few else F.lit(False)
     joined = ends.filter(~is_hot).join(known, "context").unionByName(ends.filter(is_hot).join(F.broadcast(hot), "context"))
-    steps = F.array_sort(F.collect_list(F.struct("level", (F.col("n_final") - 1 + F.col("n_end")).alias("e"), (F.col("n_final") - 1 + F.col("n_end") + F.col("n_go")).alias("n"))))
+    others = F.col("n_final") - F.col("settled").cast("long") + F.col("n_end")
+    steps = F.array_sort(F.collect_list(F.struct("level", others.alias("e"), (others + F.col("n_go")).alias("n"))))
     p = F.aggregate(steps, F.lit(0.05), lambda p, s: (s["e"] + F.lit(PRIOR) * p) / (s["n"] + F.lit(PRIOR)))
     odds = joined.groupBy("copy").agg(p.alias("p")).select("copy", F.least(F.greatest("p", F.lit(1e-9)), F.lit(1 - 1e-9)).alias("p"))
     return odds.select("copy", F.log(F.col("p") / (1 - F.col("p"))).alias("log_odds"))
