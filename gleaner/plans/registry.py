@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from gleaner.operators import activity_sessions
+from gleaner.plans import curation
 
-QUERIES = {
-    "p1_found": activity_sessions.p1_found,
-    "p1_sessions": activity_sessions.p1_sessions,
-}
-ORACLES = {"p1_found": activity_sessions.P1_FOUND_SQL}
+QUERIES = {"p1_found": activity_sessions.p1_found, "p1_sessions": activity_sessions.p1_sessions} | curation.QUERIES
+ORACLES = {"p1_found": activity_sessions.P1_FOUND_SQL} | curation.ORACLES
