@@ -16,15 +16,40 @@ from gleaner.sources.tables import table
 GRAPH_K, MIN_SIZE = 6, 4
 
 
-def _best(n: int, i: np.ndarray, j: np.ndarray, sim: np.ndarray) -> np.ndarray:
-    """Each node's most similar neighbour over links i-j, ties to the smaller; -1 without one."""
+#: A pair also merges when it is the best of one side and at most this share below the best of the other.
+TOLERANCE = 0.05
+
+
+def _best(n: int, i: np.ndarray, j: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node's most similar neighbour over links i-j, ties to the smaller, and its similarity; -1 without one."""
     a, b, s = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([sim, sim])
     order = np.lexsort((b, -s, a))
-    a, b = a[order], b[order]
-    out = np.full(n, -1)
-    first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else []
-    out[a[first]] = b[first]
-    return out
+    a, b, s = a[order], b[order], s[order]
+    out, top = np.full(n, -1), np.full(n, -1.0)
+    first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
+    out[a[first]], top[a[first]] = b[first], s[first]
+    return out, top
+
+
+def _stars(best: np.ndarray, top: np.ndarray, fixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, centre) of the merges of one round.
+
+    A node asks its best neighbour if it is that one's best too, within
+    TOLERANCE; whoever is asked more (the smaller, if equally) takes the other in.
+    """
+    node = np.flatnonzero((best >= 0) & ~fixed)
+    goal = best[node]
+    ok = ~fixed[goal] & (top[node] >= (1 - TOLERANCE) * top[goal])
+    node, goal = node[ok], goal[ok]
+    asked = np.bincount(goal, minlength=len(best))
+    wants = np.full(len(best), -1)
+    wants[node] = goal
+    mine, other = asked[goal], asked[wants[goal]]
+    centre = (wants[goal] < 0) | (mine > other) | ((mine == other) & (goal < wants[goal]))
+    stays = np.zeros(len(best), bool)
+    stays[goal[centre]] = True
+    go = stays[goal] & ~stays[node]
+    return node[go], goal[go]
 
 
 def link_rounds(means: np.ndarray, weight: np.ndarray, fixed: np.ndarray, floor: float, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -32,8 +57,9 @@ def link_rounds(means: np.ndarray, weight: np.ndarray, fixed: np.ndarray, floor:
 
     A cluster is the weighted mean of its unit vectors, so the inner product of
     two means is their average linkage. Candidates form a sparse graph of each
-    cluster's best GRAPH_K neighbours; every round merges all mutual best pairs,
-    and the graph is made anew from the means when it holds no more of them.
+    cluster's best GRAPH_K neighbours; every round merges all mutual best pairs
+    (within TOLERANCE, else a central cluster would take in one row a round), and
+    the graph is made anew from the means when it holds no more of them.
     `fixed` rows may be a row's best neighbour but never merge.
     """
     n = len(means)
@@ -50,17 +76,17 @@ def link_rounds(means: np.ndarray, weight: np.ndarray, fixed: np.ndarray, floor:
             sim = np.einsum("ij,ij->i", means[i], means[j])
             ok = sim >= floor
             i, j, sim = i[ok], j[ok], sim[ok]
-            best = _best(n, i, j, sim)
-            low = np.flatnonzero(best > np.arange(n))
-            low = low[(best[best[low]] == low) & ~fixed[low] & ~fixed[best[low]]]
+            low, into = _stars(*_best(n, i, j, sim), fixed)
             if not len(low):
                 break
-            high, merged = best[low], True
-            w = weight[low] + weight[high]
-            means[low] = (means[low] * weight[low, None] + means[high] * weight[high, None]) / w[:, None]
-            weight[low] = w
+            merged = True
+            taken = np.unique(into)
+            means[taken] *= weight[taken, None]
+            np.add.at(means, into, means[low] * weight[low, None])
+            np.add.at(weight, into, weight[low])
+            means[taken] /= weight[taken, None]
             to = np.arange(n)
-            to[high] = low
+            to[low] = into
             of, i, j = to[of], to[i], to[j]
             i, j = np.minimum(i, j), np.maximum(i, j)
             pair = np.unique(np.stack([i, j], 1)[i != j], axis=0)
@@ -93,6 +119,8 @@ def _link(floor: float):
         means = np.frombuffer(b"".join(order), np.float32).reshape(len(order), -1).astype(np.float64)
         weight = np.array([rows[v][1] for v in order])
         of, centre = link_rounds(means, weight, fixed, floor, turn)
+        head = np.full(len(order), len(order))
+        np.minimum.at(head, of, np.arange(len(order)))
         total = np.zeros(len(order))
         np.add.at(total, of, weight)
         out: list[tuple] = []
@@ -100,7 +128,7 @@ def _link(floor: float):
             if fixed[k]:
                 continue
             _, _, h, ids = rows[vec]
-            name = least[order[of[k]]]
+            name = least[order[head[of[k]]]]
             out += [(0, i, name, None, None, None) for i in ids]
             if of[k] == k:
                 out.append((1, None, name, centre[k].astype(np.float32).tobytes(), float(total[k]), None))

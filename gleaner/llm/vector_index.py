@@ -228,10 +228,10 @@ def per_cell(routed: DataFrame, run: Callable[[dict], Iterator[pa.RecordBatch]],
 
 
 def search(q: np.ndarray, x: np.ndarray, k: int, min_cos: float, turn: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, inner product) of the rows of x that may be among each query's k best with at least min_cos.
+    """(query, row, inner product) of each query's k best rows of x with at least min_cos, and of those equal to the k-th.
 
     Estimates come from one-bit codes of x; everything within the error bound of
-    a query's k-th best is returned with its exact inner product.
+    a query's k-th best is reranked with its exact inner product.
     """
     n, dim = x.shape
     centre = x.mean(0)
@@ -263,6 +263,11 @@ def search(q: np.ndarray, x: np.ndarray, k: int, min_cos: float, turn: np.ndarra
         exact = np.empty(len(qi))
         for a in range(0, len(qi), 100_000):
             exact[a : a + 100_000] = np.einsum("ij,ij->i", q[lo + qi[a : a + 100_000]], x[xi[a : a + 100_000]])
-        good = exact >= min_cos - 1e-9
+        order = np.lexsort((-exact, qi))
+        qi, xi, exact = qi[order], xi[order], exact[order]
+        starts = np.searchsorted(qi, np.arange(len(est)))
+        last = np.minimum(starts + k, np.r_[starts[1:], len(qi)]) - 1
+        kth = exact[np.maximum(last, 0)] if len(exact) else np.zeros(len(est))
+        good = (exact >= min_cos - 1e-9) & (exact >= kth[qi] - 2e-9)
         found.append((qi[good] + lo, xi[good], exact[good]))
     return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
