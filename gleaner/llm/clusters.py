@@ -8,12 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from gleaner.llm.neighbours import DIM, MIN_COS, vectors
+from gleaner.llm.neighbours import DIM, MIN_COS, hashes, vectors
 from gleaner.llm.vector_index import census, fit_cells, per_cell, rotation, route, search, unit
 from gleaner.session import materialize
 from gleaner.sources.tables import table
 
-GRAPH_K, MIN_SIZE = 6, 4
+GRAPH_K, MIN_SIZE, LATER_LEADERS = 6, 4, 16_384
 
 
 #: A pair also merges when it is the best of one side and at most this share below the best of the other.
@@ -140,8 +140,10 @@ def _link(floor: float):
     return run
 
 
-def _level(nodes: DataFrame, rows: int, hot: list[int], floor: float) -> DataFrame:
-    return materialize(per_cell(route(nodes, fit_cells(nodes, rows), hot), _link(floor), LINKED), "clusters")
+def _level(nodes: DataFrame, rows: int, hot: list[int], floor: float, level: int) -> DataFrame:
+    """One pass. From the second on, cells form around clusters of several rows, however small; lone rows come to them."""
+    cells = fit_cells(nodes, rows) if not level else fit_cells(nodes.filter("weight > 1"), rows, seed=11 + level, least=1, most=LATER_LEADERS)
+    return materialize(per_cell(route(nodes, cells, hot, coarse_probes=False), _link(floor), LINKED), "clusters")
 
 
 def similarity_clusters(features: DataFrame, floor: float = MIN_COS) -> tuple[DataFrame, DataFrame]:
@@ -154,18 +156,19 @@ def similarity_clusters(features: DataFrame, floor: float = MIN_COS) -> tuple[Da
     vectors goes to its smallest cluster. An empty table gives two empty results.
     """
     packed = vectors(features, as_unit=True)
-    rows, hot = census(packed.select("h"))
-    first = _level(packed, rows, hot, floor)
+    rows, hot = census(hashes(features))
+    first = _level(packed, rows, hot, floor, 0)
     assign = first.filter("kind = 0").select("iuid", "cluster")
     if hot:
         names = first.filter("kind = 2").groupBy("h").agg(F.min("cluster").alias("cluster"))
         assign = assign.unionByName(packed.filter(F.col("h").isin(hot)).join(F.broadcast(names), "h").select("iuid", "cluster"))
     assign = assign.groupBy("iuid").agg(F.min("cluster").alias("cluster"))
     means = first.filter("kind = 1")
-    count = means.count()
+    count, number = means.count(), 0
     while count > 1:
+        number += 1
         nodes = means.select(F.col("cluster").alias("iuid"), "vec", "weight", F.lit(None).cast("long").alias("h"))
-        level = _level(nodes, count, [], floor)
+        level = _level(nodes, count, [], floor, number)
         means = level.filter("kind = 1")
         after = means.count()
         if after == count:

@@ -25,11 +25,14 @@ def vectors(features: DataFrame, method: str = "dinov2", dim: int = DIM, as_unit
     numbers, or all zero) and rows without a usable id are left out. `as_unit`
     scales each to length 1.
     """
-    rows = features.filter((F.col("method") == method) & usable("vec", dim)).select(F.unhex(hex_id("iuid")).alias("iuid"), "vec", F.xxhash64("vec").alias("h")).filter("iuid is not null")
+    rows = features.filter((F.col("method") == method) & (F.size("vec") == dim)).select(F.unhex(hex_id("iuid")).alias("iuid"), "vec", F.xxhash64("vec").alias("h")).filter("iuid is not null")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim) + np.float32(0)
+            good = usable(x)
+            if not good.all():
+                x, b = x[good], b.filter(pa.array(good))
             if as_unit:
                 x = unit(x.astype(np.float64)).astype(np.float32)
             raw = x.tobytes()
@@ -39,6 +42,11 @@ def vectors(features: DataFrame, method: str = "dinov2", dim: int = DIM, as_unit
     return rows.mapInArrow(pack, "iuid binary, vec binary, weight double, h long")
 
 
+def hashes(features: DataFrame, method: str = "dinov2", dim: int = DIM) -> DataFrame:
+    """The hash h of every vector of the method and length, usable or not, for a census without Python."""
+    return features.filter((F.col("method") == method) & (F.size("vec") == dim)).select(F.xxhash64("vec").alias("h"))
+
+
 def _nearest(k: int, min_cos: float):
     turn = rotation(DIM)
 
@@ -100,7 +108,7 @@ def nearest_pairs(features: DataFrame, k: int = K, min_cos: float = MIN_COS) ->
     neighbour by any of them, and never of itself. An empty table gives no pairs.
     """
     packed = vectors(features)
-    rows, hot = census(packed.select("h"))
+    rows, hot = census(hashes(features))
     found = materialize(per_cell(route(packed, fit_cells(packed, rows), hot), _nearest(k, min_cos), FOUND), "neighbours")
     merged = F.array_sort(F.flatten(F.collect_list("items"))).alias("items")
     lists = found.filter("kind = 2").groupBy("a").agg(F.first("ids").alias("ids"), merged).select("items", F.explode("ids").alias("me"))

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 SAMPLE_ROWS, LEADER_COS, COARSE, MAX_LEADERS = 65_536, 0.75, 256, 4_096
 TIGHT_COS, MARGIN, PROBES, BLOCK_ROWS = 0.80, 0.06, 8, 60_000
@@ -34,6 +34,8 @@ EPSILON = 1.3
 #: other copies take their result from a broadcast of one row per hot vector.
 HOT_ROWS, HOT_SHARE, KEPT = 4_096, 2_000, 8
 NONE = np.zeros(0, np.int64)
+#: Cells of at most this many rows are compared directly.
+SMALL = 192
 
 
 def census(vectors: DataFrame) -> tuple[int, list[int]]:
@@ -45,11 +47,9 @@ def census(vectors: DataFrame) -> tuple[int, list[int]]:
     return rows, [r["h"] for r in counts.filter((F.col("count") > HOT_ROWS) & (F.col("count") > rows / HOT_SHARE)).select("h").collect()]
 
 
-def usable(vec: Column | str, dim: int) -> Column:
-    """True where vec has `dim` finite numbers, not all zero; false for null."""
-    v = F.col(vec) if isinstance(vec, str) else vec
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.coalesce((F.size(v) == dim) & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
+def usable(x: np.ndarray) -> np.ndarray:
+    """True for the rows of finite numbers that aren't all zero; nulls arrive as NaN."""
+    return np.isfinite(x).all(1) & (x != 0).any(1)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -69,14 +69,14 @@ class Cells:
     n_leaders: int
     blocks: np.ndarray
 
-    def route(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Home cell and further cells to search, of unit rows x."""
+    def route(self, x: np.ndarray, coarse_probes: bool = True) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Home cell and further cells to search, of unit rows x; coarse cells only as homes without coarse_probes."""
         home, more = np.empty(len(x), np.int64), []
         for lo in range(0, len(x), 1024):
             s = x[lo : lo + 1024] @ self.centres.T
             lead, coarse = s[:, : self.n_leaders], s[:, self.n_leaders :]
             top = lead.max(1) if self.n_leaders else np.full(len(s), -1.0)
-            far = min(PROBES, coarse.shape[1])
+            far = min(PROBES if coarse_probes else 1, coarse.shape[1])
             near = np.argpartition(-coarse, far - 1, axis=1)[:, :far]
             first = lead.argmax(1) if self.n_leaders else np.zeros(len(s), np.int64)
             alike = lead >= (top - MARGIN)[:, None]
@@ -89,7 +89,7 @@ class Cells:
                 if top[i] >= TIGHT_COS:
                     others = np.flatnonzero(alike[i])
                     extra = others[others != first[i]]
-                    if top[i] < TIGHT_COS + MARGIN:
+                    if coarse_probes and top[i] < TIGHT_COS + MARGIN:
                         extra = np.concatenate([extra, own[:2]])
                 else:
                     home[lo + i] = own[0]
@@ -98,8 +98,11 @@ class Cells:
         return home, more
 
 
-def fit_cells(vectors: DataFrame, rows: int, seed: int = 11) -> Cells:
-    """Cells for `rows` rows of vectors(iuid, vec BINARY of floats), from a sample of at most ~SAMPLE_ROWS."""
+def fit_cells(vectors: DataFrame, rows: int, seed: int = 11, least: int = 2, most: int = MAX_LEADERS) -> Cells:
+    """Cells for `rows` rows of vectors(iuid, vec BINARY of floats), from a sample of at most ~SAMPLE_ROWS.
+
+    At most `most` leaders that stand for `least` sample rows or more become cells.
+    """
     share = min(1.0, SAMPLE_ROWS / max(rows, 1))
     picked = vectors if share == 1.0 else vectors.filter(F.pmod(F.xxhash64(F.lit(seed), "iuid"), F.lit(1 << 30)) < int(share * (1 << 30)))
     raw = picked.select("vec").toArrow().column("vec").to_pylist()
@@ -130,11 +133,12 @@ def fit_cells(vectors: DataFrame, rows: int, seed: int = 11) -> Cells:
         np.add.at(total, at, part)
     leaders, count, total = leaders[:n], count[:n], total[:n]
     order = np.argsort(-count, kind="stable")
-    kept = order[(count[order] >= 2)][:MAX_LEADERS]
+    kept = order[count[order] >= least][:most]
     tight = unit(total[kept]).astype(np.float32)
     loose = leaders[np.setdiff1d(order, kept)]
     if len(loose) < COARSE:
         loose = np.vstack([loose, x[: COARSE - len(loose)]])
+    loose = loose[: 64 * COARSE]
     centres = loose[:COARSE].copy()
     for _ in range(3):
         to = (loose @ centres.T).argmax(1)
@@ -149,7 +153,7 @@ def fit_cells(vectors: DataFrame, rows: int, seed: int = 11) -> Cells:
 ROUTED = "cell long, ib int, qb int, home boolean, asks boolean, parts int, vec binary, weight double, h long, ids array<binary>"
 
 
-def route(vectors: DataFrame, cells: Cells, hot: list[int]) -> DataFrame:
+def route(vectors: DataFrame, cells: Cells, hot: list[int], coarse_probes: bool = True) -> DataFrame:
     """Rows (cell, ib, qb, home, asks, parts, vec, weight, h, ids) of vectors(iuid BINARY, vec BINARY, weight, h).
 
     Equal vectors of a batch travel once, with all their ids (KEPT of them for a hot
@@ -171,7 +175,7 @@ def route(vectors: DataFrame, cells: Cells, hot: list[int]) -> DataFrame:
             if not groups:
                 continue
             x = unit(np.frombuffer(b"".join(groups), np.float32).reshape(len(groups), -1)).astype(np.float32)
-            home, more = cells.route(x)
+            home, more = cells.route(x, coarse_probes)
             out: list[tuple] = []
             for (vec, (weight, ids, hash_)), h, extra in zip(groups.items(), home.tolist(), more):
                 ids = ids if hash_ is None else sorted(set(ids))[:KEPT]
@@ -227,6 +231,16 @@ def per_cell(routed: DataFrame, run: Callable[[dict], Iterator[pa.RecordBatch]],
     return routed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(walk, schema)
 
 
+def _compare(q: np.ndarray, x: np.ndarray, k: int, min_cos: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """search() without codes, for a cell so small that estimates cost more than they spare."""
+    exact = q @ x.T
+    floor = np.full(len(q), min_cos - 1e-9)
+    if len(x) > k:
+        floor = np.maximum(floor, np.partition(exact, len(x) - k, axis=1)[:, len(x) - k] - 2e-9)
+    qi, xi = np.nonzero(exact >= floor[:, None])
+    return qi, xi, exact[qi, xi]
+
+
 def search(q: np.ndarray, x: np.ndarray, k: int, min_cos: float, turn: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, inner product) of each query's k best rows of x with at least min_cos, and of those equal to the k-th.
 
@@ -234,6 +248,8 @@ def search(q: np.ndarray, x: np.ndarray, k: int, min_cos: float, turn: np.ndarra
     a query's k-th best is reranked with its exact inner product.
     """
     n, dim = x.shape
+    if n <= SMALL:
+        return _compare(q, x, k, min_cos)
     centre = x.mean(0)
     off = (x - centre) @ turn.T
     length = np.sqrt(np.einsum("ij,ij->i", off, off))
