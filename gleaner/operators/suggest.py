@@ -100,7 +100,7 @@ def uncertainty(probabilities: DataFrame) -> DataFrame:
     row = row.select("iuid", q.alias("q"))
     entropy = F.when(F.size("q") > 1, F.aggregate("q", F.lit(0.0), lambda a, x: a - x * F.log(x + 1e-12)) / F.log(F.size("q").cast("double"))).otherwise(0.0)
     second = F.coalesce(F.try_element_at("q", F.lit(2)), F.lit(0.0))
-    return row.select("iuid", F.round(entropy, 6).alias("entropy"), F.round(1 - (F.element_at("q", 1) - second), 6).alias("margin"), F.round(1 - F.element_at("q", 1), 6).alias("least_conf"))
+    return row.select("iuid", (F.round(entropy, 6) + 0.0).alias("entropy"), F.round(1 - (F.element_at("q", 1) - second), 6).alias("margin"), F.round(1 - F.element_at("q", 1), 6).alias("least_conf"))
 
 
 def assign_above(probabilities: DataFrame, least: float) -> DataFrame:

@@ -79,7 +79,7 @@ on_vectors("rank_for_class", f"{BANK} SELECT a AS q, round(max(cos), 6) AS score
 on_vectors("knn_conf", f"{CONF} SELECT iuid, label, round(p, 6) AS p FROM conf", lambda d: confidences(d).withColumn("p", F.round("p", 6)))
 on_vectors("active_entropy", f"""{CONF}, t AS (SELECT iuid, sum(p) AS s, count(*) AS c FROM conf GROUP BY 1), q AS (SELECT iuid, c, CASE WHEN s <= 1e-12 THEN 1.0 / c ELSE p / s END AS q FROM conf JOIN t USING (iuid)),
 o AS (SELECT iuid, any_value(c) AS c, -sum(q * ln(q + 1e-12)) / ln(any_value(c)) AS e, list_sort(list(q), 'DESC') AS l FROM q GROUP BY 1)
-SELECT iuid, round(e, 6) AS entropy, round(1 - (l[1] - l[2]), 6) AS margin, round(1 - l[1], 6) AS least_conf FROM o""", lambda d: suggest.uncertainty(confidences(d)))
+SELECT iuid, round(e, 6) + 0.0 AS entropy, round(1 - (l[1] - l[2]), 6) AS margin, round(1 - l[1], 6) AS least_conf FROM o""", lambda d: suggest.uncertainty(confidences(d)))
 on_vectors("threshold_assign", f"{CONF}, t AS (SELECT iuid, label, round(p, 6) AS p FROM conf QUALIFY row_number() OVER (PARTITION BY iuid ORDER BY conf.p DESC, label) = 1) SELECT * FROM t WHERE p >= 0.3", lambda d: suggest.assign_above(confidences(d), 0.3))
 on_vectors("rejections", f"{CONF}, t AS (SELECT iuid, round(max(p), 6) AS p FROM conf GROUP BY 1) SELECT * FROM t WHERE p < 0.35", lambda d: suggest.rejections(confidences(d), 0.35))
 on_vectors("finch_level0", """, e AS (SELECT a, b FROM sims QUALIFY row_number() OVER (PARTITION BY a ORDER BY cos DESC, b) = 1), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
