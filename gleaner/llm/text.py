@@ -19,6 +19,7 @@ INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\u18
 _INLINE = re.compile(r"</?(?:b|i|u|em|strong|span|mark|code|small|sub|sup|font|a)(?:\s[^<>]*)?/?>", re.I)
 _TAG = re.compile(r"<[/!]?[a-zA-Z][^<>]{0,300}>")
 _HYPHENATED = re.compile(r"(?<=[^\W\d_])[-\u2010\u2011]\s*\r?\n[\s>|*]*(?=[^\W\d_])")
+_EMPHASIS = re.compile(r"[*`~]+")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -30,12 +31,14 @@ def fold(text: str) -> str:
 
 
 def unmark(text: str) -> str:
-    """Text without tags, entities and the hyphens of line breaks."""
+    """Text without tags, entities, signs of emphasis and the hyphens of line breaks."""
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
         text = _TAG.sub(" ", _INLINE.sub("", text))
-    return _HYPHENATED.sub("", text) if "\n" in text else text
+    if "\n" in text:
+        text = _HYPHENATED.sub("", text)
+    return _EMPHASIS.sub("", text)
 
 
 def words(text: str) -> list[str]:
