@@ -11,14 +11,13 @@ from gleaner.session import drop_scratch, materialize
 HOT_DEGREE, HOT_SHARE = 200_000, 2_000
 
 
-def _with_least(links: DataFrame, own: bool) -> DataFrame:
-    """links(u, v) with `least`, the smallest neighbour of u (and u itself, if `own`).
+def _with_least(links: DataFrame, own: bool, total: int) -> DataFrame:
+    """links(u, v), at most `total`, with `least`, the smallest neighbour of u (and u itself, if `own`).
 
     Hot nodes are joined by broadcast, so that no task gets all links of one node.
     """
     least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
     least = least.select("u", F.least("u", "m").alias("least") if own else F.col("m").alias("least"), "degree")
-    total = links.count()
     if total <= HOT_DEGREE:
         return links.join(least.drop("degree"), "u")
     hot = least.filter((F.col("degree") > HOT_DEGREE) & (F.col("degree") > total / HOT_SHARE)).drop("degree")
@@ -41,18 +40,18 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     nodes = edges.select(F.explode(F.array(*ends)).alias("node")).filter("node is not null").distinct()
     links = edges.filter(ends[0].isNotNull() & ends[1].isNotNull() & (ends[0] != ends[1]))
     links = materialize(links.select(F.greatest(*ends).alias("u"), F.least(*ends).alias("v")).distinct(), "components")
-    previous = None
+    previous, total = None, links.count()
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, own=True).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
-        stars = _with_least(large, own=False)
+        large = _with_least(both, True, 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+        stars = _with_least(large, False, 2 * total)
         small = stars.filter("v != least").select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(
             stars.select("u", F.col("least").alias("v"))
         )
         after = materialize(small.filter("u != v").distinct(), "components")
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_scratch(links.sparkSession, links)
-        links = after
+        links, total = after, mark[0]
         if mark == previous:
             break
         previous = mark
