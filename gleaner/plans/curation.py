@@ -144,7 +144,10 @@ SELECT k.iuid, k.image_id FROM k JOIN f USING (image_id, rk)""".replace("SELECT
 on_instances("dedupe_scope", None, lambda d: boxes.scope_duplicates(d.filter(is_live()), 0.7, F.col("batch_id").isin("b0", "b1")))
 on_instances("box_agree", f"""{PAIRS}, v AS (SELECT iuid, assign_source AS src FROM live UNION ALL SELECT ia, wb FROM p WHERE iou >= 0.6 UNION ALL SELECT ib, wa FROM p WHERE iou >= 0.6)
 SELECT iuid, count(DISTINCT src) AS agree FROM v GROUP BY 1""", lambda d: boxes.agreement(d.filter(is_live()), 0.6))
-on_instances("merge_reps", None, lambda d: boxes.merge_representatives(d, boxes.overlap_groups(d.filter(is_live()), 0.5)))
+on_instances("merge_reps", f"""{PAIRS}, e AS (SELECT ia AS a, ib AS b FROM p WHERE iou >= 0.5), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a AS node, a AS least FROM s UNION SELECT s.b, r.least FROM r JOIN s ON s.a = r.node WHERE r.least < s.b), m AS (SELECT node, min(least) AS g FROM r GROUP BY 1),
+w AS (SELECT node AS iuid, first_value(node) OVER (PARTITION BY g ORDER BY score DESC, node) AS rep FROM m JOIN live ON live.iuid = node) SELECT iuid, CASE WHEN iuid <> rep THEN rep END AS merged_into FROM w""",
+             lambda d: boxes.merge_representatives(d, boxes.overlap_groups(d.filter(is_live()), 0.5)))
 
 on_log("op_mix", """SELECT op, CASE op WHEN 'assign' THEN 'label' WHEN 'new_class' THEN 'label' WHEN 'background' THEN 'reject' ELSE op END AS category, count(*) AS n, CAST(coalesce(sum(n_instances), 0) AS BIGINT) AS n_instances FROM log GROUP BY 1, 2""", activity.op_mix)
 on_log("activity_totals", """SELECT count(*) FILTER (op <> 'undo') AS n_commands, count(*) FILTER (op = 'undo') AS n_undo, CAST(coalesce(sum(n_instances) FILTER (op <> 'undo'), 0) AS BIGINT) AS n_instances,

@@ -74,6 +74,32 @@ def test_overlaps_meet_once_over_tiles(spark):
     assert boxes.overlapping_pairs(d).count() == 15
 
 
+def test_scope_duplicates_equal_a_walk(spark):
+    rng = np.random.default_rng(4)
+    data = []
+    for i in range(40):
+        x, y, w, h = (int(v) for v in (*rng.integers(0, 30, 2), *rng.integers(10, 40, 2)))
+        data.append((i, i % 2, x, y, x + w, y + h, float(w * h), float(rng.integers(0, 5)) / 5, None, bool(rng.random() < 0.3), "m"))
+    inside = {i for i in range(40) if i % 3}
+    d = spark.createDataFrame(data, BOX)
+    got = {r["iuid"]: r["keep_iuid"] for r in boxes.scope_duplicates(d, 0.7, F.col("iuid").isin(*inside)).collect()}
+    order = sorted((b for b in data if b[0] in inside or b[9]), key=lambda b: (b[0] in inside, not b[9], -b[7], -b[6], b[0]))
+
+    def share(a, b):
+        side = lambda k: max(0, min(a[k + 2], b[k + 2]) - max(a[k], b[k]))
+        small, large = sorted((a[6], b[6]))
+        return side(2) * side(3) / max(small, 1) if small >= 0.25 * large else 0.0
+
+    kept, want = [], {}
+    for b in order:
+        by = [k for k in kept if k[1] == b[1] and (k[0] in inside or b[0] in inside) and share(k, b) >= 0.7]
+        if by:
+            want[b[0]] = by[0][0]
+        else:
+            kept.append(b)
+    assert got == {k: v for k, v in want.items() if k in inside} and got
+
+
 def test_fold_by_field_and_undo(spark):
     c = spark.createDataFrame([(1, "a", "assign", 1, "x", "m"), (2, "a", "background", 1, None, None), (3, "a", "undo", None, None, None), (4, "b", "unassign", 2, None, None)], "seq long, actor string, op string, iuid long, class string, source string")
     assert rows(events.fold(c.filter("op != 'undo'"))) == [(1, None, True, "m"), (2, None, False, None)]
