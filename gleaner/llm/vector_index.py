@@ -16,6 +16,7 @@ upper bound reaches a query's k-th best lower bound are reranked exactly.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -159,7 +160,8 @@ def route(vectors: DataFrame, cells: Cells, hot: list[int], coarse_probes: bool
     Equal vectors of a batch travel once, with all their ids (KEPT of them for a hot
     vector; h is null for all others). `home` rows are
     indexed in the cell, `asks` rows search it; parts is the number of cells and
-    blocks that a query searches.
+    blocks that a query searches. Without coarse_probes no row searches other
+    blocks than its own, so each row is home in one group only.
     """
     shared = vectors.sparkSession.sparkContext.broadcast((cells.centres, cells.n_leaders, cells.blocks))
 
@@ -183,9 +185,9 @@ def route(vectors: DataFrame, cells: Cells, hot: list[int], coarse_probes: bool
                 parts = int(cells.blocks[spread].sum())
                 for c in spread:
                     s = int(cells.blocks[c])
-                    mine = int.from_bytes(vec[:4], "little") % s if s > 1 else 0
-                    for ib in range(s):
-                        for qb in range(s):
+                    mine = zlib.crc32(vec) % s if s > 1 else 0
+                    for ib in range(s) if coarse_probes else (mine,):
+                        for qb in range(s) if coarse_probes else (mine,):
                             holds, asks = c == h and ib == mine, qb == mine
                             if holds or asks:
                                 out.append((c, ib, qb, holds, asks, parts, vec, weight, hash_, ids))

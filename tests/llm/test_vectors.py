@@ -79,6 +79,19 @@ def test_copies_link_to_the_smallest_ids(spark, monkeypatch):
     assert len(names) == len(ids) and {names[i] for i in ids[:40]} == {ids[0]}
 
 
+def test_blocks_of_a_crowded_cell_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(vector_index, "BLOCK_ROWS", 40)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.standard_normal(64) + 0.1 * rng.standard_normal((150, 64)), rng.standard_normal((30, 64))]).astype(np.float32)
+    ids = hexes(len(x))
+    want = brute_pairs(np.array(ids), vector_index.unit(x.astype(float)))
+    got = {tuple(r) for r in neighbours.nearest_pairs(table(spark, ids, x)).collect()}
+    assert len(got & want) >= 0.97 * len(want)
+    assign, means = clusters.similarity_clusters(table(spark, ids, x))
+    names = {bytes(r["iuid"]).hex(): bytes(r["cluster"]).hex() for r in assign.collect()}
+    assert len(names) == 180 and {names[i] for i in ids[:150]} == {ids[0]} and means.agg({"weight": "sum"}).first()[0] == 180
+
+
 @pytest.mark.parametrize("vec", [None, [], [1.0] * 63, [0.0] * 64, [float("nan")] + [1.0] * 63, [None] + [1.0] * 63, [float("inf")] + [1.0] * 63])
 def test_unusable_vectors_are_left_out(spark, vec):
     d = spark.createDataFrame([(hexes(1)[0], "dinov2", vec, None, None), (None, "dinov2", [1.0] * 64, None, None), (None, None, None, None, None)], SCHEMA)
