@@ -91,7 +91,7 @@ def meta_rows(spark: SparkSession, root: str) -> DataFrame:
 META = """WITH m AS (SELECT regexp_replace(lower(iuid), '[\\s{}-]', '', 'g') AS id, * FROM meta),
 r AS (SELECT * FROM m WHERE regexp_matches(id, '^[0-9a-f]{32}$') QUALIFY row_number() OVER (PARTITION BY id ORDER BY row_no NULLS FIRST, image_id NULLS FIRST, batch_id NULLS FIRST, granularity NULLS FIRST, modality NULLS FIRST, assigned_class NULLS FIRST,
   is_background NULLS FIRST, assign_source NULLS FIRST, refined NULLS FIRST, provenance NULLS FIRST,
-  CASE WHEN regexp_matches(regexp_replace(lower(merged_into), '[\s{}-]', '', 'g'), '^[0-9a-f]{32}$') THEN regexp_replace(lower(merged_into), '[\s{}-]', '', 'g') END NULLS FIRST) = 1)"""
+  CASE WHEN regexp_matches(regexp_replace(lower(merged_into), '[\\s{}-]', '', 'g'), '^[0-9a-f]{32}$') THEN regexp_replace(lower(merged_into), '[\\s{}-]', '', 'g') END NULLS FIRST) = 1)"""
 add("facet_kinds", f"{META} SELECT granularity, modality, count(*) AS n FROM r GROUP BY 1, 2", lambda s, r: meta_rows(s, r).groupBy("granularity", "modality").agg(F.count("*").alias("n")))
 add("provenance_methods", f"""{META} SELECT CASE WHEN json_extract_string(provenance, '$.ckpt') IS NULL THEN 'unknown' ELSE json_extract_string(provenance, '$.ckpt') END AS method, count(*) AS n FROM r GROUP BY 1""",
     lambda s, r: meta_rows(s, r).groupBy(stats.method_of("provenance", F.col("refined")).alias("method")).agg(F.count("*").alias("n")))
