@@ -76,7 +76,12 @@ class SuffixAutomaton:
 
     def seeds(self, text: list[str]) -> set[tuple[int, int]]:
         """(item, item position - text position) of every run of `seed` words that the text shares with an item."""
-        found, state, length = set(), 0, 0
+        return set(self.hits(text))
+
+    def hits(self, text: list[str]) -> dict[tuple[int, int], list[int]]:
+        """The seeds with the text positions of their last words, in order."""
+        found: dict[tuple[int, int], list[int]] = {}
+        state = length = 0
         step, link, longest, seed = self.next, self.link, self.length, self.seed
         for at, word in enumerate(text):
             while state and word not in step[state]:
@@ -89,7 +94,8 @@ class SuffixAutomaton:
                     home = state
                     while longest[link[home]] >= seed:
                         home = link[home]
-                    found.update([(item, end - at) for item, end in self.ends[home]])
+                    for item, end in self.ends[home]:
+                        found.setdefault((item, end - at), []).append(at)
             else:
                 state = length = 0
         return found
@@ -101,29 +107,31 @@ def mistyped(a: str, b: str) -> bool:
     return abs(len(a) - len(b)) <= 2 and edits(a, b) <= (2 if n >= 5 else 1)
 
 
-def runs(text: list[str], item: list[str], shift: int, least: int = 1) -> list[tuple[int, int]]:
-    """(first, last + 1) positions in text of the runs that equal the item at position + shift, but for lone mistyped words, inside or at an end."""
+def runs(text: list[str], item: list[str], shift: int, least: int = 1, hits: list[int] | None = None) -> list[tuple[int, int]]:
+    """(first, last + 1) positions in text of the runs that equal the item at position + shift, but for lone mistyped words, inside or at an end.
+
+    Runs grow from `hits`, positions where text and item agree; from all, if not given.
+    """
     lo, hi = max(0, -shift), min(len(text), len(item) - shift)
-    out, start, k = [], None, lo
-    while k < hi:
-        if text[k] == item[k + shift]:
-            start = k if start is None else start
-            k += 1
-            continue
-        lone = start is not None and k + 1 < hi and text[k + 1] == item[k + 1 + shift] and mistyped(text[k], item[k + shift])
-        if start is not None and not lone:
-            out.append((start, k))
-            start = None
-        k += 1
-    if start is not None:
-        out.append((start, hi))
-    wide = []
-    for a, b in out:
-        a -= a > lo and mistyped(text[a - 1], item[a - 1 + shift])
-        b += b < hi and mistyped(text[b], item[b + shift])
-        if b - a >= least:
-            wide.append((a, b))
-    return wide
+    same = lambda k: lo <= k < hi and text[k] == item[k + shift]
+    slip = lambda k: lo <= k < hi and mistyped(text[k], item[k + shift])
+
+    def grow(k: int, step: int) -> int:
+        while True:
+            if same(k + step):
+                k += step
+            elif same(k + 2 * step) and slip(k + step):
+                k += 2 * step
+            else:
+                return k + step if slip(k + step) else k
+
+    out, end = [], lo
+    for k in range(lo, hi) if hits is None else hits:
+        if k >= end and same(k):
+            first, end = grow(k, -1), grow(k, 1) + 1
+            if end - first >= least:
+                out.append((first, end))
+    return out
 
 
 def leaked_spans(documents: DataFrame, items: DataFrame, least: int = MIN_WORDS) -> DataFrame:
@@ -151,8 +159,8 @@ def leaked_spans(documents: DataFrame, items: DataFrame, least: int = MIN_WORDS)
                 if len(text) < least:
                     continue
                 best: dict[int, tuple[int, int]] = {}
-                for item, shift in automaton.seeds(text):
-                    for first, end in runs(text, automaton.items[item], shift, least):
+                for (item, shift), hits in automaton.hits(text).items():
+                    for first, end in runs(text, automaton.items[item], shift, least, hits):
                         best[item] = max(best.get(item, (0, 0)), (end - first, -first))
                 out += [(doc, item, -first, n, n / len(automaton.items[item])) for item, (n, first) in best.items()]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "first_word", "n_words", "coverage"])
