@@ -141,8 +141,8 @@ def _link(floor: float):
 
 
 def _level(nodes: DataFrame, rows: int, hot: list[int], floor: float, level: int) -> DataFrame:
-    """One pass. From the second on, cells form around clusters of several rows, however small; lone rows come to them."""
-    cells = fit_cells(nodes, rows) if not level else fit_cells(nodes.filter("weight > 1"), rows, seed=11 + level, least=1, most=LATER_LEADERS)
+    """One pass. From the second on, cells form around clusters of several rows, however small; lone rows come to them, or to the same coarse cells in each pass."""
+    cells = fit_cells(nodes, rows) if not level else fit_cells(nodes.filter("weight > 1"), rows, least=1, most=LATER_LEADERS, fixed_coarse=True)
     return materialize(per_cell(route(nodes, cells, hot, coarse_probes=False), _link(floor), LINKED), "clusters")
 
 

@@ -104,6 +104,12 @@ def test_nothing_gives_nothing(spark):
     assert neighbours.nearest_pairs(d).count() == 0 and clusters.similarity_clusters(d)[0].count() == 0 and subset.varied_subset(d, images, 5).count() == 0
 
 
+def test_unlike_rows_stay_alone(spark):
+    x = np.random.default_rng(8).standard_normal((30, 64))
+    assign, means = clusters.similarity_clusters(table(spark, hexes(30), x))
+    assert assign.filter("iuid = cluster").count() == assign.count() == means.count() == 30
+
+
 def test_average_linkage_stops_at_the_floor():
     rng = np.random.default_rng(2)
     centres = vector_index.unit(rng.standard_normal((6, 64)))
