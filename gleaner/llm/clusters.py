@@ -9,11 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from gleaner.llm.neighbours import DIM, MIN_COS, hashes, vectors
-from gleaner.llm.vector_index import census, fit_cells, per_cell, rotation, route, search, unit
-from gleaner.session import materialize
+from gleaner.llm.vector_index import BLOCK_ROWS, census, fit_cells, per_cell, rotation, route, search, unit
+from gleaner.operators.components import connected_components
+from gleaner.session import drop_scratch, materialize
 from gleaner.sources.tables import table
 
 GRAPH_K, MIN_SIZE, LATER_LEADERS = 6, 4, 16_384
+#: Passes in a row that must merge nothing before the exact ones.
+FRESH_PASSES = 2
 
 
 #: A pair also merges when it is the best of one side and at most this share below the best of the other.
@@ -141,9 +144,63 @@ def _link(floor: float):
 
 
 def _level(nodes: DataFrame, rows: int, hot: list[int], floor: float, level: int) -> DataFrame:
-    """One pass. From the second on, cells form around clusters of several rows, however small; lone rows come to them, or to the same coarse cells in each pass."""
-    cells = fit_cells(nodes, rows) if not level else fit_cells(nodes.filter("weight > 1"), rows, least=1, most=LATER_LEADERS, fixed_coarse=True)
-    return materialize(per_cell(route(nodes, cells, hot, coarse_probes=False), _link(floor), LINKED), "clusters")
+    """One pass; `rows` counts what its cells are fitted on.
+
+    From the second on, cells form around clusters of several rows, however small, and
+    lone rows come to them, or to coarse cells. Each pass has its own sample and coarse cells.
+    """
+    seed = 11 + level
+    cells = fit_cells(nodes, rows, seed) if not level else fit_cells(nodes.filter("weight > 1"), rows, seed, least=1, most=LATER_LEADERS, random_coarse=True)
+    return per_cell(route(nodes, cells, hot, coarse_probes=False), _link(floor), LINKED)
+
+
+def _closest(nodes: DataFrame, count: int, floor: float) -> DataFrame:
+    """(iuid, other): each node's most similar other one over all pairs with at least one cluster of several rows, if it reaches `floor`.
+
+    Exact: products over all pairs of row blocks, so the work is quadratic in the number of clusters.
+    """
+    n = max(-(-count // BLOCK_ROWS), min(3, -(-count // 4096)))
+    mine, other = F.pmod(F.xxhash64("iuid"), F.lit(n)).cast("int"), F.col("other").cast("int")
+    paired = nodes.select("iuid", "vec", "weight", mine.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
+    paired = paired.select("iuid", "vec", "weight", "block", F.least("block", other).alias("i"), F.greatest("block", other).alias("j"))
+
+    def best(t: pa.Table) -> pa.Table:
+        ids, block = t.column("iuid").to_pylist(), t.column("block").to_numpy()
+        x = np.frombuffer(b"".join(t.column("vec").to_pylist()), np.float32).reshape(len(ids), -1)
+        several = t.column("weight").to_numpy() > 1
+        low = np.flatnonzero(block == block.min())
+        high = np.flatnonzero(block == block.max()) if t.column("i")[0] != t.column("j")[0] else low
+        top, at = np.full(len(ids), -1.0, np.float32), np.full(len(ids), -1)
+        for a, b in ((low[several[low]], high), (low[~several[low]], high[several[high]])):
+            step = max(16, 4_000_000 // max(len(b), 1))
+            for lo in range(0, len(a) if len(b) else 0, step):
+                part = a[lo : lo + step]
+                s = x[part] @ x[b].T
+                s[part[:, None] == b[None, :]] = -1
+                for rows, cols, side in ((part, b, s), (b, part, s.T)):
+                    k = side.argmax(1)
+                    most = side[np.arange(len(rows)), k]
+                    more = most > top[rows]
+                    top[rows[more]], at[rows[more]] = most[more], cols[k[more]]
+        found = np.flatnonzero(top >= floor - 1e-6)
+        return pa.table({"iuid": pa.array([ids[f] for f in found], pa.binary()), "other": pa.array([ids[f] for f in at[found]], pa.binary()), "sim": pa.array(top[found].astype(np.float64))})
+
+    pairs = paired.groupBy("i", "j").applyInArrow(best, "iuid binary, other binary, sim double")
+    return pairs.groupBy("iuid").agg(F.max_by("other", F.struct("sim", "other")).alias("other"))
+
+
+def _exact_level(nodes: DataFrame, count: int, floor: float) -> DataFrame:
+    """One pass over the components of the graph of closest pairs; nodes without a pair stay as they are."""
+    pairs = materialize(_closest(nodes, count, floor), "closest")
+    parts = materialize(connected_components(pairs, "iuid", "other").withColumnRenamed("node", "iuid"), "parts")
+    drop_scratch(nodes.sparkSession, pairs)
+    one = F.lit(0)
+    met = nodes.join(parts, "iuid").select(
+        F.xxhash64("component").alias("cell"), one.alias("ib"), one.alias("qb"), F.lit(True).alias("home"), F.lit(True).alias("asks"), F.lit(1).alias("parts"),
+        "vec", "weight", "h", F.array("iuid").alias("ids"),
+    )
+    rest = nodes.join(parts, "iuid", "left_anti").select(F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("iuid"), F.col("iuid").alias("cluster"), "vec", "weight", "h")
+    return per_cell(met, _link(floor), LINKED).unionByName(rest)
 
 
 def similarity_clusters(features: DataFrame, floor: float = MIN_COS) -> tuple[DataFrame, DataFrame]:
@@ -152,30 +209,52 @@ def similarity_clusters(features: DataFrame, floor: float = MIN_COS) -> tuple[Da
     All ids are 16 bytes; a cluster's name is its smallest iuid. Clusters merge
     while the mean cosine between their members is at least `floor`. The first
     pass links within cells, further passes link the means across cells until
-    one merges nothing. Copies count as many members; an id with several
+    FRESH_PASSES in a row, each with other cells, merge nothing; then exact passes
+    compare every cluster of several rows with all others, until one merges nothing.
+    Copies count as many members; an id with several
     vectors goes to its smallest cluster. An empty table gives two empty results.
     """
+    spark = features.sparkSession
     packed = vectors(features, as_unit=True)
     rows, hot = census(hashes(features))
-    first = _level(packed, rows, hot, floor, 0)
+    first = materialize(_level(packed, rows, hot, floor, 0), "clusters")
     assign = first.filter("kind = 0").select("iuid", "cluster")
     if hot:
         names = first.filter("kind = 2").groupBy("h").agg(F.min("cluster").alias("cluster"))
         assign = assign.unionByName(packed.filter(F.col("h").isin(hot)).join(F.broadcast(names), "h").select("iuid", "cluster"))
     assign = assign.groupBy("iuid").agg(F.min("cluster").alias("cluster"))
-    means = first.filter("kind = 1")
-    count, number = means.count(), 0
+
+    def counts(means: DataFrame) -> tuple[int, int]:
+        return tuple(means.agg(F.count("*"), F.count_if(F.col("weight") > 1)).first())
+
+    means, last, moved = first.filter("kind = 1"), None, None
+    (count, several), number, quiet, exact = counts(means), 0, 0, False
     while count > 1:
         number += 1
         nodes = means.select(F.col("cluster").alias("iuid"), "vec", "weight", F.lit(None).cast("long").alias("h"))
-        level = _level(nodes, count, [], floor, number)
-        means = level.filter("kind = 1")
-        after = means.count()
-        if after == count:
+        made = _exact_level(nodes, count, floor) if exact else _level(nodes, several, [], floor, number)
+        level = materialize(made.filter("kind = 1 or (kind = 0 and iuid != cluster)"), "clusters")
+        if last is not None:
+            drop_scratch(spark, last)
+        means, last, before = level.filter("kind = 1"), level, count
+        count, several = counts(means)
+        if count < before:
+            step = level.filter("kind = 0").select(F.col("iuid").alias("name"), F.col("cluster").alias("next"))
+            now = step
+            if moved is not None:
+                onward = step.select(F.col("name").alias("next"), F.col("next").alias("to"))
+                now = moved.join(onward, "next", "left").select("name", F.coalesce("to", "next").alias("next")).unionByName(step)
+            now = materialize(now, "moved")
+            if moved is not None:
+                drop_scratch(spark, moved)
+            moved, quiet = now, 0
+        elif exact:
             break
-        step = level.filter("kind = 0").select(F.col("iuid").alias("cluster"), F.col("cluster").alias("next"))
-        assign = assign.join(step, "cluster").select("iuid", F.col("next").alias("cluster"))
-        count = after
+        else:
+            quiet += 1
+            exact = quiet >= FRESH_PASSES
+    if moved is not None:
+        assign = assign.join(moved.withColumnRenamed("name", "cluster"), "cluster", "left").select("iuid", F.coalesce("next", "cluster").alias("cluster"))
     return assign, means.select("cluster", "vec", "weight")
 
 

@@ -99,12 +99,12 @@ class Cells:
         return home, more
 
 
-def fit_cells(vectors: DataFrame, rows: int, seed: int = 11, least: int = 2, most: int = MAX_LEADERS, fixed_coarse: bool = False, dim: int = 64) -> Cells:
+def fit_cells(vectors: DataFrame, rows: int, seed: int = 11, least: int = 2, most: int = MAX_LEADERS, random_coarse: bool = False, dim: int = 64) -> Cells:
     """Cells for `rows` rows of vectors(iuid, vec BINARY of floats), from a sample of at most ~SAMPLE_ROWS.
 
     At most `most` leaders that stand for `least` sample rows or more become cells.
-    fixed_coarse takes random directions as coarse centroids, the same every time;
-    so does an empty sample, of `dim` dimensions.
+    random_coarse takes directions drawn with the seed as coarse centroids; so does
+    an empty sample, of `dim` dimensions.
     """
     share = min(1.0, SAMPLE_ROWS / max(rows, 1))
     picked = vectors if share == 1.0 else vectors.filter(F.pmod(F.xxhash64(F.lit(seed), "iuid"), F.lit(1 << 30)) < int(share * (1 << 30)))
@@ -143,9 +143,9 @@ def fit_cells(vectors: DataFrame, rows: int, seed: int = 11, least: int = 2, mos
         loose = np.vstack([loose, x[: COARSE - len(loose)]])
     loose = loose[: 64 * COARSE]
     centres = loose[:COARSE].copy()
-    if fixed_coarse:
+    if random_coarse:
         centres = unit(np.random.default_rng(seed).standard_normal((COARSE, x.shape[1]))).astype(np.float32)
-    for _ in range(0 if fixed_coarse else 3):
+    for _ in range(0 if random_coarse else 3):
         to = (loose @ centres.T).argmax(1)
         sums = np.zeros(centres.shape)
         np.add.at(sums, to, loose)

@@ -110,6 +110,18 @@ def test_unlike_rows_stay_alone(spark):
     assert assign.filter("iuid = cluster").count() == assign.count() == means.count() == 30
 
 
+def test_groups_beyond_the_leaders_are_found(spark, monkeypatch):
+    monkeypatch.setattr(vector_index, "SAMPLE_ROWS", 64)
+    monkeypatch.setattr(clusters, "LATER_LEADERS", 16)
+    rng = np.random.default_rng(4)
+    centres = np.repeat(vector_index.unit(rng.standard_normal((150, 64))), 8, 0)
+    x = np.concatenate([centres + 0.045 * rng.standard_normal(centres.shape), rng.standard_normal((400, 64))])
+    ids = hexes(len(x))
+    assign, means = clusters.similarity_clusters(table(spark, ids, x))
+    names = {bytes(r["iuid"]).hex(): bytes(r["cluster"]).hex() for r in assign.collect()}
+    assert names == {i: ids[k - k % 8] if k < 1200 else i for k, i in enumerate(ids)} and means.count() == 550
+
+
 def test_average_linkage_stops_at_the_floor():
     rng = np.random.default_rng(2)
     centres = vector_index.unit(rng.standard_normal((6, 64)))
