@@ -203,8 +203,9 @@ def end_odds(documents: DataFrame) -> DataFrame:
     end is left out of its counts, as are final ends within a long sentence, and
     copies of a text count as one.
     """
-    texts = documents.filter("text is not null").select(F.xxhash64("text").alias("copy"), "text")
-    ends = materialize(tails(texts).distinct(), "tails")
+    copies = documents.filter("text is not null").groupBy(F.xxhash64("text").alias("copy"))
+    texts = materialize(copies.agg(F.min("text").alias("text")), "texts")
+    ends = materialize(tails(texts), "tails")
     inner = count_contexts(texts, _filter(ends))
     final = ends.groupBy("context").agg(F.count("*").alias("n_ends"), F.sum(F.col("settled").cast("long")).alias("n_final"))
     known = materialize(final.join(inner, "context", "left").na.fill(0), "contexts")

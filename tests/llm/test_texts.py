@@ -115,6 +115,18 @@ def test_cut_texts(spark):
     assert truncation.truncated(d.limit(0)).count() == 0
 
 
+def test_copies_of_a_text_count_once(spark):
+    r = random.Random(3)
+    pick = lambda *w: r.choice(w)
+    rows = [(i, f"{pick('One', 'Some', 'Each')} {pick('crew', 'team', 'group')} {pick('moved', 'kept', 'sorted')} {r.randrange(9)} crops {pick('early', 'late', 'again')}.", "en", "s") for i in range(300)]
+    rows.append((900, "They said so. The crew sorted the whole pile by hand", "en", "s"))
+    copied = "On that day the crew sorted the whole pile by hand and nobody objected to it at all."
+    once = spark.createDataFrame([*rows, (901, copied, "en", "s")], "doc_id long, text string, lang string, source string")
+    often = once.unionByName(spark.range(5000).selectExpr("id + 1000 as doc_id", f"'{copied}' as text", "'en' as lang", "'s' as source"))
+    odds = [{x["copy"]: round(x["log_odds"], 9) for x in truncation.end_odds(d).collect()} for d in (once, often)]
+    assert odds[0] == odds[1]
+
+
 @pytest.mark.parametrize("name", ["p6_found", "p8_found", "p8_items", "p9_found", "p9_mix", "p9_shares", "p10_found", "p10_sources", "p5_subset", "p3_splits", "p2_clusters"])
 def test_queries_run(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
