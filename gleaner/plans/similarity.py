@@ -151,21 +151,49 @@ def pca_map(spark: SparkSession, root: str) -> DataFrame:
     return xy.crossJoin(F.broadcast(frame)).select("iuid", scaled(0).alias("x"), scaled(1).alias("y"))
 
 
-def factored_lr(spark: SparkSession, root: str) -> DataFrame:
-    """(iuid, label, p) of the pool by multinomial logistic regression on the labelled rows, weighted by inverse class size."""
+#: Most rows of the pool that serve as negatives.
+POOL_NEGATIVES = 4_000
+
+
+def factored(rows: DataFrame) -> DataFrame:
+    """(iuid, label, p) of the pool of rows(iuid, vec, label): P(class against all else) x P(class among the classes).
+
+    Classes are labels of two rows or more. A logistic regression per class has the
+    other classes, the rejected rows and the POOL_NEGATIVES pool rows of smallest hash
+    as negatives, so that a row like no class scores low on all; a multinomial one
+    tells the classes apart. Sides and classes weigh the same, whatever their size.
+    """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StringIndexer
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = embedded(spark, root).withColumn("features", array_to_vector(F.col("vec").cast("array<double>")))
-    train = labelled(rows)
-    weights = train.groupBy("label").agg((F.lit(1.0) / F.count("*")).alias("w"))  # one row per label
-    train = train.join(F.broadcast(weights), "label")
-    index = StringIndexer(inputCol="label", outputCol="y").fit(train)
-    model = LogisticRegression(labelCol="y", weightCol="w", regParam=0.01, standardization=False, maxIter=100).fit(index.transform(train))
-    names = F.array(*[F.lit(x) for x in index.labels])
-    out = model.transform(pool(rows)).select("iuid", F.posexplode(vector_to_array("probability")).alias("k", "p"))
-    return out.select("iuid", F.element_at(names, F.col("k") + 1).alias("label"), "p")
+    rows = rows.select("iuid", "label", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
+    sizes = {r["label"]: r["count"] for r in classed(rows).groupBy("label").count().filter("count >= 2").collect()}  # one row per class
+    names = sorted(sizes)
+    if len(names) < 2:
+        raise ValueError(f"needs two classes of two rows or more, has {sizes}")
+    number = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, float(i))])
+    known = classed(rows).select("features", number[F.col("label")].alias("y")).filter("y is not null")
+    sample = pool(rows).orderBy(F.xxhash64("iuid"), "iuid").limit(POOL_NEGATIVES).select("features")
+    rejected = rows.filter("label = '__reject__'").select("features")
+    train = materialize(known.unionByName(rejected.unionByName(sample).withColumn("y", F.lit(-1.0))), "training")
+    total = train.count()
+
+    def fit(data: DataFrame, family: str, p: str):
+        return LogisticRegression(labelCol="y", weightCol="w", regParam=0.01, standardization=False, maxIter=100, family=family, probabilityCol=p, rawPredictionCol=f"raw_{p}", predictionCol=f"is_{p}").fit(data)
+
+    size = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (float(i), float(sizes[n]))])
+    scored = fit(train.filter("y >= 0").withColumn("w", 1 / size[F.col("y")]), "multinomial", "among").transform(pool(rows))
+    for i, name in enumerate(names):
+        mine = F.col("y") == i
+        side = train.select("features", F.when(mine, 1 / F.lit(float(sizes[name]))).otherwise(1 / F.lit(float(total - sizes[name]))).alias("w"), mine.cast("double").alias("y"))
+        scored = fit(side, "binomial", f"own{i}").transform(scored)
+    among = vector_to_array("among")
+    each = [F.struct(F.lit(n).alias("label"), (vector_to_array(f"own{i}")[1] * among[i]).alias("p")) for i, n in enumerate(names)]
+    return scored.select("iuid", F.explode(F.array(*each)).alias("s")).select("iuid", "s.label", "s.p")
+
+
+def factored_lr(spark: SparkSession, root: str) -> DataFrame:
+    return factored(embedded(spark, root))
 
 
 QUERIES["pca_map"], QUERIES["factored_lr"] = pca_map, factored_lr

@@ -7,9 +7,11 @@ from gleaner.functions.columns import epoch_ms, hex_id
 from gleaner.operators import boxes, events, stats, vectors
 from gleaner.operators.activity_sessions import history_events
 from gleaner.operators.components import connected_components
+from gleaner.plans import similarity
 from gleaner.sources import documents
 from gleaner.streaming.ingest import append_new
 from gleaner.streaming.sessions import sessionize
+from tests.conftest import DATA
 
 
 def rows(df):
@@ -168,3 +170,16 @@ def test_documents(spark, tmp_path):
 def test_rollups_of_little(spark, n):
     d = spark.createDataFrame([(1, 1, 0.5, None, False, None, None, False, 0)] * n, "iuid long, image_id long, score double, assigned_class string, is_background boolean, assign_source string, merged_into long, mask_reviewed boolean, pid long")
     assert stats.header(d).first()["n_instances"] == n and stats.overview(d).first()["pct_curated"] == 0.0 and stats.partition_summary(d).count() == n
+
+
+def test_factored_scores_reject_rows_like_no_class(spark):
+    r = np.random.default_rng(5)
+    at = np.eye(8) * 4
+    rows = [(100 * k + i, [float(v) for v in at[k] + 0.3 * r.standard_normal(8)], label) for k, label in enumerate(["c0", "c1", "__reject__", None]) for i in range(40)]
+    rows += [(900 + i, [float(v) for v in at[0] + 0.3 * r.standard_normal(8)], None) for i in range(5)] + [(990, [9.0] * 8, "single")]
+    got = {(x["iuid"], x["label"]): x["p"] for x in similarity.factored(spark.createDataFrame(rows, "iuid long, vec array<double>, label string")).collect()}
+    assert len(got) == 90 and {label for _, label in got} == {"c0", "c1"}
+    assert all(got[900 + i, "c0"] > 0.5 > got[900 + i, "c1"] for i in range(5))
+    assert all(got[300 + i, "c0"] + got[300 + i, "c1"] < 0.5 for i in range(40))
+    scores = similarity.QUERIES["factored_lr"](spark, DATA)
+    assert scores.filter("label = '__reject__'").count() == 0 and scores.groupBy("iuid").sum("p").filter("`sum(p)` >= 1").count() == 0
