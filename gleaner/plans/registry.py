@@ -6,4 +6,4 @@ from gleaner.operators import activity_sessions
 from gleaner.plans import curation, exchange, similarity
 
 QUERIES = {"p1_found": activity_sessions.p1_found, "p1_sessions": activity_sessions.p1_sessions} | curation.QUERIES | similarity.QUERIES | exchange.QUERIES
-ORACLES = {"p1_found": activity_sessions.P1_FOUND_SQL} | curation.ORACLES | similarity.ORACLES | exchange.ORACLES
+ORACLES = {"p1_found": activity_sessions.P1_FOUND_SQL, "p1_sessions": activity_sessions.P1_SESSIONS_SQL} | curation.ORACLES | similarity.ORACLES | exchange.ORACLES

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -30,11 +31,13 @@ def build_session(app: str = "gleaner", cores: int | str = "*", shuffle_partitio
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for `purpose` under spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is unset, as in tests on one machine, a temporary
-    folder is made and set for the session.
+    Only where that setting is unset and the master is this one process, as in
+    tests, a temporary folder is made; on a cluster the setting is required.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _own.setdefault(spark.sparkContext.applicationId, None) or "file://" + tempfile.mkdtemp(prefix="gleaner-")
         _own[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
@@ -53,10 +56,13 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
 
 def drop_scratch(spark: SparkSession, df: DataFrame) -> None:
     """Remove the files of a table that materialize() made and that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        drop_path(spark, parent)
+
+
+def drop_path(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def wide(spark: SparkSession) -> int:

@@ -4,13 +4,13 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import masks
 from gleaner.functions.columns import epoch_ms, hex_id
-from gleaner.operators import boxes, events, stats, vectors
+from gleaner.operators import boxes, events, skew, stats, vectors
 from gleaner.operators.activity_sessions import history_events
 from gleaner.operators.components import connected_components
 from gleaner.plans import similarity
 from gleaner.sources import documents
 from gleaner.streaming.ingest import append_new
-from gleaner.streaming.sessions import sessionize
+from gleaner.streaming.sessions import sessionize, sessionize_stream
 from tests.conftest import DATA
 
 
@@ -38,6 +38,45 @@ def test_sessions_split_at_gaps_and_join_across_buckets(spark):
     }
 
 
+def test_streamed_sessions_wait_for_late_events(spark, tmp_path):
+    """Out-of-order batches give what one batch gives: a span waits until the watermark passes its timer."""
+    import os
+
+    import pandas as pd
+
+    minute, base = 60_000, 26_000_000
+    batches = [[("a", 0), ("a", 31)], [("a", 15), ("b", 40)], [("b", 10), ("b", 60)], [("z", 6000)], [("z", 9000)]]
+    schema = "actor string, bucket long, start_ms long, end_ms long, n_ops long, n_instances long, ops string, flush boolean"
+    for i, batch in enumerate(batches):
+        rows = pd.DataFrame([(k, 0, (base + t) * minute, (base + t) * minute, 1, 0, '{"x": 1}', False) for k, t in batch], columns=[c.split()[0] for c in schema.split(", ")])
+        rows.to_parquet(tmp_path / f"in{i}.parquet")
+        os.utime(tmp_path / f"in{i}.parquet", (1_000_000 + i, 1_000_000 + i))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*.parquet"))
+    q = sessionize_stream(stream, 30 * minute, "1 hour").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((r["actor"], r["start_ms"] // minute - base, r["end_ms"] // minute - base, r["n_ops"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", 0, 31, 3), ("b", 10, 60, 3), ("z", 6000, 6000, 1)]
+
+
+def test_a_hot_actor_day_is_few_spans(spark):
+    from gleaner.streaming.sessions import spans_of
+
+    many = spark.range(5000).selectExpr("cast(null as string) as actor", "id * 7000 as ts_ms", "'o' as op", "id as n_instances")
+    assert spans_of(many, 1_800_000, 86_400_000).count() <= 49
+    got = sessionize(many).collect()
+    assert len(got) == 1 and got[0]["n_ops"] == 5000 and got[0]["end_ms"] == 4999 * 7000 and got[0]["ops"] == {"o": 5000}
+
+
+def test_keyed_join_splits_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 10)
+    rows = spark.createDataFrame([(None, 1)] * 3 + [("h", i) for i in range(50)] + [("c", 5)], "k string, x int")
+    per = spark.createDataFrame([("h", 1.0), ("c", 2.0), ("d", 3.0)], "k string, y double")
+    assert skew.hot_keys(rows, "k") == ["h"]
+    for how, n in (("inner", 51), ("left", 54)):
+        got = skew.keyed_join(rows, per, "k", how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(per, "k", how).collect())) and got.count() == n
+
+
 def test_sessions_of_nothing(spark):
     assert sessionize(spark.createDataFrame([], EVENTS)).count() == 0
 
