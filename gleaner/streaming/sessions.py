@@ -143,16 +143,18 @@ def sessionize(events: DataFrame, gap_ms: int = 1_800_000, bucket_ms: int = DAY_
     rows = spans_of(events, gap_ms, bucket_ms)
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
     rows.write.parquet(staged)
-    last = spark.read.schema(schema).parquet(staged).agg(F.max("end_ms")).first()[0] or 0
+    first, last = (t or 0 for t in spark.read.schema(schema).parquet(staged).agg(F.min("start_ms"), F.max("end_ms")).first())
+    shift = max(0, DAY_MS - first)  # times at and before 1970 would be late from the start
     mark = last + 2 * gap_ms + 60_000
     spark.createDataFrame([("", -1, mark, mark, 0, 0, "{}", True)], schema).coalesce(1).write.mode("append").parquet(staged)
+    moved = lambda d, by: d.withColumn("start_ms", F.col("start_ms") + by).withColumn("end_ms", F.col("end_ms") + by)
     query = (
-        sessionize_stream(spark.readStream.schema(schema).parquet(staged), gap_ms)
+        sessionize_stream(moved(spark.readStream.schema(schema).parquet(staged), shift), gap_ms)
         .writeStream.format("parquet").option("path", sink).option("checkpointLocation", log)
         .outputMode("append").trigger(availableNow=True).start()
     )
     query.awaitTermination()
     for path in (staged, log):
         drop_path(spark, path)
-    parts = spark.read.schema(SESSION).parquet(sink)
+    parts = moved(spark.read.schema(SESSION).parquet(sink), -shift)
     return _stitch(parts, gap_ms, bucket_ms).withColumn("duration_ms", F.col("end_ms") - F.col("start_ms"))
