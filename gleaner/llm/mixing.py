@@ -20,30 +20,21 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """documents plus n_tokens, its text's size in tokens (0 for a null or empty text)."""
     schema = documents.withColumn("n_tokens", F.lit(0).cast("long")).schema
+    with open(vocabulary, "rb") as f:
+        shared = documents.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file, about 1 MB
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
         coder = tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for pdf in frames:
-            # very long texts are cut at line ends, which tokens don't cross here, to bound one call
-            pdf["n_tokens"] = [sum(len(coder.encode_ordinary(part)) for part in _parts(t)) if t else 0 for t in pdf["text"]]
+            pdf["n_tokens"] = [len(coder.encode_ordinary(t)) if t else 0 for t in pdf["text"]]
             yield pdf
 
     return documents.mapInPandas(run, schema)
 
 
-def _parts(text: str, most: int = 100_000) -> Iterator[str]:
-    while len(text) > most:
-        at = text.rfind(" ", most // 2, most)
-        at = at if at > 0 else most
-        yield text[:at]
-        text = text[at:]
-    yield text
-
-
 def source_rates(sized: DataFrame, targets: DataFrame, budget: int | None = None) -> DataFrame:
     """(source, tokens, target_share, max_repeats, wanted, rate, capped) of every target source.
 
