@@ -4,46 +4,78 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleaner.llm.text import INVISIBLE, edits, fold
+from gleaner.operators.skew import keyed_join
 from gleaner.session import wide
 from gleaner.sources.tables import table
 
-#: Names that say nothing and defer to the aliases, folded and without blanks.
-PLACEHOLDERS = frozenset(
-    "todo tbd tba tmp temp test untitled unnamed unknown misc other none null nan na newclass newlabel noname "
-    "donotuse notsure needsasecondlook duplicateofabove seeabove xxx asdf foo".split()
-)
-_NUMBERED = re.compile(r"^(?:new)?(?:class|label|category|item|object)\d*$")
-#: Digits and signs typed for letters.
-LEET = str.maketrans("013457@$", "oleastas")
-_CODE = re.compile(r"^[a-z]{2,4}\d{3}[a-z]\d{3}$")
-_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_CAMEL, _WORDS = re.compile(r"(?<=[a-z])(?=[A-Z])"), re.compile(r"[^\W_]+")
 _NOISE = re.compile(r"^\s*\d+\s*[.):]?(?:\s+|_)|[(\[][^()\[\]]*[)\]][\s.]*$|#\s*\d+\s*$")
-#: Remarks on one exemplar, which name no other class.
-_REMARK = re.compile(r"\s+[/-]\s+(?:occluded|partial|damaged|blurred|cropped|left|right|check)[\s.]*$", re.I)
-_QUALIFIERS = frozenset("broken small old new big large damaged dirty used".split())
-_WORDS = re.compile(r"[^\W_]+")
-_ARTICLES = frozenset("a an the".split())
 _VOWELS = str.maketrans("", "", "aeiou")
-#: The longest list, in forms, that is broadcast.
-MAX_FORMS = 500_000
+#: Forms of classes in one set of trees; a longer list goes to several, each broadcast by itself.
+SHARD_FORMS = 200_000
+
+
+@dataclass(frozen=True)
+class Habits:
+    """How people write around a name: a parameter, empty by default; the match itself needs none of it.
 
+    placeholders and numbered: values that only hold a place; remarks: endings
+    about one exemplar; qualifiers and articles: words before the name; codes:
+    values whose digits count; alike: characters typed for letters.
+    """
+
+    placeholders: frozenset[str] = frozenset()
+    numbered: str = r"(?!)"
+    remarks: str = r"(?!)"
+    qualifiers: frozenset[str] = frozenset()
+    articles: frozenset[str] = frozenset()
+    codes: str = r"(?!)"
+    alike: tuple[tuple[str, str], ...] = ()
+
+    @cached_property
+    def table(self) -> dict[int, str]:
+        return str.maketrans(dict(self.alike))
+
+    def is_code(self, bare: str) -> bool:
+        return re.match(self.codes, bare) is not None
+
+
+#: What annotators of this project's tables do.
+ANNOTATORS = Habits(
+    frozenset(
+        "todo tbd tba tmp temp test untitled unnamed unknown misc other none null nan na newclass newlabel noname "
+        "donotuse notsure needsasecondlook duplicateofabove seeabove xxx asdf foo".split()
+    ),
+    r"^(?:new)?(?:class|label|category|item|object)\d*$",
+    r"(?i)\s+[/-]\s+(?:occluded|partial|damaged|blurred|cropped|left|right|check)[\s.]*$",
+    frozenset("broken small old new big large damaged dirty used".split()),
+    frozenset("a an the".split()),
+    r"^[a-z]{2,4}\d{3}[a-z]\d{3}$",
+    tuple(zip("013457@$", "oleastas")),
+)
 
-def letters_of(value: str) -> list[str]:
+
+def letters_of(value: str, habits: Habits = ANNOTATORS) -> list[str]:
     """Words of a value, folded, with leading numbers, counters and articles removed and look-alike digits read as letters."""
-    value = _REMARK.sub(" ", _CAMEL.sub(" ", value))
+    value = re.sub(habits.remarks, " ", _CAMEL.sub(" ", value))
     value = _NOISE.sub(" ", _NOISE.sub(" ", value))
+    signs = "".join(a for a, _ in habits.alike if not a.isalnum())
+    pattern = re.compile(rf"[^\W_{re.escape(signs)}]*[{re.escape(signs)}][^\W_]*|[^\W_]+") if signs and any(c in value for c in signs) else _WORDS
     out = []
-    for w in _WORDS.findall(fold(value)) if "@" not in value and "$" not in value else re.findall(r"[^\W_@$]*[@$][^\W_]*|[^\W_]+", fold(value)):
+    for w in pattern.findall(fold(value)):
         if any(c.isalpha() for c in w) and not w.isalpha():
-            w = w.translate(LEET)
+            w = w.translate(habits.table)
         out.append(w)
-    out = [w for w in out if w not in _ARTICLES] or out
-    while len(out) > 1 and out[0] in _QUALIFIERS:
+    out = [w for w in out if w not in habits.articles] or out
+    while len(out) > 1 and out[0] in habits.qualifiers:
         out = out[1:]
     return out
 
@@ -55,47 +87,45 @@ def sound(key: str) -> str:
     return re.sub(r"(.)\1", r"\1", key)
 
 
-def key_of(value: str) -> str:
+def key_of(value: str, habits: Habits = ANNOTATORS) -> str:
     """The value's words without blanks; a code keeps its digits."""
     bare = "".join(_WORDS.findall(fold(value)))
-    return bare if _CODE.match(bare) else "".join(letters_of(value))
+    return bare if habits.is_code(bare) else "".join(letters_of(value, habits))
 
 
 def is_blank(value: str | None) -> bool:
     return value is None or not INVISIBLE.sub("", value).strip()
 
 
-def is_placeholder(value: str | None) -> bool:
+def is_placeholder(value: str | None, habits: Habits = ANNOTATORS) -> bool:
     """True for null, blank, signs only, and names that only hold a place."""
     if is_blank(value):
         return True
     bare = "".join(_WORDS.findall(fold(value)))
-    if not bare or bare in PLACEHOLDERS or _NUMBERED.match(bare):
+    if not bare or bare in habits.placeholders or re.match(habits.numbered, bare):
         return True
-    bare = "".join(letters_of(value))
-    return bare in PLACEHOLDERS or any(len(p) > 6 and abs(len(p) - len(bare)) <= 2 and edits(bare, p) <= 2 for p in PLACEHOLDERS)
+    bare = "".join(letters_of(value, habits))
+    return bare in habits.placeholders or any(len(p) > 6 and abs(len(p) - len(bare)) <= 2 and edits(bare, p) <= 2 for p in habits.placeholders)
 
 
-def readings(value: str) -> list[str]:
-    """Keys under which a value may stand in the list: as typed, with `B of A` and `B, A` turned to A B, and turned word orders."""
+def readings(value: str, habits: Habits = ANNOTATORS) -> list[str]:
+    """Keys under which a value may stand in the list: as typed, with `B of A` turned to A B, and turned word orders."""
     bare = "".join(_WORDS.findall(fold(value)))
-    if _CODE.match(bare):
+    if habits.is_code(bare):
         return [bare]
-    w = letters_of(value)
+    w = letters_of(value, habits)
     out = ["".join(w)]
     if "of" in w[1:-1]:
         at = w.index("of", 1)
         out.append("".join(w[at + 1 :] + w[:at]))
         w = w[at + 1 :] + w[:at]
-        if len(w) > 2:
-            out.append("".join([*w[:-1][: len(w) - 1], w[-1]]))
     out += ["".join(w[k:] + w[:k]) for k in range(1, len(w))]
     return list(dict.fromkeys(out))
 
 
-def allowance(key: str) -> int:
+def allowance(key: str, habits: Habits = ANNOTATORS) -> int:
     """Edits that a key may differ by: none for codes and short keys, one up to 7 letters, two beyond."""
-    return 0 if _CODE.match(key) or len(key) < 5 else 1 if len(key) < 8 else 2
+    return 0 if len(key) < 5 or habits.is_code(key) else 1 if len(key) < 8 else 2
 
 
 def distance(a: str, b: str) -> int:
@@ -148,41 +178,74 @@ class BKTree:
         return sorted(found)
 
 
+def bag(key: str) -> np.ndarray:
+    """Counts of the key's letters, all other characters as one."""
+    codes = np.frombuffer(key.encode("utf-32-le"), np.uint32).astype(np.int64) - 97
+    return np.bincount(np.where((codes < 0) | (codes > 25), 26, codes), minlength=27).astype(np.int16)
+
+
+#: What a value finds in a list: how (0 as written, 1 by sound, 2 with slips), edits, rank, and the classes that tie.
+Hit = tuple[int, int, int, tuple[str, ...]]
+
+
 class Matcher:
-    """Finds the class of a value; forms maps a key to {class id: rank}, smaller ranks first.
+    """Finds the classes of a value; forms maps a key to {class id: rank}, smaller ranks first.
 
     The full forms (rank 0 to 2) stand in one BK-tree per key length; shortened
-    and sounded forms (rank 3) only match exactly.
+    and sounded forms (rank 3) only match exactly. A tree is walked unless the
+    letters of its keys, in any order, are all further from the value's than the
+    edits allowed.
     """
 
-    def __init__(self, forms: dict[str, dict[str, int]]):
-        self.forms, self.trees, by_length = forms, {}, {}
+    def __init__(self, forms: dict[str, dict[str, int]], habits: Habits = ANNOTATORS):
+        self.forms, self.habits, self.trees, self.bags, self.seen, by_length = forms, habits, {}, {}, {}, {}
         for key in sorted(k for k, at in forms.items() if min(at.values()) < 3):
             by_length.setdefault(len(key), []).append(key)
         for n, keys in by_length.items():
             self.trees[n] = BKTree(keys)
-
-    def _pick(self, hits: list[tuple[int, str]]) -> str:
-        """The one class of the nearest hits; none if they disagree."""
-        best = min(d for d, _ in hits)
-        ranked = [(rank, c) for d, k in hits if d == best for c, rank in self.forms[k].items()]
+            self.bags[n] = np.stack([bag(k) for k in keys])
+
+    def _slips(self, key: str) -> list[tuple[int, str]]:
+        """(edits, form) of the forms within the key's allowance."""
+        most = allowance(key, self.habits)
+        letters, out = bag(key) if most else None, []
+        for n in range(len(key) - most, len(key) + most + 1) if most else ():
+            if n not in self.trees:
+                continue
+            off = self.bags[n] - letters
+            if (np.maximum(np.maximum(off, 0).sum(1), np.maximum(-off, 0).sum(1)) <= most).any():
+                # two swaps of neighbours are four single edits
+                near = self.trees[n].within(key, 2 * most)
+                out += [(d, k) for _, k in near if (d := edits(key, k)) <= min(most, allowance(k, self.habits))]
+        return out
+
+    def hit(self, value: str) -> Hit | None:
+        keys, how = readings(value, self.habits), 0
+        found = [(0, k) for k in keys if k in self.forms]
+        if not found:
+            how, found = 1, [(0, s) for k in keys if (s := "~" + sound(k)) in self.forms]
+        if not found:
+            how = 2
+            for key in keys:
+                if key not in self.seen:
+                    self.seen[key] = self._slips(key)
+                found += self.seen[key]
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+        if not found:
+            return None
+        best = min(d for d, _ in found)
+        ranked = [(rank, c) for d, k in found if d == best for c, rank in self.forms[k].items()]
         low = min(r for r, _ in ranked)
-        classes = {c for r, c in ranked if r == low}
-        return classes.pop() if len(classes) == 1 else ""
+        return how, best, low, tuple(sorted({c for r, c in ranked if r == low}))
 
     def match(self, value: str) -> str:
-        keys = readings(value)
-        hits = [(0, k) for k in keys if k in self.forms] or [(0, s) for k in keys if (s := "~" + sound(k)) in self.forms]
-        for key in () if hits else keys[: 1 + (" of " in value.lower() or "," in value)]:
-            most = allowance(key)
-            for n in range(len(key) - most, len(key) + most + 1) if most else ():
-                # two swaps of neighbours are four single edits
-                near = self.trees[n].within(key, 2 * most) if n in self.trees else []
-                hits += [(d, k) for _, k in near if (d := edits(key, k)) <= min(most, allowance(k))]
-        return self._pick(hits) if hits else ""
+        """The one class of the nearest forms; '' if there is none or they disagree."""
+        hit = self.hit(value)
+        return hit[3][0] if hit and len(hit[3]) == 1 else ""
 
 
-def reference_forms(classes: list[dict], concepts: list[dict]) -> dict[str, dict[str, int]]:
+def reference_forms(classes: list[dict], concepts: list[dict], habits: Habits = ANNOTATORS) -> dict[str, dict[str, int]]:
     """key -> {class id: rank} of all ways to write each class.
 
     Rank 0: name, 1: alias, 2: either with the concept's name replaced by a
@@ -203,17 +266,17 @@ def reference_forms(classes: list[dict], concepts: list[dict]) -> dict[str, dict
         base = [(v, min(r, 1)) for r, v in enumerate([c["name"], *(c["aliases"] or [])]) if not is_blank(v)]
         concept = by_id.get(c["concept"])
         if concept and concept["name"]:
-            head, others = letters_of(concept["name"]), [a for a in concept["aliases"] or [] if not is_blank(a)]
+            head, others = letters_of(concept["name"], habits), [a for a in concept["aliases"] or [] if not is_blank(a)]
             for v, _ in list(base):
-                w = letters_of(v)
+                w = letters_of(v, habits)
                 if w[: len(head)] == head:
-                    base += [(" ".join([*letters_of(a), *w[len(head) :]]), 2) for a in others]
+                    base += [(" ".join([*letters_of(a, habits), *w[len(head) :]]), 2) for a in others]
         for v, rank in base:
-            put(key_of(v), c["class_id"], rank)
-            put("~" + sound(key_of(v)), c["class_id"], 3)
-            if _CODE.match(key_of(v)):
+            put(key_of(v, habits), c["class_id"], rank)
+            put("~" + sound(key_of(v, habits)), c["class_id"], 3)
+            if habits.is_code(key_of(v, habits)):
                 continue
-            w = letters_of(v)
+            w = letters_of(v, habits)
             for k, word in enumerate(w):
                 short = {word[0] + word[1:].translate(_VOWELS)} | ({word[:n] for n in range(3, len(word))} if len(w) > 1 else set())
                 for s in short:
@@ -224,47 +287,59 @@ def reference_forms(classes: list[dict], concepts: list[dict]) -> dict[str, dict
     return forms
 
 
-def map_values(entries: DataFrame, classes: DataFrame, concepts: DataFrame) -> DataFrame:
+def _shards(classes: DataFrame, concepts: DataFrame, habits: Habits) -> Iterator[dict[str, dict[str, int]]]:
+    """The forms of all classes, in as many parts as SHARD_FORMS asks for (about 40 forms a name or alias); each is collected by itself."""
+    names = classes.agg(F.sum(1 + F.coalesce(F.size("aliases"), F.lit(0)))).first()[0] or 0
+    n = max(1, -(-40 * names // SHARD_FORMS))
+    for k in range(n):
+        part = classes.select("class_id", "name", "concept", "aliases")
+        part = part if n == 1 else part.filter(F.pmod(F.xxhash64("class_id"), F.lit(n)) == k)
+        named = concepts.select("concept_id", "name", "aliases").join(part.select(F.col("concept").alias("concept_id")).distinct(), "concept_id", "left_semi")
+        cl, co = ([r.asDict(recursive=True) for r in df.collect()] for df in (part, named))
+        yield reference_forms(cl, co, habits)
+
+
+def map_values(entries: DataFrame, classes: DataFrame, concepts: DataFrame, habits: Habits = ANNOTATORS) -> DataFrame:
     """(entry_id, class_id) of entries(entry_id, name, aliases) that aren't verbatim a class name and not wholly blank.
 
     The name is tried first; a placeholder, blank or null name defers to the
     aliases in their order. class_id is '' where nothing fits within the allowed
     edits or the nearest fits disagree. Null and blank aliases are skipped;
-    repeated entries give repeated rows. Distinct values are matched once.
-    The list (classes and concepts, fixed tables) must stay below MAX_FORMS
-    forms, which is checked.
+    repeated entries give repeated rows. Distinct values are matched once, with
+    every shard of the list, and the shards' winners are merged.
     """
     spark = entries.sparkSession
-    cl, co = ([r.asDict(recursive=True) for r in df.collect()] for df in (classes.select("class_id", "name", "concept", "aliases"), concepts.select("concept_id", "name", "aliases")))
-    names = frozenset(c["name"] for c in cl if c["name"] is not None)
-    forms = reference_forms(cl, co)
-    if len(forms) > MAX_FORMS:
-        raise ValueError("the list is too long to be broadcast")
-    shared = spark.sparkContext.broadcast(forms)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher, seen = Matcher(shared.value), {}
-        for pdf in frames:
-            out = []
-            for name, aliases in zip(pdf["name"], pdf["aliases"]):
-                aliases = [a for a in (aliases if aliases is not None else []) if not is_blank(a)]
-                values = [a for a in aliases if not is_placeholder(a)] if is_placeholder(name) else [name]
-                found = ""
-                for v in values:
-                    if v not in seen:
-                        seen[v] = matcher.match(v)
-                    found = found or seen[v]
-                out.append(found)
-            if len(seen) > 500_000:
-                seen.clear()
-            yield pd.DataFrame({"name": pdf["name"], "aliases": pdf["aliases"], "class_id": out})
-
-    blank = lambda c: F.trim(F.regexp_replace(c, r"[\s ​‌‍﻿]", "")) == ""
+
+    def pass_(pairs: DataFrame, forms: dict[str, dict[str, int]]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(forms)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            matcher = Matcher(shared.value, habits)
+            for pdf in frames:
+                out = []
+                for key, name, aliases in zip(pdf["key"], pdf["name"], pdf["aliases"]):
+                    aliases = [a for a in (aliases if aliases is not None else []) if not is_blank(a)]
+                    values = [a for a in aliases if not is_placeholder(a, habits)] if is_placeholder(name, habits) else [name]
+                    out += [(key, at, *hit[:3], list(hit[3])) for at, v in enumerate(values) if (hit := matcher.hit(v))]
+                yield pd.DataFrame(out, columns=["key", "at", "how", "edits", "rank", "classes"])
+
+        return pairs.mapInPandas(run, "key string, at int, how int, edits int, rank int, classes array<string>")
+
+    blank = lambda c: F.trim(F.regexp_replace(c, r"[\s ​‌‍﻿]", "")) == ""
     some = F.coalesce(~blank(F.col("name")), F.lit(False)) | F.exists(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.coalesce(~blank(a), F.lit(False)))
-    wanted = entries.select("entry_id", "name", "aliases").filter(some & ~F.coalesce(F.col("name").isin(*names), F.lit(False)))
-    pairs = wanted.select("name", "aliases").distinct().repartition(wide(spark))
-    mapped = pairs.mapInPandas(run, "name string, aliases array<string>, class_id string")
-    return wanted.join(mapped, wanted["name"].eqNullSafe(mapped["name"]) & wanted["aliases"].eqNullSafe(mapped["aliases"])).select("entry_id", "class_id")
+    verbatim = classes.select("name").filter("name is not null").distinct()
+    wanted = entries.select("entry_id", "name", "aliases").filter(some).join(verbatim, "name", "left_anti")
+    wanted = wanted.withColumn("key", F.to_json(F.struct("name", "aliases")))
+    pairs = wanted.groupBy("key").agg(F.first("name").alias("name"), F.first("aliases").alias("aliases")).repartition(wide(spark))
+    hits: DataFrame | None = None
+    for forms in _shards(classes, concepts, habits):
+        part = pass_(pairs, forms)
+        hits = part if hits is None else hits.unionByName(part)
+    place = F.struct("how", "edits", "rank")
+    best = hits.groupBy("key", "at").agg(F.min(place).alias("best"), F.collect_list(F.struct(place.alias("place"), "classes")).alias("all"))
+    ties = F.array_distinct(F.flatten(F.transform(F.filter("all", lambda h: h["place"] == F.col("best")), lambda h: h["classes"])))
+    found = best.select("key", "at", ties.alias("ties")).filter("size(ties) = 1").groupBy("key").agg(F.min_by(F.col("ties")[0], "at").alias("class_id"))
+    return keyed_join(wanted.select("entry_id", "key"), found, "key", "left").select("entry_id", F.coalesce("class_id", F.lit("")).alias("class_id"))
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:

@@ -9,16 +9,21 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.session import materialize, spread
+from gleaner.operators.skew import keyed_join
+from gleaner.session import drop_scratch, materialize, spread
 from gleaner.sources.tables import table
 
 #: Lengths of the contexts that end a text, shortest first.
 ORDERS = (1, 2, 3, 5, 8, 12, 17, 24)
-#: Weight of a shorter context's estimate, in occurrences, and the log-odds below which an end is a cut.
+#: Weight of a shorter context's estimate, in occurrences, and the log-odds below which an end is a cut, where nothing else is known.
 PRIOR, CUT = 2.0, -3.0
 #: Contexts at more ends than this, and than a HOT_SHARE-th of all, are joined by broadcast.
 HOT_ENDS, HOT_SHARE = 10_000, 2_000
-FILTER_BITS = 1 << 24
+#: Bits of the filter for each context that it holds; it grows with them up to MAX_FILTER_BITS (16 MB).
+BITS_EACH, MAX_FILTER_BITS = 16, 1 << 27
+#: Thresholds to choose from, half the width of the valley around one, and the weight of the pooled
+#: distribution, in documents, against that of a language and source.
+CUTS, VALLEY, POOLED = tuple(x / 4 for x in range(-18, -5)), 0.5, 500.0
 #: Longest closing words, in characters.
 CLOSING = 24
 _SENTENCES = re.compile(r"[.!?][\"'”’»)]*\s+")
@@ -26,7 +31,7 @@ _B = 0x9E3779B97F4A7C15 | 1
 _BINV = pow(_B, -1, 1 << 64)
 #: Marks that stand where a text was cut.
 _MARK = re.compile(r"(?:\s*(?:\.{2,}|…|[\[({<]\s*(?:\.{2,}|…|truncated|cut|more|continued|continues|snip|clipped|shortened)[^\])}>\n]{0,20}[\])}>]|-->|>>+|(?<=[^\W\d_])[-\u2010\u2011]|\ufffd|\bread more\b|\(cont\.?\)))+\s*$", re.I)
-_BROKEN, _TAGS = re.compile(r"(?<=[^\W\d_])-[^\S\n]*\n\s*(?=[^\W\d_])"), re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
+_BROKEN, _TAGS = re.compile(r"(?<=[^\W\d_])-[^\S\n]*\n\s*(?=[^\W\d_])"), re.compile(r"</?[A-Za-z][^<>\n]*>")
 _DIGITS, _BLANKS = re.compile(r"\d+"), re.compile(r"[^\S\n]+")
 _LOW_QUOTES = re.compile(r"„([^“”\n]*)[“”]")
 _OPEN, _CLOSE = "([{“«", ")]}”»"
@@ -71,8 +76,7 @@ class Codes:
         start = np.maximum.accumulate(np.where(self.breaks, at, 0))
         self.depth_in_line = at - start
         kinds = np.zeros(n, np.int64)
-        firsts = np.flatnonzero(self.breaks)
-        kinds[firsts] = [shape_of(joined[i + 1 : i + 24].split("\n", 1)[0]) for i in firsts.tolist()]
+        kinds[self.breaks] = [shape_of(line) for line in joined.split("\n")[1:]]
         self.kind = kinds[start]
         opens, closes = (np.isin(c, [ord(x) for x in s]).astype(np.int64) for s in (_OPEN, _CLOSE))
         tag = (c[:-1] == 60) & ((c[1:] == 47) | ((c[1:] >= 97) & (c[1:] <= 122)))
@@ -143,15 +147,17 @@ def tails(texts: DataFrame) -> DataFrame:
 
 
 def _filter(ends: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits with one set for each context of the tails: 2 MB, whatever their number.
+    """Bits, BITS_EACH for each distinct context of the tails, with its own set; at most MAX_FILTER_BITS.
 
     It only spares work: contexts that pass it by chance are counted in vain.
     """
-    bits = ends.select(F.pmod("context", F.lit(FILTER_BITS)).alias("bit"))
+    distinct = ends.agg(F.approx_count_distinct("context")).first()[0]
+    size = min(MAX_FILTER_BITS, 1 << max(16, int(BITS_EACH * distinct).bit_length()))
+    bits = ends.select(F.pmod("context", F.lit(size)).alias("bit"))
     words = bits.select(F.expr("int(bit div 32)").alias("word"), F.expr("shiftleft(1L, int(bit % 32))").alias("bits"))
-    got = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most FILTER_BITS / 32 rows
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    out[got["word"].to_numpy()] = got["bits"].to_numpy().astype(np.uint32)
+    got = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most MAX_FILTER_BITS / 32 rows
+    out = np.zeros(size // 32, np.uint32)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
     return out
 
 
@@ -168,6 +174,7 @@ def count_contexts(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, parts, held = shared.value, [], 0
+        size = len(bits) * 32
         show = lambda t: pd.DataFrame({"context": t[:, 0], "n_end": t[:, 1], "n_go": t[:, 2]})
         for pdf in frames:
             for codes in _chunks([p for t in pdf["text"] if (p := plain(t))]):
@@ -176,7 +183,7 @@ def count_contexts(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
                 inner[codes.finals()] = False
                 for order in (0, *ORDERS):
                     where, hashes = codes.at(np.flatnonzero(inner), order)
-                    low = (hashes % FILTER_BITS).astype(np.int64)
+                    low = hashes % size
                     hit = (bits[low >> 5] >> (low & 31).astype(np.uint32)) & 1 == 1
                     keys, back = np.unique(hashes[hit], return_inverse=True)
                     stop = end[where[hit]]
@@ -218,24 +225,45 @@ def end_odds(documents: DataFrame) -> DataFrame:
     steps = F.array_sort(F.collect_list(F.struct("level", others.alias("e"), (others + F.col("n_go")).alias("n"))))
     p = F.aggregate(steps, F.lit(0.05), lambda p, s: (s["e"] + F.lit(PRIOR) * p) / (s["n"] + F.lit(PRIOR)))
     odds = joined.groupBy("copy").agg(p.alias("p")).select("copy", F.least(F.greatest("p", F.lit(1e-9)), F.lit(1 - 1e-9)).alias("p"))
-    return odds.select("copy", F.log(F.col("p") / (1 - F.col("p"))).alias("log_odds"))
+    out = materialize(odds.select("copy", F.log(F.col("p") / (1 - F.col("p"))).alias("log_odds")), "odds")
+    for part in (texts, ends, known):
+        drop_scratch(texts.sparkSession, part)
+    return out
+
+
+def fit_cuts(odds: DataFrame) -> DataFrame:
+    """(lang, source, cut_at) of odds(lang, source, log_odds), one row per document: each group's threshold.
+
+    Whole ends and cuts are two hills of the distribution of log-odds; the
+    threshold is the one of CUTS in the lowest valley between them, nearest to CUT
+    among equals. A group counts with the pooled distribution as POOLED further
+    documents, so a small or unmixed group keeps the common valley.
+    """
+    near = [F.count_if((F.col("log_odds") > t - VALLEY) & (F.col("log_odds") <= t + VALLEY)).cast("double") for t in CUTS]
+    per = odds.filter("log_odds is not null").groupBy("lang", "source").agg(F.count("*").alias("n"), F.array(*near).alias("near"))
+    pooled = per.select("n", F.posexplode("near").alias("k", "x")).groupBy("k").agg((F.sum("x") / F.sum("n")).alias("share"))
+    pooled = pooled.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "share"))), lambda s: s["share"]).alias("pooled"))  # one row of len(CUTS) shares
+    place = F.array(*[F.lit(t) for t in CUTS])
+    valley = F.transform(F.arrays_zip("near", "pooled", place.alias("t")), lambda z: F.struct((z["near"] + POOLED * z["pooled"]).alias("x"), F.abs(z["t"] - CUT).alias("far"), z["t"].alias("t")))
+    return per.crossJoin(F.broadcast(pooled)).select("lang", "source", F.array_min(valley)["t"].alias("cut_at"))
 
 
-def truncated(documents: DataFrame, cuts: dict[tuple[str, str], float] | None = None) -> DataFrame:
+def truncated(documents: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
     """(doc_id, lang, source, log_odds, cut) of every document; cut tells that its end is lost.
 
     A text is cut when the log-odds of its end lie below the threshold of its
-    language and source (`cuts`, by (lang, source); else CUT). Trailing blanks
-    and cut marks are set aside first, so a mark alone decides nothing. Null
-    and blank texts have null log_odds and aren't cut; a null language is
-    'und', a null source ''. Repeated rows are judged alike.
+    language and source: that of `cuts` (lang, source, cut_at), else the one that
+    fit_cuts finds. Trailing blanks and cut marks are set aside first, so a mark
+    alone decides nothing. Null and blank texts have null log_odds and aren't
+    cut; a null language is 'und', a null source ''. Repeated rows are judged alike.
     """
     odds = end_odds(documents)
     docs = documents.select("doc_id", F.coalesce(F.lower("lang"), F.lit("und")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.xxhash64("text").alias("copy"))
-    limit = F.lit(CUT)
-    for (lang, source), value in (cuts or {}).items():
-        limit = F.when((F.col("lang") == lang) & (F.col("source") == source), value).otherwise(limit)
-    return docs.join(odds, "copy", "left").select("doc_id", "lang", "source", "log_odds", F.coalesce(F.col("log_odds") < limit, F.lit(False)).alias("cut"))
+    judged = materialize(keyed_join(docs, odds, "copy", "left").select("doc_id", "lang", "source", "log_odds"), "judged")
+    group = lambda d: d.withColumn("group", F.to_json(F.struct("lang", "source")))
+    limits = group(fit_cuts(judged) if cuts is None else cuts).select("group", "cut_at")
+    met = keyed_join(group(judged), limits, "group", "left")
+    return met.select("doc_id", "lang", "source", "log_odds", F.coalesce(F.col("log_odds") < F.coalesce("cut_at", F.lit(CUT)), F.lit(False)).alias("cut"))
 
 
 def p10_found(spark: SparkSession, root: str) -> DataFrame:

@@ -179,3 +179,30 @@ def test_queries_run(spark, name):
 
 def test_edits_count_swaps_once():
     assert edits("abcd", "acbd") == 1 and edits("", "ab") == 2
+
+
+def test_slips_in_turned_words_and_no_habits():
+    m = canonical.Matcher(canonical.reference_forms(CLASSES, CONCEPTS))
+    assert m.match("facplate garden hose") == "c1" and m.match("handle_of_the_gardn hose") == "c2"
+    bare = canonical.Habits()
+    m = canonical.Matcher(canonical.reference_forms(CLASSES, CONCEPTS, bare), bare)
+    assert m.match("Gardn hoes faceplate") == "c1" and m.match("handle, garden hose") == "c2" and m.match("wine barrel spindle") == ""
+
+
+def test_shards_of_the_list_agree_with_one(spark, monkeypatch):
+    entries = spark.createDataFrame([(i, v, None) for i, v in enumerate(["gardn hose handle", "rain barel spindle", "garden hose faceplate!", "nothing", "garden hose hndl"])], "entry_id long, name string, aliases array<string>")
+    cl = spark.createDataFrame([tuple(c.values()) for c in CLASSES], "class_id string, name string, concept string, aliases array<string>")
+    co = spark.createDataFrame([tuple(c.values()) for c in CONCEPTS], "concept_id string, name string, aliases array<string>")
+    one = sorted(tuple(r) for r in canonical.map_values(entries, cl, co).collect())
+    monkeypatch.setattr(canonical, "SHARD_FORMS", 40)
+    assert sorted(tuple(r) for r in canonical.map_values(entries, cl, co).collect()) == one == [(0, "c2"), (1, "c3"), (2, "c1"), (3, ""), (4, "c2")]
+
+
+def test_thresholds_per_language_and_source(spark):
+    rows = [("de", "a", -4.0 + 0.1 * (i % 9)) for i in range(4000)] + [("de", "a", 3.0)] * 100 + [("en", "b", -9.0), ("en", "b", None)] + [("en", "c", x) for x in (-8.0, 3.0) for _ in range(50)]
+    got = {(r["lang"], r["source"]): r["cut_at"] for r in truncation.fit_cuts(spark.createDataFrame(rows, "lang string, source string, log_odds double")).collect()}
+    assert got["de", "a"] == -2.5 and set(got) == {("de", "a"), ("en", "b"), ("en", "c")}
+    d = spark.createDataFrame([(1, "One. Two. Thr", "xx", "s"), (2, None, None, None)], "doc_id long, text string, lang string, source string")
+    for at, cut in ((99.0, True), (-99.0, False)):
+        limits = spark.createDataFrame([("xx", "s", at)], "lang string, source string, cut_at double")
+        assert {r["doc_id"]: r["cut"] for r in truncation.truncated(d, limits).collect()} == {1: cut, 2: False}
