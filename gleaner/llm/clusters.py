@@ -9,18 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from gleaner.llm.neighbours import DIM, MIN_COS, hashes, vectors
-from gleaner.llm.vector_index import BLOCK_ROWS, census, fit_cells, per_cell, rotation, route, search, unit
+from gleaner.llm.vector_index import BLOCK_ROWS, binaries, census, distinct_vectors, fit_cells, ids_of, matrix, per_cell, ranked, rotation, route, search, unit
 from gleaner.operators.components import connected_components
+from gleaner.operators.skew import keyed_join
 from gleaner.session import drop_scratch, materialize
 from gleaner.sources.tables import table
 
-GRAPH_K, MIN_SIZE, LATER_LEADERS = 6, 4, 16_384
-#: Passes in a row that must merge nothing before the exact ones.
-FRESH_PASSES = 2
-
-
-#: A pair also merges when it is the best of one side and at most this share below the best of the other.
-TOLERANCE = 0.05
+GRAPH_K, MIN_SIZE = 6, 4
+#: Rows of a crowded cell that the first pass links at once; later passes link what becomes of them.
+LINK_ROWS = 4_096
 
 
 def _best(n: int, i: np.ndarray, j: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,66 +31,49 @@ def _best(n: int, i: np.ndarray, j: np.ndarray, sim: np.ndarray) -> tuple[np.nda
     return out, top
 
 
-def _stars(best: np.ndarray, top: np.ndarray, fixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, centre) of the merges of one round.
-
-    A node asks its best neighbour if it is that one's best too, within
-    TOLERANCE; whoever is asked more (the smaller, if equally) takes the other in.
-    """
-    node = np.flatnonzero((best >= 0) & ~fixed)
-    goal = best[node]
-    ok = ~fixed[goal] & (top[node] >= (1 - TOLERANCE) * top[goal])
-    node, goal = node[ok], goal[ok]
-    asked = np.bincount(goal, minlength=len(best))
-    wants = np.full(len(best), -1)
-    wants[node] = goal
-    mine, other = asked[goal], asked[wants[goal]]
-    centre = (wants[goal] < 0) | (mine > other) | ((mine == other) & (goal < wants[goal]))
-    stays = np.zeros(len(best), bool)
-    stays[goal[centre]] = True
-    go = stays[goal] & ~stays[node]
-    return node[go], goal[go]
-
-
-def link_rounds(means: np.ndarray, weight: np.ndarray, fixed: np.ndarray, floor: float, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def link_rounds(means: np.ndarray, weight: np.ndarray, floor: float, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cluster number (a row number) of each row, and the means at those numbers, by average linkage of at least `floor`.
 
     A cluster is the weighted mean of its unit vectors, so the inner product of
-    two means is their average linkage. Candidates form a sparse graph of each
-    cluster's best GRAPH_K neighbours; every round merges all mutual best pairs
-    (within TOLERANCE, else a central cluster would take in one row a round), and
-    the graph is made anew from the means when it holds no more of them.
-    `fixed` rows may be a row's best neighbour but never merge.
+    two means is their average linkage. Candidates form a sparse graph: links
+    between clusters that are among each other's GRAPH_K best. Every round merges
+    all mutual best pairs of the graph; when it holds no more, it is made anew
+    from the means. The best pair of all is always linked, so the end is reached
+    only when no two clusters link with `floor`.
     """
     n = len(means)
     of, means, weight = np.arange(n), means.copy(), weight.astype(np.float64).copy()
     alive = np.arange(n)
-    while (~fixed[alive]).sum() and len(alive) > 1:
+    while len(alive) > 1:
+        m = len(alive)
         x = unit(means[alive])
         norm = np.sqrt(np.einsum("ij,ij->i", means[alive], means[alive]))
         q, r, cos = search(x, x, GRAPH_K + 1, floor, turn)
         keep = (q != r) & (cos * norm[q] * norm[r] >= floor)
-        pair = np.unique(np.stack([np.minimum(q, r)[keep], np.maximum(q, r)[keep]], 1), axis=0)
-        i, j, merged = alive[pair[:, 0]], alive[pair[:, 1]], False
+        key = q[keep] * m + r[keep]
+        both = key[np.isin(r[keep] * m + q[keep], key)]
+        i, j = np.divmod(both, m)
+        i, j = alive[i[i < j]], alive[j[i < j]]
+        merged = False
         while len(i):
             sim = np.einsum("ij,ij->i", means[i], means[j])
             ok = sim >= floor
-            i, j, sim = i[ok], j[ok], sim[ok]
-            low, into = _stars(*_best(n, i, j, sim), fixed)
+            i, j = i[ok], j[ok]
+            best, _ = _best(n, i, j, sim[ok])
+            low = np.flatnonzero((best > np.arange(n)) & (best[best] == np.arange(n)))
             if not len(low):
                 break
-            merged = True
-            taken = np.unique(into)
-            means[taken] *= weight[taken, None]
-            np.add.at(means, into, means[low] * weight[low, None])
-            np.add.at(weight, into, weight[low])
-            means[taken] /= weight[taken, None]
+            merged, into = True, low
+            gone = best[low]
+            total = weight[into] + weight[gone]
+            means[into] = (means[into] * weight[into, None] + means[gone] * weight[gone, None]) / total[:, None]
+            weight[into] = total
             to = np.arange(n)
-            to[low] = into
+            to[gone] = into
             of, i, j = to[of], to[i], to[j]
-            i, j = np.minimum(i, j), np.maximum(i, j)
-            pair = np.unique(np.stack([i, j], 1)[i != j], axis=0)
-            i, j = pair[:, 0], pair[:, 1]
+            key = np.unique(np.minimum(i, j) * n + np.maximum(i, j))
+            i, j = np.divmod(key, n)
+            i, j = i[i != j], j[i != j]
         if not merged:
             break
         alive = np.unique(of)
@@ -105,102 +85,90 @@ LINKED = "kind int, iuid binary, cluster binary, vec binary, weight double, h lo
 
 def _link(floor: float):
     turn = rotation(DIM)
-    types = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.int64()]
-
-    def run(cell: dict) -> Iterator[pa.RecordBatch]:
-        """(iuid, cluster) of home rows (kind 0), (cluster, mean, weight) of clusters (1), (h, cluster) of hot vectors (2)."""
-        rows: dict[bytes, list] = {}
-        for home, vec, weight, h, ids in zip(*(cell[c] for c in ("home", "vec", "weight", "h", "ids"))):
-            r = rows.setdefault(vec, [home, 0.0, h, set()])
-            r[1] += weight
-            r[3].update(ids)
-        least = {v: min(r[3]) for v, r in rows.items()}
-        order = sorted(rows, key=least.__getitem__)
-        fixed = np.array([not rows[v][0] for v in order])
-        if fixed.all():
-            return
-        means = np.frombuffer(b"".join(order), np.float32).reshape(len(order), -1).astype(np.float64)
-        weight = np.array([rows[v][1] for v in order])
-        of, centre = link_rounds(means, weight, fixed, floor, turn)
-        head = np.full(len(order), len(order))
-        np.minimum.at(head, of, np.arange(len(order)))
-        total = np.zeros(len(order))
+
+    def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """(iuid, cluster) of rows (kind 0), (cluster, mean, weight) of clusters (1), (h, cluster) of vectors (2)."""
+        order, first, counts = distinct_vectors(t)
+        ids, sizes = ids_of(t.column("ids"))
+        names, rank = ranked(ids)
+        row = np.repeat(np.arange(len(order)), sizes)
+        least_of_row = np.full(len(order), len(names))
+        np.minimum.at(least_of_row, row, rank)
+        least = np.minimum.reduceat(least_of_row[order], first)
+        by = np.argsort(least, kind="stable")
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        vec_of = np.empty(len(order), np.int64)
+        vec_of[order] = np.repeat(place, counts)
+        least, lead = least[by], order[first[by]]
+        weight = np.add.reduceat(t.column("weight").to_numpy()[order], first)[by]
+        of, centre = link_rounds(matrix(t.column("vec"))[lead].astype(np.float64), weight, floor, turn)
+        head = np.full(len(by), len(names))
+        np.minimum.at(head, of, least)
+        total = np.zeros(len(by))
         np.add.at(total, of, weight)
-        out: list[tuple] = []
-        for k, vec in enumerate(order):
-            if fixed[k]:
-                continue
-            _, _, h, ids = rows[vec]
-            name = least[order[head[of[k]]]]
-            out += [(0, i, name, None, None, None) for i in ids]
-            if of[k] == k:
-                out.append((1, None, name, centre[k].astype(np.float32).tobytes(), float(total[k]), None))
-            if h is not None:
-                out.append((2, None, name, None, None, h))
-        for lo in range(0, len(out), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out[lo : lo + 20_000]), types)], names=["kind", "iuid", "cluster", "vec", "weight", "h"])
+        none = pa.nulls(len(row), pa.binary())
+        cluster = names[head[of[vec_of[row]]]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(row), np.int32)), binaries(ids), binaries(cluster), none, pa.nulls(len(row), pa.float64()), pa.nulls(len(row), pa.int64())], names=NAMES)
+        own = np.flatnonzero(of == np.arange(len(by)))
+        none = pa.nulls(len(own), pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.ones(len(own), np.int32)), none, binaries(names[head[own]]), binaries(centre[own].astype(np.float32)), pa.array(total[own]), pa.nulls(len(own), pa.int64())], names=NAMES
+        )
+        marked = np.flatnonzero(t.column("hot").to_numpy())
+        none = pa.nulls(len(marked), pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(marked), 2, np.int32)), none, binaries(names[head[of[vec_of[marked]]]]), none, pa.nulls(len(marked), pa.float64()), t.column("h").take(pa.array(marked)).combine_chunks()], names=NAMES
+        )
 
     return run
 
 
-def _level(nodes: DataFrame, rows: int, hot: list[int], floor: float, level: int) -> DataFrame:
-    """One pass; `rows` counts what its cells are fitted on.
+NAMES = ["kind", "iuid", "cluster", "vec", "weight", "h"]
 
-    From the second on, cells form around clusters of several rows, however small, and
-    lone rows come to them, or to coarse cells. Each pass has its own sample and coarse cells.
-    """
-    seed = 11 + level
-    cells = fit_cells(nodes, rows, seed) if not level else fit_cells(nodes.filter("weight > 1"), rows, seed, least=1, most=LATER_LEADERS, random_coarse=True)
-    return per_cell(route(nodes, cells, hot, coarse_probes=False), _link(floor), LINKED)
 
+def _first_level(packed: DataFrame, rows: int, hot: list[int], floor: float) -> DataFrame:
+    """Clusters within the cells of the index; each row is linked where it is at home."""
+    cells = fit_cells(packed, rows)
+    crowd = np.maximum(1, np.ceil(cells.blocks * BLOCK_ROWS / LINK_ROWS)).astype(np.int64)
+    cells.blocks = np.where(cells.blocks > 1, crowd, 1)
+    at_home = route(packed, cells, hot, probes=False).filter("home").withColumn("hot", F.col("h").isin(hot) if hot else F.lit(False))
+    return per_cell(at_home, rows, _link(floor), LINKED)
 
-def _closest(nodes: DataFrame, count: int, floor: float) -> DataFrame:
-    """(iuid, other): each node's most similar other one over all pairs with at least one cluster of several rows, if it reaches `floor`.
 
-    Exact: products over all pairs of row blocks, so the work is quadratic in the number of clusters.
+def _graph(floor: float):
+    turn = rotation(DIM)
+
+    def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Pairs of a searching cluster and one of its GRAPH_K best in the cell whose linkage reaches the floor."""
+        home, asks = (np.flatnonzero(t.column(c).to_numpy()) for c in ("home", "asks"))
+        if not len(home) or not len(asks):
+            return
+        ids, _ = ids_of(t.column("ids"))
+        means = matrix(t.column("vec")).astype(np.float64)
+        x = unit(means)
+        qi, xi, _ = search(x[asks], x[home], GRAPH_K + 1, floor, turn)
+        qi, xi = asks[qi], home[xi]
+        keep = (np.einsum("ij,ij->i", means[qi], means[xi]) >= floor) & (ids[qi].view("V16") != ids[xi].view("V16"))
+        yield pa.RecordBatch.from_arrays([binaries(ids[qi[keep]]), binaries(ids[xi[keep]])], names=["a", "b"])
+
+    return run
+
+
+def _next_level(nodes: DataFrame, count: int, floor: float, level: int) -> DataFrame:
+    """One pass over the clusters of the last: a sparse graph across cells, of the index's coarse cells anew, and its components linked.
+
+    Every cluster is indexed in one cell and searches several. Clusters without a link stay as they are.
     """
-    n = max(-(-count // BLOCK_ROWS), min(3, -(-count // 4096)))
-    mine, other = F.pmod(F.xxhash64("iuid"), F.lit(n)).cast("int"), F.col("other").cast("int")
-    paired = nodes.select("iuid", "vec", "weight", mine.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
-    paired = paired.select("iuid", "vec", "weight", "block", F.least("block", other).alias("i"), F.greatest("block", other).alias("j"))
-
-    def best(t: pa.Table) -> pa.Table:
-        ids, block = t.column("iuid").to_pylist(), t.column("block").to_numpy()
-        x = np.frombuffer(b"".join(t.column("vec").to_pylist()), np.float32).reshape(len(ids), -1)
-        several = t.column("weight").to_numpy() > 1
-        low = np.flatnonzero(block == block.min())
-        high = np.flatnonzero(block == block.max()) if t.column("i")[0] != t.column("j")[0] else low
-        top, at = np.full(len(ids), -1.0, np.float32), np.full(len(ids), -1)
-        for a, b in ((low[several[low]], high), (low[~several[low]], high[several[high]])):
-            step = max(16, 4_000_000 // max(len(b), 1))
-            for lo in range(0, len(a) if len(b) else 0, step):
-                part = a[lo : lo + step]
-                s = x[part] @ x[b].T
-                s[part[:, None] == b[None, :]] = -1
-                for rows, cols, side in ((part, b, s), (b, part, s.T)):
-                    k = side.argmax(1)
-                    most = side[np.arange(len(rows)), k]
-                    more = most > top[rows]
-                    top[rows[more]], at[rows[more]] = most[more], cols[k[more]]
-        found = np.flatnonzero(top >= floor - 1e-6)
-        return pa.table({"iuid": pa.array([ids[f] for f in found], pa.binary()), "other": pa.array([ids[f] for f in at[found]], pa.binary()), "sim": pa.array(top[found].astype(np.float64))})
-
-    pairs = paired.groupBy("i", "j").applyInArrow(best, "iuid binary, other binary, sim double")
-    return pairs.groupBy("iuid").agg(F.max_by("other", F.struct("sim", "other")).alias("other"))
-
-
-def _exact_level(nodes: DataFrame, count: int, floor: float) -> DataFrame:
-    """One pass over the components of the graph of closest pairs; nodes without a pair stay as they are."""
-    pairs = materialize(_closest(nodes, count, floor), "closest")
-    parts = materialize(connected_components(pairs, "iuid", "other").withColumnRenamed("node", "iuid"), "parts")
+    cells = fit_cells(nodes, count, seed=11 + level, leaders=False)
+    found = per_cell(route(nodes, cells, [], kept=1), 4 * count, _graph(floor), "a binary, b binary")
+    pairs = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct(), "closest")
+    parts = materialize(connected_components(pairs, "a", "b").withColumnRenamed("node", "iuid"), "parts")
     drop_scratch(nodes.sparkSession, pairs)
     one = F.lit(0)
-    met = nodes.join(parts, "iuid").select(
-        F.xxhash64("component").alias("cell"), one.alias("ib"), one.alias("qb"), F.lit(True).alias("home"), F.lit(True).alias("asks"), F.lit(1).alias("parts"),
-        "vec", "weight", "h", F.array("iuid").alias("ids"),
-    )
-    rest = nodes.join(parts, "iuid", "left_anti").select(F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("iuid"), F.col("iuid").alias("cluster"), "vec", "weight", "h")
-    return per_cell(met, _link(floor), LINKED).unionByName(rest)
+    met = nodes.join(parts, "iuid").select(F.xxhash64("component").alias("cell"), one.alias("ib"), one.alias("qb"), "vec", "weight", "h", F.array("iuid").alias("ids"), F.lit(False).alias("hot"))
+    rest = nodes.join(parts, "iuid", "left_anti").select(F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("iuid"), F.col("iuid").alias("cluster"), "vec", "weight", F.lit(None).cast("long").alias("h"))
+    return per_cell(met, count // 8, _link(floor), LINKED).unionByName(rest)
 
 
 def similarity_clusters(features: DataFrame, floor: float = MIN_COS) -> tuple[DataFrame, DataFrame]:
@@ -208,38 +176,32 @@ def similarity_clusters(features: DataFrame, floor: float = MIN_COS) -> tuple[Da
 
     All ids are 16 bytes; a cluster's name is its smallest iuid. Clusters merge
     while the mean cosine between their members is at least `floor`. The first
-    pass links within cells, further passes link the means across cells until
-    FRESH_PASSES in a row, each with other cells, merge nothing; then exact passes
-    compare every cluster of several rows with all others, until one merges nothing.
-    Copies count as many members; an id with several
-    vectors goes to its smallest cluster. An empty table gives two empty results.
+    pass links rows within cells; further passes link the means across cells, each
+    with other cells, until one merges nothing. Copies count as many members; an
+    id with several vectors goes to its smallest cluster. An empty table gives two
+    empty results.
     """
     spark = features.sparkSession
     packed = vectors(features, as_unit=True)
     rows, hot = census(hashes(features))
-    first = materialize(_level(packed, rows, hot, floor, 0), "clusters")
+    first = materialize(_first_level(packed, rows, hot, floor), "clusters")
     assign = first.filter("kind = 0").select("iuid", "cluster")
     if hot:
         names = first.filter("kind = 2").groupBy("h").agg(F.min("cluster").alias("cluster"))
         assign = assign.unionByName(packed.filter(F.col("h").isin(hot)).join(F.broadcast(names), "h").select("iuid", "cluster"))
     assign = assign.groupBy("iuid").agg(F.min("cluster").alias("cluster"))
-
-    def counts(means: DataFrame) -> tuple[int, int]:
-        return tuple(means.agg(F.count("*"), F.count_if(F.col("weight") > 1)).first())
-
-    means, last, moved = first.filter("kind = 1"), None, None
-    (count, several), number, quiet, exact = counts(means), 0, 0, False
-    while count > 1:
-        number += 1
-        nodes = means.select(F.col("cluster").alias("iuid"), "vec", "weight", F.lit(None).cast("long").alias("h"))
-        made = _exact_level(nodes, count, floor) if exact else _level(nodes, several, [], floor, number)
-        level = materialize(made.filter("kind = 1 or (kind = 0 and iuid != cluster)"), "clusters")
+    means, last, moved, level = first.filter("kind = 1"), None, None, 0
+    count, before = means.count(), None
+    while count > 1 and count != before:
+        level += 1
+        nodes = means.select(F.col("cluster").alias("iuid"), "vec", "weight", F.xxhash64("cluster").alias("h"))
+        made = materialize(_next_level(nodes, count, floor, level).filter("kind = 1 or (kind = 0 and iuid != cluster)"), "clusters")
         if last is not None:
             drop_scratch(spark, last)
-        means, last, before = level.filter("kind = 1"), level, count
-        count, several = counts(means)
+        means, last, before = made.filter("kind = 1"), made, count
+        count = means.count()
         if count < before:
-            step = level.filter("kind = 0").select(F.col("iuid").alias("name"), F.col("cluster").alias("next"))
+            step = made.filter("kind = 0").select(F.col("iuid").alias("name"), F.col("cluster").alias("next"))
             now = step
             if moved is not None:
                 onward = step.select(F.col("name").alias("next"), F.col("next").alias("to"))
@@ -247,14 +209,9 @@ def similarity_clusters(features: DataFrame, floor: float = MIN_COS) -> tuple[Da
             now = materialize(now, "moved")
             if moved is not None:
                 drop_scratch(spark, moved)
-            moved, quiet = now, 0
-        elif exact:
-            break
-        else:
-            quiet += 1
-            exact = quiet >= FRESH_PASSES
+            moved = now
     if moved is not None:
-        assign = assign.join(moved.withColumnRenamed("name", "cluster"), "cluster", "left").select("iuid", F.coalesce("next", "cluster").alias("cluster"))
+        assign = keyed_join(assign, moved.withColumnRenamed("name", "cluster"), "cluster", "left").select("iuid", F.coalesce("next", "cluster").alias("cluster"))
     return assign, means.select("cluster", "vec", "weight")
 
 
@@ -264,7 +221,7 @@ def cluster_sizes(assign: DataFrame, least: int = MIN_SIZE) -> DataFrame:
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     assign, _ = similarity_clusters(table(spark, root, "features"))
-    return assign.join(cluster_sizes(assign).select("cluster"), "cluster").select(
+    return keyed_join(assign, cluster_sizes(assign).select("cluster"), "cluster").select(
         F.lower(F.hex("iuid")).alias("iuid"), F.lower(F.hex("cluster")).alias("cluster_iuid")
     )
 
@@ -286,7 +243,8 @@ def p2_clusters(spark: SparkSession, root: str, typical: int = 3, salts: int = 3
             yield pa.RecordBatch.from_arrays([b.column("cluster"), b.column("iuid"), pa.array(np.round(far, 9))], names=["cluster", "iuid", "far"])
 
     named = means.join(sizes.select("cluster"), "cluster").select("cluster", F.col("vec").alias("mean"))
-    members = assign.join(vectors(features, as_unit=True).select("iuid", "vec"), "iuid").join(named, "cluster")
+    members = assign.join(vectors(features, as_unit=True).select("iuid", "vec"), "iuid").select("cluster", "iuid", "vec")
+    members = keyed_join(members, named, "cluster")
     scored = members.select("cluster", "iuid", "vec", "mean").mapInArrow(score, "cluster binary, iuid binary, far double")
     part = W.partitionBy("cluster", "salt").orderBy("far", "iuid")
     few = scored.distinct().withColumn("salt", F.pmod(F.xxhash64("iuid"), F.lit(salts))).withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= typical)

@@ -60,6 +60,38 @@ def test_search_equals_brute_force_at_wide_bounds():
         assert set(np.argsort(-(x @ x[i]), kind="stable")[:6]) <= set(r[q == i])
 
 
+@pytest.mark.parametrize("n", [150, 3_000, 20_000])
+def test_codes_keep_the_neighbours_at_every_size(n):
+    """Recall with production bounds in one tight cell, where neighbours hardly differ."""
+    rng = np.random.default_rng(n)
+    x = vector_index.unit(rng.standard_normal(64) + 0.4 * rng.standard_normal((n, 64)))
+    pick = rng.choice(n, 100, replace=False)
+    q, r, _ = vector_index.search(x[pick], x, 6, 0.0, vector_index.rotation(64))
+    hit = sum(len(set(np.argsort(-(x @ x[j]), kind="stable")[:6]) & set(r[q == i])) for i, j in enumerate(pick))
+    assert hit >= 0.99 * 600
+
+
+def test_mutual_pairs_end_where_no_two_clusters_link():
+    """Crowd with a hub: many rows whose best is one row; rounds stay few and the result is one cluster."""
+    rng = np.random.default_rng(12)
+    x = vector_index.unit(rng.standard_normal(64) + 0.38 * rng.standard_normal((900, 64)))
+    of, means = clusters.link_rounds(x, np.ones(900), 0.82, vector_index.rotation(64))
+    left = np.unique(of)
+    assert (means[left] @ means[left].T - 2 * np.eye(len(left)) < 0.82).all() and np.bincount(of).max() > 600
+
+
+def test_neighbours_beyond_the_kept_ids(spark, monkeypatch):
+    """More neighbours than any default, with hot copies."""
+    monkeypatch.setattr(vector_index, "HOT_ROWS", 10)
+    monkeypatch.setattr(vector_index, "HOT_SHARE", 10)
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal(64)
+    x = np.concatenate([np.repeat(base[None], 40, 0), base + 0.1 * rng.standard_normal((10, 64))]).astype(np.float32)
+    ids = hexes(len(x))
+    got = {tuple(r) for r in neighbours.nearest_pairs(table(spark, ids, x), k=12).collect()}
+    assert got == brute_pairs(np.array(ids), vector_index.unit(x.astype(float)), k=12)
+
+
 def hexes(n, start=0):
     return [f"{i + start:032x}" for i in range(n)]
 
@@ -112,7 +144,6 @@ def test_unlike_rows_stay_alone(spark):
 
 def test_groups_beyond_the_leaders_are_found(spark, monkeypatch):
     monkeypatch.setattr(vector_index, "SAMPLE_ROWS", 64)
-    monkeypatch.setattr(clusters, "LATER_LEADERS", 16)
     rng = np.random.default_rng(4)
     centres = np.repeat(vector_index.unit(rng.standard_normal((150, 64))), 8, 0)
     x = np.concatenate([centres + 0.045 * rng.standard_normal(centres.shape), rng.standard_normal((400, 64))])
@@ -126,7 +157,7 @@ def test_average_linkage_stops_at_the_floor():
     rng = np.random.default_rng(2)
     centres = vector_index.unit(rng.standard_normal((6, 64)))
     x = vector_index.unit(np.repeat(centres, 30, 0) + 0.03 * rng.standard_normal((180, 64)))
-    of, _ = clusters.link_rounds(x, np.ones(180), np.zeros(180, bool), 0.82, vector_index.rotation(64))
+    of, _ = clusters.link_rounds(x, np.ones(180), 0.82, vector_index.rotation(64))
     assert len({tuple(of[i * 30 : i * 30 + 30]) for i in range(6)}) == 6 and all(len(set(of[i * 30 : i * 30 + 30])) == 1 for i in range(6))
 
 
@@ -147,4 +178,8 @@ def test_subset_has_its_size_and_spreads(spark):
     images = d.select(F.unhex("iuid").alias("iuid"), F.lit(None).cast("long").alias("image_id")).limit(10)
     got = [r["iuid"] for r in subset.varied_subset(d.unionByName(d), images, 40).collect()]
     assert len(set(got)) == len(got) == 40 and sum(i in set(ids[:300]) for i in got) < 25
+    for n, rest in ((300, 300), (40, 360)):  # half and a tenth of the rows
+        y = np.concatenate([x[:n], rng.standard_normal((rest, 64))])
+        some = [r["iuid"] for r in subset.varied_subset(table(spark, hexes(len(y)), y), images, 40).collect()]
+        assert sum(i in set(ids[:n]) for i in some) / 40 <= n / len(y)
     assert subset.varied_subset(d, images, 1000).count() == 400
