@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from gleaner.llm.merge_groups import group_links
 from gleaner.llm.neighbours import DIM, MIN_COS, hashes, vectors
-from gleaner.llm.vector_index import BLOCK_ROWS, binaries, census, distinct_vectors, fit_cells, ids_of, matrix, per_cell, ranked, rotation, route, search, unit
-from gleaner.operators.components import connected_components
+from gleaner.llm.vector_index import binaries, census, distinct_vectors, fit_cells, ids_of, matrix, per_cell, ranked, rotation, route, search, unit
 from gleaner.operators.skew import keyed_join
 from gleaner.session import drop_scratch, materialize
 from gleaner.sources.tables import table
@@ -18,91 +18,95 @@ from gleaner.sources.tables import table
 GRAPH_K, MIN_SIZE = 6, 4
 #: Rows of a crowded cell that the first pass links at once; later passes link what becomes of them.
 LINK_ROWS = 4_096
+#: Rows of small cells that take their rounds together.
+TOGETHER = 8_192
 
 
-def _best(n: int, i: np.ndarray, j: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each node's most similar neighbour over links i-j, ties to the smaller, and its similarity; -1 without one."""
-    a, b, s = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([sim, sim])
-    order = np.lexsort((b, -s, a))
-    a, b, s = a[order], b[order], s[order]
-    out, top = np.full(n, -1), np.full(n, -1.0)
-    first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
-    out[a[first]], top[a[first]] = b[first], s[first]
-    return out, top
-
-
-def link_rounds(means: np.ndarray, weight: np.ndarray, floor: float, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def link_rounds(means: np.ndarray, weight: np.ndarray, floor: float, turn: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Cluster number (a row number) of each row, and the means at those numbers, by average linkage of at least `floor`.
 
-    A cluster is the weighted mean of its unit vectors, so the inner product of
-    two means is their average linkage. Candidates form a sparse graph: links
-    between clusters that are among each other's GRAPH_K best. Every round merges
-    all mutual best pairs of the graph; when it holds no more, it is made anew
-    from the means. The best pair of all is always linked, so the end is reached
-    only when no two clusters link with `floor`.
+    Rows of one cell follow each other from each of `starts` and are linked among
+    themselves only; all cells take their rounds together. A cluster is the
+    weighted mean of its unit vectors, so the inner product of two means is their
+    average linkage. Candidates form a sparse graph: links between clusters that
+    are among each other's GRAPH_K best. Every round merges all mutual best pairs
+    of the graph; when it holds no more, it is made anew from the means. The best
+    pair of all is always linked, so the end is reached only when no two clusters
+    of a cell link with `floor`.
     """
     n = len(means)
     of, means, weight = np.arange(n), means.copy(), weight.astype(np.float64).copy()
-    alive = np.arange(n)
-    while len(alive) > 1:
-        m = len(alive)
-        x = unit(means[alive])
-        norm = np.sqrt(np.einsum("ij,ij->i", means[alive], means[alive]))
-        q, r, cos = search(x, x, GRAPH_K + 1, floor, turn)
-        keep = (q != r) & (cos * norm[q] * norm[r] >= floor)
-        key = q[keep] * m + r[keep]
-        both = key[np.isin(r[keep] * m + q[keep], key)]
-        i, j = np.divmod(both, m)
-        i, j = alive[i[i < j]], alive[j[i < j]]
-        merged = False
+    ends = np.r_[starts[1:], n] if starts is not None else np.array([n])
+    pending = [np.arange(lo, hi) for lo, hi in zip(starts if starts is not None else [0], ends)]
+    while pending:
+        graph = [_links(means, alive, floor, turn) for alive in pending if len(alive) > 1]
+        i, j, sim = (np.concatenate(c) for c in zip(*graph)) if graph else (np.zeros(0, int),) * 3
+        grown = np.zeros(n, bool)
         while len(i):
-            sim = np.einsum("ij,ij->i", means[i], means[j])
-            ok = sim >= floor
-            i, j = i[ok], j[ok]
-            best, _ = _best(n, i, j, sim[ok])
-            low = np.flatnonzero((best > np.arange(n)) & (best[best] == np.arange(n)))
-            if not len(low):
-                break
-            merged, into = True, low
-            gone = best[low]
-            total = weight[into] + weight[gone]
-            means[into] = (means[into] * weight[into, None] + means[gone] * weight[gone, None]) / total[:, None]
-            weight[into] = total
-            to = np.arange(n)
-            to[gone] = into
-            of, i, j = to[of], to[i], to[j]
-            key = np.unique(np.minimum(i, j) * n + np.maximum(i, j))
-            i, j = np.divmod(key, n)
-            i, j = i[i != j], j[i != j]
-        if not merged:
-            break
-        alive = np.unique(of)
+            top, best = np.full(n, -1.0), np.full(n, n)
+            np.maximum.at(top, i, sim)
+            hit = sim == top[i]
+            a, b = i[hit], j[hit]
+            np.minimum.at(best, a, b)
+            pair = (a < b) & (best[a] == b) & (best[b] == a)
+            low, gone = a[pair], b[pair]
+            total = weight[low] + weight[gone]
+            means[low] = (means[low] * weight[low, None] + means[gone] * weight[gone, None]) / total[:, None]
+            weight[low] = total
+            grown[low] = True
+            to, touched = np.arange(n), np.zeros(n, bool)
+            to[gone] = low
+            of = to[of]
+            touched[low] = touched[gone] = True
+            old = touched[i] | touched[j]
+            a, b = np.divmod(np.unique(to[i[old]] * n + to[j[old]]), n)
+            a, b = a[a != b], b[a != b]
+            s = np.einsum("ij,ij->i", means[a], means[b])
+            ok = s >= floor
+            i, j, sim = np.r_[i[~old], a[ok]], np.r_[j[~old], b[ok]], np.r_[sim[~old], s[ok]]
+        pending = [np.unique(of[alive]) for alive in pending if grown[alive].any()]
     return of, means
 
 
+def _links(means: np.ndarray, alive: np.ndarray, floor: float, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both directions of the links between clusters among each other's GRAPH_K best, with their linkage of at least `floor`."""
+    m, x = len(alive), unit(means[alive])
+    q, r, _ = search(x, x, GRAPH_K + 1, floor, turn)
+    key, back = q * m + r, r * m + q
+    i, j = np.divmod(np.intersect1d(key[q != r], back, assume_unique=True), m)
+    i, j = alive[i], alive[j]
+    sim = np.einsum("ij,ij->i", means[i], means[j])
+    ok = sim >= floor
+    return i[ok], j[ok], sim[ok]
+
+
 LINKED = "kind int, iuid binary, cluster binary, vec binary, weight double, h long"
 
 
 def _link(floor: float):
     turn = rotation(DIM)
 
-    def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        """(iuid, cluster) of rows (kind 0), (cluster, mean, weight) of clusters (1), (h, cluster) of vectors (2)."""
-        order, first, counts = distinct_vectors(t)
+    def run(cells: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        """(iuid, cluster) of rows (kind 0), (cluster, mean, weight) of clusters (1), (h, cluster) of vectors (2), of some cells."""
+        t = pa.concat_tables(cells)
+        cell = np.repeat(np.arange(len(cells)), [c.num_rows for c in cells])
         ids, sizes = ids_of(t.column("ids"))
         names, rank = ranked(ids)
-        row = np.repeat(np.arange(len(order)), sizes)
+        row = np.repeat(np.arange(len(cell)), sizes)
+        # distinct vectors of each cell, in the order of their smallest ids
+        order, first, counts = distinct_vectors(t, cell)
         least_of_row = np.full(len(order), len(names))
         np.minimum.at(least_of_row, row, rank)
         least = np.minimum.reduceat(least_of_row[order], first)
-        by = np.argsort(least, kind="stable")
+        by = np.lexsort((least, cell[order[first]]))
         place = np.empty(len(by), np.int64)
         place[by] = np.arange(len(by))
         vec_of = np.empty(len(order), np.int64)
         vec_of[order] = np.repeat(place, counts)
         least, lead = least[by], order[first[by]]
         weight = np.add.reduceat(t.column("weight").to_numpy()[order], first)[by]
-        of, centre = link_rounds(matrix(t.column("vec"))[lead].astype(np.float64), weight, floor, turn)
+        starts = np.flatnonzero(np.r_[True, cell[lead][1:] != cell[lead][:-1]])
+        of, centre = link_rounds(matrix(t.column("vec"))[lead].astype(np.float64), weight, floor, turn, starts)
         head = np.full(len(by), len(names))
         np.minimum.at(head, of, least)
         total = np.zeros(len(by))
@@ -118,7 +122,7 @@ def _link(floor: float):
         marked = np.flatnonzero(t.column("hot").to_numpy())
         none = pa.nulls(len(marked), pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(marked), 2, np.int32)), none, binaries(names[head[of[vec_of[marked]]]]), none, pa.nulls(len(marked), pa.float64()), t.column("h").take(pa.array(marked)).combine_chunks()], names=NAMES
+            [pa.array(np.full(len(marked), 2, np.int32)), none, binaries(names[head[of[vec_of[marked]]]]), none, pa.nulls(len(marked), pa.float64()), pa.array(t.column("h").to_numpy()[marked])], names=NAMES
         )
 
     return run
@@ -130,10 +134,9 @@ NAMES = ["kind", "iuid", "cluster", "vec", "weight", "h"]
 def _first_level(packed: DataFrame, rows: int, hot: list[int], floor: float) -> DataFrame:
     """Clusters within the cells of the index; each row is linked where it is at home."""
     cells = fit_cells(packed, rows)
-    crowd = np.maximum(1, np.ceil(cells.blocks * BLOCK_ROWS / LINK_ROWS)).astype(np.int64)
-    cells.blocks = np.where(cells.blocks > 1, crowd, 1)
+    cells.cut(LINK_ROWS)
     at_home = route(packed, cells, hot, probes=False).filter("home").withColumn("hot", F.col("h").isin(hot) if hot else F.lit(False))
-    return per_cell(at_home, rows, _link(floor), LINKED)
+    return per_cell(at_home, rows, _link(floor), LINKED, TOGETHER)
 
 
 def _graph(floor: float):
@@ -163,12 +166,12 @@ def _next_level(nodes: DataFrame, count: int, floor: float, level: int) -> DataF
     cells = fit_cells(nodes, count, seed=11 + level, leaders=False)
     found = per_cell(route(nodes, cells, [], kept=1), 4 * count, _graph(floor), "a binary, b binary")
     pairs = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct(), "closest")
-    parts = materialize(connected_components(pairs, "a", "b").withColumnRenamed("node", "iuid"), "parts")
+    parts = materialize(group_links(pairs, "a", "b").select(F.col("node").alias("iuid"), F.col("group").alias("component")), "parts")
     drop_scratch(nodes.sparkSession, pairs)
     one = F.lit(0)
     met = nodes.join(parts, "iuid").select(F.xxhash64("component").alias("cell"), one.alias("ib"), one.alias("qb"), "vec", "weight", "h", F.array("iuid").alias("ids"), F.lit(False).alias("hot"))
     rest = nodes.join(parts, "iuid", "left_anti").select(F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("iuid"), F.col("iuid").alias("cluster"), "vec", "weight", F.lit(None).cast("long").alias("h"))
-    return per_cell(met, count // 8, _link(floor), LINKED).unionByName(rest)
+    return per_cell(met, count // 8, _link(floor), LINKED, TOGETHER).unionByName(rest)
 
 
 def similarity_clusters(features: DataFrame, floor: float = MIN_COS) -> tuple[DataFrame, DataFrame]:

@@ -148,7 +148,7 @@ def nearest_pairs(features: DataFrame, k: int = K, min_cos: float = MIN_COS) ->
     """
     packed = vectors(features)
     rows, hot = census(hashes(features))
-    found = materialize(per_cell(route(packed, fit_cells(packed, rows), hot, kept=k + 1), 2 * rows, _nearest(k, min_cos, hot), FOUND), "neighbours")
+    found = materialize(per_cell(route(packed, fit_cells(packed, rows), hot, kept=k + 1).drop("weight"), 2 * rows, _nearest(k, min_cos, hot), FOUND), "neighbours")
     # an id that several cells name keeps its nearest mention
     merged = F.array_distinct(F.transform(F.array_sort(F.flatten(F.collect_list("items"))), lambda x: x["id"])).alias("near")
     lists_ = found.filter("kind = 2").groupBy("h").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"), merged).select("near", F.explode("ids").alias("me"))

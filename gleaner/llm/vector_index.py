@@ -29,7 +29,7 @@ from gleaner.session import wide
 SAMPLE_ROWS, LEADER_COS = 65_536, 0.75
 #: Rows for which there is one leader, or one coarse cell, and the least and most of each.
 LEADER_EACH, COARSE_EACH, LEADERS, COARSES = 100, 2_000, (1_024, 16_384), (64, 1_024)
-TIGHT_COS, MARGIN, PROBES, BLOCK_ROWS = 0.80, 0.06, 8, 8_192
+TIGHT_COS, MARGIN, PROBES, BLOCK_ROWS = 0.80, 0.06, 8, 16_384
 #: A row outside the leaders searches its PROBES best coarse cells, but none this much worse than its home.
 COARSE_MARGIN = 0.08
 #: Half-width of the error bound in units of the estimator's spread.
@@ -67,11 +67,20 @@ def rotation(dim: int, seed: int = 7) -> np.ndarray:
 
 @dataclass
 class Cells:
-    """Centres of the leader cells, then of the coarse cells, and each cell's number of blocks."""
+    """Centres of the leader cells, then of the coarse cells, each cell's estimated rows and its number of blocks."""
 
     centres: np.ndarray
     n_leaders: int
-    blocks: np.ndarray
+    size: np.ndarray
+    blocks: np.ndarray | None = None
+
+    def __post_init__(self) -> None:
+        if self.blocks is None:
+            self.cut(BLOCK_ROWS)
+
+    def cut(self, rows: int) -> None:
+        """Cut cells into blocks of about `rows` rows."""
+        self.blocks = np.maximum(1, np.ceil(self.size / rows)).astype(np.int64)
 
     def route(self, x: np.ndarray, probes: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Home cell of each unit row of x, and (row, cell) of the further cells that it searches.
@@ -122,7 +131,7 @@ def fit_cells(vectors: DataFrame, rows: int, seed: int = 11, leaders: bool = Tru
     picked = vectors if share == 1.0 else vectors.filter(F.pmod(F.xxhash64(F.lit(seed), "iuid"), F.lit(1 << 30)) < int(share * (1 << 30)))
     raw = picked.select("vec").toArrow().column("vec").to_pylist()
     if not raw:
-        return Cells(unit(np.random.default_rng(seed).standard_normal((n_coarse, dim))).astype(np.float32), 0, np.ones(n_coarse, np.int64))
+        return Cells(unit(np.random.default_rng(seed).standard_normal((n_coarse, dim))).astype(np.float32), 0, np.zeros(n_coarse))
     x = unit(np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1)).astype(np.float32)
     x = x[np.lexsort(x.T[:4])]
     x = x[np.random.default_rng(seed).permutation(len(x))]
@@ -140,7 +149,7 @@ def fit_cells(vectors: DataFrame, rows: int, seed: int = 11, leaders: bool = Tru
         full = np.bincount(to, minlength=len(centres)) > 0
         centres[full] = unit(sums[full]).astype(np.float32)
     size = np.concatenate([size, np.bincount((loose @ centres.T).argmax(1), minlength=len(centres)) * (len(x) - size.sum()) / max(len(loose), 1)]) / share
-    return Cells(np.vstack([tight, centres]), len(tight), np.maximum(1, np.ceil(size / BLOCK_ROWS)).astype(np.int64))
+    return Cells(np.vstack([tight, centres]), len(tight), size)
 
 
 def _leaders(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,7 +239,7 @@ def route(vectors: DataFrame, cells: Cells, hot: list[int], probes: bool = True,
     parts is the number of cells and blocks that a query searches. Without probes
     no row searches other blocks than its own, so each row is home in one group only.
     """
-    shared = vectors.sparkSession.sparkContext.broadcast((cells.centres, cells.n_leaders, cells.blocks))
+    shared = vectors.sparkSession.sparkContext.broadcast((cells.centres, cells.n_leaders, cells.size, cells.blocks))
     names = ["cell", "ib", "qb", "home", "asks", "parts", "vec", "weight", "h", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,17 +289,19 @@ def route(vectors: DataFrame, cells: Cells, hot: list[int], probes: bool = True,
     return vectors.mapInArrow(run, ROUTED)
 
 
-def per_cell(routed: DataFrame, rows: int, run: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def per_cell(routed: DataFrame, rows: int, run: Callable, schema: str, together: int = 0) -> DataFrame:
     """Apply `run` to the table of each (cell, ib, qb); record batches out. `rows`, about as many as are routed, sets the tasks.
 
     Cells are many and mostly small, so a task walks its sorted cells in one
-    pass and holds one cell at a time.
+    pass and holds one cell at a time, or gives `run` a list of cells of
+    `together` rows in all.
     """
     keys = ["cell", "ib", "qb"]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
-        at = None
+        cells: list[pa.Table] = []
+        at, held = None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -299,27 +310,37 @@ def per_cell(routed: DataFrame, rows: int, run: Callable[[pa.Table], Iterator[pa
             for lo, hi in zip(cuts, cuts[1:]):
                 now = tuple(k[:, lo].tolist())
                 if at is not None and now != at:
-                    yield from run(pa.Table.from_batches(kept))
+                    cells.append(pa.Table.from_batches(kept))
                     kept = []
+                    if not together:
+                        yield from run(cells.pop())
+                    elif held >= together:
+                        yield from run(cells)
+                        cells, held = [], 0
                 at = now
                 kept.append(batch.slice(lo, hi - lo))
+                held += hi - lo
         if kept:
-            yield from run(pa.Table.from_batches(kept))
+            cells.append(pa.Table.from_batches(kept))
+            yield from run(cells) if together else run(cells[0])
 
     n = max(wide(routed.sparkSession), -(-rows // TASK_ROWS))
     return routed.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(walk, schema)
 
 
-def distinct_vectors(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a cell's table: its rows in the order of their vectors, where each distinct vector begins, and how many rows it has."""
-    h = t.column("h").to_numpy()
-    order = np.argsort(h, kind="stable")
-    first = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+def distinct_vectors(t: pa.Table, cell: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a table of one or more cells: its rows in the order of cell and vector, where each distinct vector begins, and how many rows it has."""
+    h, x = t.column("h").to_numpy(), matrix(t.column("vec"))
+    cell = np.zeros(len(h), np.int64) if cell is None else cell
+
+    def cut(keys: tuple) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort(keys)
+        return order, np.flatnonzero(np.r_[True, np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)])
+
+    order, first = cut((h, cell))
     counts = np.diff(np.r_[first, len(h)])
-    x = matrix(t.column("vec"))
-    if (x[order] != np.repeat(x[order[first]], counts, 0)).any():
-        order = np.lexsort(x.T)
-        first = np.flatnonzero(np.r_[True, (x[order][1:] != x[order][:-1]).any(1)])
+    if (x[order] != np.repeat(x[order[first]], counts, 0)).any():  # two vectors share a hash
+        order, first = cut((*x.T, cell))
         counts = np.diff(np.r_[first, len(h)])
     return order, first, counts
 
