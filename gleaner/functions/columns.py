@@ -11,7 +11,7 @@ def hex_id(c: Column | str) -> Column:
     Null, empty and anything that isn't 32 hex digits (such as 'None') give null.
     """
     c = F.col(c) if isinstance(c, str) else c
-    bare = F.lower(F.regexp_replace(c, r"[\s\u00a0\u200b\ufeff{}\-]", ""))
+    bare = F.lower(F.translate(c, " \t\n\r\f\v\u00a0\u200b\ufeff{}-", ""))
     return F.when(bare.rlike("^[0-9a-f]{32}$"), bare)
 
 
