@@ -131,9 +131,9 @@ def _link(floor: float):
 NAMES = ["kind", "iuid", "cluster", "vec", "weight", "h"]
 
 
-def _first_level(packed: DataFrame, rows: int, hot: list[int], floor: float) -> DataFrame:
+def _first_level(features: DataFrame, packed: DataFrame, rows: int, hot: list[int], floor: float) -> DataFrame:
     """Clusters within the cells of the index; each row is linked where it is at home."""
-    cells = fit_cells(packed, rows)
+    cells = fit_cells(lambda share, seed: vectors(features, as_unit=True, share=share, seed=seed), rows)
     cells.cut(LINK_ROWS)
     at_home = route(packed, cells, hot, probes=False).filter("home").withColumn("hot", F.col("h").isin(hot) if hot else F.lit(False))
     return per_cell(at_home, rows, _link(floor), LINKED, TOGETHER)
@@ -163,7 +163,8 @@ def _next_level(nodes: DataFrame, count: int, floor: float, level: int) -> DataF
 
     Every cluster is indexed in one cell and searches several. Clusters without a link stay as they are.
     """
-    cells = fit_cells(nodes, count, seed=11 + level, leaders=False)
+    pick = lambda share, seed: nodes.filter(F.pmod(F.xxhash64(F.lit(seed), "iuid"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    cells = fit_cells(pick, count, seed=11 + level, leaders=False)
     found = per_cell(route(nodes, cells, [], kept=1), 4 * count, _graph(floor), "a binary, b binary")
     pairs = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct(), "closest")
     parts = materialize(group_links(pairs, "a", "b").select(F.col("node").alias("iuid"), F.col("group").alias("component")), "parts")
@@ -187,7 +188,7 @@ def similarity_clusters(features: DataFrame, floor: float = MIN_COS) -> tuple[Da
     spark = features.sparkSession
     packed = vectors(features, as_unit=True)
     rows, hot = census(hashes(features))
-    first = materialize(_first_level(packed, rows, hot, floor), "clusters")
+    first = materialize(_first_level(features, packed, rows, hot, floor), "clusters")
     assign = first.filter("kind = 0").select("iuid", "cluster")
     if hot:
         names = first.filter("kind = 2").groupBy("h").agg(F.min("cluster").alias("cluster"))

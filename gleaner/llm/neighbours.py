@@ -17,13 +17,16 @@ K, MIN_COS, DIM = 5, 0.82, 64
 FOUND = "kind int, h long, a binary, b binary, ids array<binary>, items array<struct<far:double,id:binary>>"
 
 
-def vectors(features: DataFrame, method: str = "dinov2", dim: int = DIM, as_unit: bool = False) -> DataFrame:
+def vectors(features: DataFrame, method: str = "dinov2", dim: int = DIM, as_unit: bool = False, share: float = 1.0, seed: int = 0) -> DataFrame:
     """(iuid BINARY, vec BINARY, weight, h) of the usable vectors of a method.
 
     Unusable vectors (null, of another length, with null, NaN or infinite
     numbers, or all zero) and rows without a usable id are left out. `as_unit`
-    scales each to length 1.
+    scales each to length 1. Below 1, `share` takes a sample of the ids, before
+    anything is unpacked.
     """
+    if share < 1:
+        features = features.filter(F.pmod(F.xxhash64(F.lit(seed), "iuid"), F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = features.filter((F.col("method") == method) & (F.size("vec") == dim)).select(F.unhex(hex_id("iuid")).alias("iuid"), "vec", F.xxhash64("vec").alias("h")).filter("iuid is not null")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +151,7 @@ def nearest_pairs(features: DataFrame, k: int = K, min_cos: float = MIN_COS) ->
     """
     packed = vectors(features)
     rows, hot = census(hashes(features))
-    found = materialize(per_cell(route(packed, fit_cells(packed, rows), hot, kept=k + 1).drop("weight"), 2 * rows, _nearest(k, min_cos, hot), FOUND), "neighbours")
+    found = materialize(per_cell(route(packed, fit_cells(lambda share, seed: vectors(features, share=share, seed=seed), rows), hot, kept=k + 1).drop("weight"), 2 * rows, _nearest(k, min_cos, hot), FOUND), "neighbours")
     # an id that several cells name keeps its nearest mention
     merged = F.array_distinct(F.transform(F.array_sort(F.flatten(F.collect_list("items"))), lambda x: x["id"])).alias("near")
     lists_ = found.filter("kind = 2").groupBy("h").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"), merged).select("near", F.explode("ids").alias("me"))

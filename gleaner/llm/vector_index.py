@@ -121,15 +121,14 @@ class Cells:
         return home, np.concatenate([np.zeros(0, np.int64), *rows]), np.concatenate([np.zeros(0, np.int64), *cells])
 
 
-def fit_cells(vectors: DataFrame, rows: int, seed: int = 11, leaders: bool = True, dim: int = 64) -> Cells:
-    """Cells for `rows` rows of vectors(iuid, vec BINARY of floats), from a sample of at most ~SAMPLE_ROWS.
+def fit_cells(sample: Callable[[float, int], DataFrame], rows: int, seed: int = 11, leaders: bool = True, dim: int = 64) -> Cells:
+    """Cells for `rows` rows, from at most ~SAMPLE_ROWS of them: sample(share, seed) gives rows with vec, a BINARY of floats.
 
     Without leaders, coarse cells cut the whole space. An empty sample gives random ones of `dim` dimensions.
     """
     most, n_coarse = (int(min(max(rows // each, low), high)) for each, (low, high) in ((LEADER_EACH, LEADERS), (COARSE_EACH, COARSES)))
     share = min(1.0, SAMPLE_ROWS / max(rows, 1))
-    picked = vectors if share == 1.0 else vectors.filter(F.pmod(F.xxhash64(F.lit(seed), "iuid"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    raw = picked.select("vec").toArrow().column("vec").to_pylist()
+    raw = sample(share, seed).select("vec").toArrow().column("vec").to_pylist()
     if not raw:
         return Cells(unit(np.random.default_rng(seed).standard_normal((n_coarse, dim))).astype(np.float32), 0, np.zeros(n_coarse))
     x = unit(np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1)).astype(np.float32)
