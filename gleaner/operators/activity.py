@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: The coarse category of each operation; any other is its own.
 CATEGORIES = {
-    "assign": "label", "new_class": "label", "unassign": "label", "rename": "label", "background": "reject", "unreject": "reject", "merge": "merge",
-    "split": "merge", "dedup": "dedup", "refine": "mask", "review": "review", "apply_predictions": "classifier", "undo": "undo", "redo": "undo",
+    "assign": "assign", "import": "assign", "new_class": "class", "remove": "unassign", "background": "reject", "unreject": "unreject",
+    "merge": "merge", "merge_classes": "merge", "dedup": "dedup", "split": "split",
+    "refine": "refine", "refine_partition": "refine", "refine_many": "refine", "auto_refine": "refine", "revert_refine": "refine",
+    "undo": "undo/redo", "redo": "undo/redo",
 }
 
 
@@ -28,9 +30,10 @@ def totals(log: DataFrame) -> DataFrame:
     )
 
 
-def timeline(log: DataFrame, bins: int = 24) -> DataFrame:
-    """(bin, n, n_instances) over equal stretches of the whole span; undo and redo widen the span but aren't counted."""
-    span = log.filter("ts_us > 0").agg(F.min("ts_us").alias("t0"), F.max("ts_us").alias("t1"))  # one row
+def timeline(log: DataFrame, bins: int = 24, others: DataFrame | None = None) -> DataFrame:
+    """(bin, n, n_instances) over equal stretches of the whole span; undo, redo and the times ts_us of `others` widen the span but aren't counted."""
+    times = log.select("ts_us") if others is None else log.select("ts_us").unionByName(others.select("ts_us"))
+    span = times.filter("ts_us > 0").agg(F.min("ts_us").alias("t0"), F.max("ts_us").alias("t1"))  # one row
     at = F.least(F.lit(bins - 1), F.floor((F.col("ts_us") - F.col("t0")) / F.greatest(F.col("t1") - F.col("t0"), F.lit(1)) * bins)).alias("bin")
     counts = log.filter("ts_us > 0 and op not in ('undo', 'redo')").crossJoin(F.broadcast(span)).groupBy(at).agg(F.count("*").alias("n"), F.sum("n_instances").alias("n_instances"))
     return log.sparkSession.range(bins).select(F.col("id").alias("bin")).join(counts, "bin", "left").na.fill(0)

@@ -37,12 +37,15 @@ def overview(rows: DataFrame) -> DataFrame:
 
 
 def by_class(rows: DataFrame) -> DataFrame:
-    """Per class: live members, images, mean score and counts by assignment source."""
+    """Per class: live members, images, mean score and a map of its assignment sources to their counts."""
     src = F.coalesce("assign_source", F.lit("?"))
-    return rows.filter(is_live() & is_member()).groupBy("assigned_class").agg(
+    total = rows.filter(is_live() & is_member()).groupBy("assigned_class").agg(
         F.count("*").alias("n"), F.countDistinct("image_id").alias("n_images"), mean6("score").alias("mean_score"),
-        *[n_if(src == s).alias(f"n_{s}") for s in ("manual", "partition", "classifier", "import")],
     )
+    per = rows.filter(is_live() & is_member()).groupBy("assigned_class", src.alias("src")).agg(F.count("*").alias("k")).groupBy("assigned_class").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("src", "k")))).alias("sources")
+    )
+    return total.join(per, "assigned_class")
 
 
 def histogram(rows: DataFrame, column: str, low: Column, high: Column, bins: int) -> DataFrame:
@@ -115,6 +118,18 @@ def taxonomy_rollup(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return classes.filter("not temp").join(n, "class_id", "left").rollup("concept", "class_id").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
 
 
+def taxonomy_tree(rows: DataFrame, classes: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Live members by superclass, concept and class, with subtotals (null below) and the total; temporary classes form a branch of their own.
+
+    classes(class_id, concept, is_temp), concepts(concept_id, superclass) are the taxonomy's lists.
+    """
+    n = rows.filter(is_live() & is_member()).groupBy(F.col("assigned_class").alias("class_id")).agg(F.count("*").alias("n"))
+    temp = F.coalesce("is_temp", F.lit(False))
+    level = lambda c: F.when(temp, "temp").otherwise(F.coalesce(c, F.lit("?"))).alias(c)
+    leaves = classes.join(concepts.select(F.col("concept_id").alias("concept"), "superclass"), "concept", "left").join(n, "class_id", "left")
+    return leaves.select(level("superclass"), level("concept"), "class_id", F.coalesce("n", F.lit(0)).alias("n")).rollup("superclass", "concept", "class_id").agg(F.sum("n").alias("n"))
+
+
 def project_card(rows: DataFrame, classes: DataFrame) -> DataFrame:
     live, bg = is_live(), F.col("is_background")
     card = rows.agg(n_if(live).alias("n_instances"), F.countDistinct("image_id").alias("n_images"), n_if(live & (bg | class_reviewed())).alias("n_done"))
@@ -129,11 +144,12 @@ def busiest_images(rows: DataFrame, top: int) -> DataFrame:
     return few.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "image_id")))  # of `top` rows
 
 
-def method_of(provenance: str, refined: Column) -> Column:
-    """How an instance's mask came about: drawn by hand, picked, made by a model, else its source; from the provenance JSON."""
+def method_of(provenance: str, refined: Column, source: Column) -> Column:
+    """How an instance's mask came about: drawn by hand, added by hand, picked, made by a model, else its batch's source; from the provenance JSON."""
     get = lambda path: F.get_json_object(provenance, path)
-    drawn = get("$.draw").isNotNull() & refined
-    return F.coalesce(F.when(drawn, "draw"), F.when(get("$.manual") == "true", "manual"), get("$.box_pick.by[0]"), get("$.remask.backend"), get("$.source"), get("$.ckpt"), F.lit("unknown"))
+    has = lambda path: get(path).isNotNull() & ~get(path).isin("", "false", "0", "null")
+    drawn = F.coalesce(F.array_contains(F.json_object_keys(provenance), "draw"), F.lit(False)) & F.coalesce(refined, F.lit(False))
+    return F.coalesce(F.when(drawn, "hand-drawn"), F.when(has("$.manual"), "manual"), get("$.box_pick.by[0]"), F.when(has("$.remask.backend"), get("$.remask.backend")), source)
 
 
 def batch_live(rows: DataFrame, ingests: DataFrame) -> DataFrame:

@@ -25,6 +25,13 @@ def class_reviewed() -> Column:
     return F.col("assigned_class").isNotNull() & (F.coalesce("assign_source", F.lit("?")) != "classifier")
 
 
+def mask_reviewed(provenance: str = "provenance") -> Column:
+    """Samples always; else reviewed by provenance, or refined by a drawing."""
+    accepted = F.coalesce(F.get_json_object(provenance, "$.mask_reviewed") == "true", F.lit(False))
+    drawn = F.col("refined") & F.coalesce(F.array_contains(F.json_object_keys(provenance), "draw"), F.lit(False))
+    return F.coalesce(F.col("granularity") == "sample", F.lit(False)) | accepted | F.coalesce(drawn, F.lit(False))
+
+
 @dataclass(frozen=True)
 class View:
     """Which rows are looked at: each part that is None is open."""
@@ -32,10 +39,12 @@ class View:
     batches: tuple[str, ...] | None = None
     sources: tuple[str, ...] | None = None
     methods: tuple[str, ...] | None = None
+    granularities: tuple[str, ...] | None = None
+    modalities: tuple[str, ...] | None = None
 
     def predicate(self) -> Column:
         p = F.lit(True)
-        for column, values in (("batch_id", self.batches), ("source", self.sources), ("method", self.methods)):
+        for column, values in (("batch_id", self.batches), ("source", self.sources), ("method", self.methods), ("granularity", self.granularities), ("modality", self.modalities)):
             if values is not None:
                 p = p & F.col(column).isin(*values)
         return p

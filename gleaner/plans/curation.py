@@ -44,9 +44,9 @@ on_instances("overview", f"""SELECT count(*) AS total, count(*) FILTER (merged_i
  count(*) FILTER (merged_into IS NULL AND NOT is_background AND {REVIEWED}) AS reviewed,
  round(100.0 * (count(*) FILTER (merged_into IS NULL AND NOT is_background AND {REVIEWED}) + count(*) FILTER (merged_into IS NULL AND is_background)) / count(*) FILTER (merged_into IS NULL), 6) AS pct_curated
  FROM inst""", stats.overview)
-on_instances("class_rollup", f"""SELECT assigned_class, count(*) AS n, count(DISTINCT image_id) AS n_images, round(avg(score), 6) AS mean_score, count(*) FILTER (assign_source = 'manual') AS n_manual,
- count(*) FILTER (assign_source = 'partition') AS n_partition, count(*) FILTER (assign_source = 'classifier') AS n_classifier, count(*) FILTER (assign_source = 'import') AS n_import
- FROM live WHERE {MEMBER} GROUP BY 1""", stats.by_class)
+on_instances("class_rollup", f"""SELECT assigned_class, count(*) AS n, count(DISTINCT image_id) AS n_images, round(avg(score), 6) AS mean_score,
+ (SELECT string_agg(s || ':' || CAST(k AS VARCHAR), ',' ORDER BY s) FROM (SELECT assigned_class AS c, coalesce(assign_source, '?') AS s, count(*) AS k FROM live WHERE {MEMBER} GROUP BY 1, 2) WHERE c = o.assigned_class) AS sources
+ FROM live o WHERE {MEMBER} GROUP BY 1""", lambda d: stats.by_class(d).withColumn("sources", F.array_join(F.transform(F.map_entries("sources"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")))
 on_instances("source_hist", f"SELECT coalesce(assign_source, '?') AS source, count(*) AS n FROM live WHERE {MEMBER} GROUP BY 1",
              lambda d: d.filter(is_live() & is_member()).groupBy(F.coalesce("assign_source", F.lit("?")).alias("source")).agg(F.count("*").alias("n")))
 on_instances("inst_per_image", "SELECT n_instances, count(*) AS n_images FROM (SELECT image_id, count(*) AS n_instances FROM live GROUP BY 1) GROUP BY 1",
@@ -149,7 +149,7 @@ r AS (SELECT a AS node, a AS least FROM s UNION SELECT s.b, r.least FROM r JOIN
 w AS (SELECT node AS iuid, first_value(node) OVER (PARTITION BY g ORDER BY score DESC, node) AS rep FROM m JOIN live ON live.iuid = node) SELECT iuid, CASE WHEN iuid <> rep THEN rep END AS merged_into FROM w""",
              lambda d: boxes.merge_representatives(d, boxes.overlap_groups(d.filter(is_live()), 0.5)))
 
-on_log("op_mix", """SELECT op, CASE op WHEN 'assign' THEN 'label' WHEN 'new_class' THEN 'label' WHEN 'background' THEN 'reject' ELSE op END AS category, count(*) AS n, CAST(coalesce(sum(n_instances), 0) AS BIGINT) AS n_instances FROM log GROUP BY 1, 2""", activity.op_mix)
+on_log("op_mix", """SELECT op, CASE op WHEN 'new_class' THEN 'class' WHEN 'background' THEN 'reject' WHEN 'undo' THEN 'undo/redo' ELSE op END AS category, count(*) AS n, CAST(coalesce(sum(n_instances), 0) AS BIGINT) AS n_instances FROM log GROUP BY 1, 2""", activity.op_mix)
 on_log("activity_totals", """SELECT count(*) FILTER (op <> 'undo') AS n_commands, count(*) FILTER (op = 'undo') AS n_undo, CAST(coalesce(sum(n_instances) FILTER (op <> 'undo'), 0) AS BIGINT) AS n_instances,
  count(DISTINCT actor) AS n_actors, max(ts_us) - min(ts_us) AS span_us FROM log""", activity.totals)
 on_log("timeline", """, t AS (SELECT min(ts_us) AS t0, max(ts_us) AS t1 FROM log), b AS (SELECT least(23, floor((ts_us - t0) / greatest(t1 - t0, 1) * 24)) AS bin, n_instances FROM log, t WHERE op <> 'undo')

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gleaner.functions.columns import hex_id
 from gleaner.operators import events, exports, release, stats
 from gleaner.operators.boxes import iou
-from gleaner.operators.views import is_live, is_member
+from gleaner.operators.views import is_live, is_member, with_source
 from gleaner.plans.adapters import DIMS, INST, dim, gate, instances
 from gleaner.sources.documents import match_basename
 from gleaner.sources.tables import table
@@ -68,11 +68,22 @@ def commands(spark: SparkSession, root: str) -> DataFrame:
 
 COMMANDS = """c AS (SELECT event_id AS seq, user_id AS actor, CASE event_type WHEN 'view' THEN 'assign' WHEN 'click' THEN 'unassign' WHEN 'purchase' THEN 'background' WHEN 'signup' THEN 'unreject' ELSE 'undo' END AS op,
  event_id * 7 % 500 AS iuid, 'c' || CAST(event_id % 5 AS VARCHAR) AS class, CASE WHEN event_id % 2 = 0 THEN 'manual' ELSE 'classifier' END AS source FROM events)"""
-add("fold_state", f"""WITH {COMMANDS}, d AS (SELECT * FROM c WHERE op <> 'undo'), i AS (SELECT DISTINCT iuid FROM d),
-k AS (SELECT iuid, arg_max(CASE WHEN op = 'assign' THEN class ELSE '' END, seq) AS v FROM d GROUP BY 1), b AS (SELECT iuid, arg_max(op = 'background', seq) AS v FROM d WHERE op <> 'unassign' GROUP BY 1),
-s AS (SELECT iuid, arg_max(CASE WHEN op = 'assign' THEN source ELSE '' END, seq) AS v FROM d WHERE op IN ('assign', 'unassign') GROUP BY 1)
-SELECT iuid, nullif(k.v, '') AS assigned_class, coalesce(b.v, false) AS is_background, nullif(s.v, '') AS assign_source FROM i LEFT JOIN k USING (iuid) LEFT JOIN b USING (iuid) LEFT JOIN s USING (iuid)""",
-    lambda s, r: events.fold(commands(s, r).filter("op != 'undo'")))
+FOLDED = f"""WITH {COMMANDS}, t AS (SELECT *, CASE WHEN op IN ('background', 'dedup') THEN 1 WHEN op IN ('assign', 'unreject') THEN 0 END AS bg FROM c WHERE op <> 'undo'),
+w AS (SELECT *, coalesce(last_value(bg IGNORE NULLS) OVER (PARTITION BY iuid ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS was FROM t), d AS (SELECT * FROM w WHERE op <> 'unreject' OR was),
+i AS (SELECT DISTINCT iuid FROM d), k AS (SELECT iuid, max(seq) AS since, arg_max(CASE WHEN op = 'assign' THEN class ELSE '' END, seq) AS v FROM d WHERE op IN ('assign', 'unassign', 'background', 'unreject') GROUP BY 1),
+b AS (SELECT iuid, arg_max(bg, seq) AS v FROM d WHERE bg IS NOT NULL GROUP BY 1), s AS (SELECT iuid, arg_max(CASE WHEN op = 'assign' THEN source ELSE '' END, seq) AS v FROM d WHERE op IN ('assign', 'unassign') GROUP BY 1),
+f AS (SELECT iuid, nullif(k.v, '') AS assigned_class, k.since, coalesce(b.v, 0) = 1 AS is_background, nullif(s.v, '') AS assign_source, CAST(NULL AS DOUBLE) AS assign_score, false AS mask_reviewed
+ FROM i LEFT JOIN k USING (iuid) LEFT JOIN b USING (iuid) LEFT JOIN s USING (iuid))"""
+add("fold_state", f"{FOLDED} SELECT * EXCLUDE (since) FROM f", lambda s, r: events.fold(commands(s, r).filter("op != 'undo'")))
+add("fold_dedup", FOLDED.replace("WHEN 'click' THEN 'unassign'", "WHEN 'click' THEN 'dedup'") + " SELECT iuid, assigned_class, is_background FROM f",
+    lambda s, r: events.fold(commands(s, r).filter("op != 'undo'").withColumn("op", F.when(F.col("op") == "unassign", "dedup").otherwise(F.col("op")))).select("iuid", "assigned_class", "is_background"))
+add("fold_merged_classes", f"{FOLDED} SELECT iuid, CASE WHEN assigned_class = 'c1' AND since < 400 THEN 'c3' WHEN assigned_class = 'c2' AND since < 300 THEN CASE WHEN since < 400 THEN 'c3' ELSE 'c1' END ELSE assigned_class END AS assigned_class FROM f",
+    lambda s, r: events.fold(commands(s, r).filter("op != 'undo'"), s.createDataFrame([(300, "c2", "c1"), (400, "c1", "c3")], "seq long, old string, new string")).select("iuid", "assigned_class"))
+add("accepted_masks", f"WITH {COMMANDS} SELECT iuid, bool_or(op = 'accept_masks') AS mask_reviewed FROM (SELECT * REPLACE (CASE op WHEN 'unreject' THEN 'accept_masks' ELSE op END AS op) FROM c) WHERE op <> 'undo' GROUP BY 1",
+    lambda s, r: events.fold(commands(s, r).filter("op != 'undo'").withColumn("op", F.when(F.col("op") == "unreject", "accept_masks").otherwise(F.col("op")))).select("iuid", "mask_reviewed"))
+add("release_gates", f"WITH {COMMANDS} SELECT iuid AS image_id, CASE arg_max(class, seq) WHEN 'c0' THEN 'accepted' WHEN 'c1' THEN 'rejected' ELSE 'pending' END AS gate FROM c WHERE op = 'assign' GROUP BY 1",
+    lambda s, r: events.gates(commands(s, r).withColumn("op", F.when(F.col("op") == "assign", "release_set")).select("seq", "op", F.col("iuid").alias("image_id"), F.when(F.col("class") == "c0", "accepted").when(F.col("class") == "c1", "rejected").otherwise(F.col("class")).alias("gate"))))
+add("replayed", None, lambda s, r: events.replay(commands(s, r).withColumn("op", F.when((F.col("op") == "unreject") & (F.col("seq") % 2 == 0), "redo").otherwise(F.col("op")))))
 add("effective_commands", f"""WITH {COMMANDS}, l AS (SELECT *, sum(CASE WHEN op = 'undo' THEN -1 ELSE 1 END) OVER (PARTITION BY actor ORDER BY seq) AS lv FROM c)
 SELECT seq FROM l a WHERE op <> 'undo' AND NOT EXISTS (SELECT 1 FROM l b WHERE b.actor = a.actor AND b.seq > a.seq AND b.lv < a.lv)""", lambda s, r: events.effective(commands(s, r)).select("seq"))
 add("distinct_merge_groups", """SELECT DISTINCT array_to_string(list_sort(list_distinct(list_transform(merge_members, lambda x: lower(trim(x))))), ',') AS members FROM meta WHERE len(merge_members) > 0""",
@@ -93,8 +104,17 @@ r AS (SELECT * FROM m WHERE regexp_matches(id, '^[0-9a-f]{32}$') QUALIFY row_num
   is_background NULLS FIRST, assign_source NULLS FIRST, refined NULLS FIRST, provenance NULLS FIRST,
   CASE WHEN regexp_matches(regexp_replace(lower(merged_into), '[\\s{}-]', '', 'g'), '^[0-9a-f]{32}$') THEN regexp_replace(lower(merged_into), '[\\s{}-]', '', 'g') END NULLS FIRST) = 1)"""
 add("facet_kinds", f"{META} SELECT granularity, modality, count(*) AS n FROM r GROUP BY 1, 2", lambda s, r: meta_rows(s, r).groupBy("granularity", "modality").agg(F.count("*").alias("n")))
-add("provenance_methods", f"""{META} SELECT CASE WHEN json_extract_string(provenance, '$.ckpt') IS NULL THEN 'unknown' ELSE json_extract_string(provenance, '$.ckpt') END AS method, count(*) AS n FROM r GROUP BY 1""",
-    lambda s, r: meta_rows(s, r).groupBy(stats.method_of("provenance", F.col("refined")).alias("method")).agg(F.count("*").alias("n")))
+SOURCES = "b AS (SELECT batch_id, min(source) AS source FROM (SELECT unnest(batch_ids) AS batch_id, source FROM ingests) WHERE batch_id IS NOT NULL GROUP BY 1)"
+add("provenance_methods", f"""{META}, {SOURCES} SELECT CASE WHEN refined AND list_contains(json_keys(provenance), 'draw') THEN 'hand-drawn' WHEN json_extract_string(provenance, '$.manual') NOT IN ('', 'false', '0') THEN 'manual'
+  ELSE coalesce(json_extract_string(provenance, '$.box_pick.by[0]'), nullif(json_extract_string(provenance, '$.remask.backend'), ''), source, 'unregistered') END AS method, count(*) AS n FROM r LEFT JOIN b USING (batch_id) GROUP BY 1""",
+    lambda s, r: with_source(meta_rows(s, r), batches(s, r)).groupBy(stats.method_of("provenance", F.col("refined"), F.col("source")).alias("method")).agg(F.count("*").alias("n")))
+
+
+def batches(spark: SparkSession, root: str) -> DataFrame:
+    """(batch_id, source) of the registered ingests, one row per batch (the least source, if several name it)."""
+    return table(spark, root, "ingests").select(F.explode("batch_ids").alias("batch_id"), "source").filter("batch_id is not null").groupBy("batch_id").agg(F.min("source").alias("source"))
+
+
 add("ingest_live", f"""{META}, i AS (SELECT DISTINCT ingest_id, unnest(batch_ids) AS batch_id FROM ingests),
 p AS (SELECT batch_id, count(*) AS n FROM r WHERE assigned_class IS NULL AND NOT is_background AND NOT coalesce(regexp_matches(regexp_replace(lower(merged_into), '[\\s{{}}-]', '', 'g'), '^[0-9a-f]{{32}}$'), false) GROUP BY 1)
 SELECT ingest_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_pool FROM (SELECT DISTINCT ingest_id FROM ingests) LEFT JOIN i USING (ingest_id) LEFT JOIN p USING (batch_id) GROUP BY 1""",
