@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleaner.operators.components import connected_components
-from gleaner.session import materialize
-
-TILE = 32
-
+from gleaner.operators.skew import keyed_join
+from gleaner.session import drop_scratch, materialize
 
 def intersection() -> Column:
     """Common area of boxes a and b."""
@@ -21,20 +20,33 @@ def iou() -> Column:
     return i / (F.col("a.area") + F.col("b.area") - i + 1e-6)
 
 
-def overlapping_pairs(boxes: DataFrame) -> DataFrame:
-    """Pairs (structs a, b; a.iuid < b.iuid) of one image's boxes that share some area.
+def overlapping_pairs(boxes: DataFrame, reach: float = 0.0) -> DataFrame:
+    """Pairs (structs a, b; a.iuid < b.iuid) of one image's boxes that share some area, or lie within `reach` of it on both axes.
 
-    Boxes meet in the tiles of a grid that they touch, and a pair counts in the
-    one tile that holds the corner of its intersection: no image, however
-    crowded, is joined with itself whole. Empty boxes meet nothing.
+    Each box is at home on the grid whose tiles are as wide as it is, and visits
+    the coarser grids on which other boxes are at home: a few tiles each, whatever
+    its size. A pair meets on the coarser box's grid and counts in the one tile
+    that holds the corner of its intersection, so no image, however crowded, is
+    joined with itself whole. Empty boxes meet nothing.
     """
-    cols = [c for c in boxes.columns if c != "image_id"]
-    tiles = lambda d: F.sequence(F.floor(F.col(f"{d}0") / TILE), F.floor((F.col(f"{d}1") - 1) / TILE))
-    at = boxes.filter("x1 > x0 and y1 > y0").select("image_id", F.struct(*cols).alias("r"), F.explode(tiles("x")).alias("tx"), tiles("y").alias("tys"))
-    at = at.select("image_id", "r", "tx", F.explode("tys").alias("ty"))
-    a, b = at.withColumnRenamed("r", "a"), at.withColumnRenamed("r", "b")
-    corner = lambda d: F.floor(F.greatest(f"a.{d}0", f"b.{d}0") / TILE)
-    return a.join(b, ["image_id", "tx", "ty"]).filter((F.col("a.iuid") < F.col("b.iuid")) & (intersection() > 0) & (corner("x") == F.col("tx")) & (corner("y") == F.col("ty"))).drop("tx", "ty")
+    cols, pad = [c for c in boxes.columns if c != "image_id"], reach / 2
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) + 2 * pad
+    some = boxes.filter("x1 > x0 and y1 > y0").withColumn("__level", F.greatest(F.ceil(F.log2(side.cast("double"))), F.lit(0)).cast("int"))
+    levels = sorted(r[0] for r in some.select("__level").distinct().collect())  # at most one for each power of two
+    tile = F.pow(F.lit(2.0), F.col("level"))
+    tiles = lambda d: F.sequence(F.floor((F.col(f"{d}0") - pad) / tile), F.floor((F.col(f"{d}1") + pad) / tile))
+    at = some.select("image_id", F.struct(*cols).alias("r"), "__level", F.explode(F.filter(F.array(*[F.lit(v) for v in levels]).cast("array<int>"), lambda v: v >= F.col("__level"))).alias("level"), "x0", "x1", "y0", "y1")
+    at = at.select("image_id", "r", "level", (F.col("level") == F.col("__level")).alias("home"), F.explode(tiles("x")).alias("tx"), tiles("y").alias("tys")).select("image_id", "r", "level", "home", "tx", F.explode("tys").alias("ty"))
+    a, b = at.select("*").withColumnRenamed("r", "a").withColumnRenamed("home", "ha"), at.filter("home").withColumnRenamed("r", "b").drop("home")
+    low = lambda d: F.greatest(f"a.{d}0", f"b.{d}0") - pad
+    corner = lambda d: F.floor(low(d) / tile)
+    high = lambda d: F.least(f"a.{d}1", f"b.{d}1") + pad
+    # two boxes at home on one grid meet twice; one of the meetings counts
+    once = ~F.col("ha") | (F.col("a.iuid") < F.col("b.iuid"))
+    near = (high("x") > low("x")) & (high("y") > low("y"))
+    met = a.join(b, ["image_id", "level", "tx", "ty"]).filter((F.col("a.iuid") != F.col("b.iuid")) & once & near & (corner("x") == F.col("tx")) & (corner("y") == F.col("ty")))
+    first = F.col("a.iuid") < F.col("b.iuid")
+    return met.select("image_id", F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"))
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
@@ -42,20 +54,74 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("image_id").agg(F.count("*").alias("n")).select("image_id", F.expr("n * (n - 1) div 2").alias("n_pairs")).filter("n_pairs > 0")
 
 
-def pair_features(boxes: DataFrame, width: float = 128.0, height: float = 128.0) -> DataFrame:
-    """Geometry of overlapping pairs: IoU, gap, centre distance, class agreement and score statistics."""
+def gap(width: float, height: float) -> Column:
+    """Distance between boxes a and b, as a share of the mean side of the image."""
+    off = lambda d: F.greatest(F.lit(0), F.col(f"b.{d}0") - F.col(f"a.{d}1"), F.col(f"a.{d}0") - F.col(f"b.{d}1")).cast("double")
+    return F.sqrt(off("x") * off("x") + off("y") * off("y")) / ((width + height) / 2)
+
+
+def pair_features(boxes: DataFrame, width: float = 128.0, height: float = 128.0, reach: float = 16.0) -> DataFrame:
+    """Geometry of pairs that overlap or lie within `reach`: IoU, gap, centre distance, class agreement, score and area statistics."""
     centre = lambda s, d, n: (F.col(f"{s}.{d}0") + F.col(f"{s}.{d}1")) / 2 / n
     dx, dy = centre("a", "x", width) - centre("b", "x", width), centre("a", "y", height) - centre("b", "y", height)
     r6 = lambda c, n: F.round(c, 6).alias(n)
     ratio = F.least(F.greatest(F.greatest("a.area", "b.area") / (F.least("a.area", "b.area") + 1e-6), F.lit(1.0)), F.lit(50.0))
     same = F.coalesce((F.col("a.assigned_class") == F.col("b.assigned_class")).cast("int"), F.lit(0))
-    return overlapping_pairs(boxes).select(
-        "image_id", F.col("a.iuid").alias("iuid_a"), F.col("b.iuid").alias("iuid_b"), r6(iou(), "box_iou"), r6(F.sqrt(dx * dx + dy * dy), "centroid_dist"),
+    return overlapping_pairs(boxes, reach).select(
+        "image_id", F.col("a.iuid").alias("iuid_a"), F.col("b.iuid").alias("iuid_b"), r6(iou(), "box_iou"), r6(gap(width, height), "gap"), r6(F.sqrt(dx * dx + dy * dy), "centroid_dist"),
         same.alias("class_agree"), r6(F.least("a.score", "b.score"), "score_min"), r6((F.col("a.score") + F.col("b.score")) / 2, "score_mean"), r6(ratio, "area_ratio"),
         r6(iou() + F.exp(-F.sqrt(dx * dx + dy * dy) / 0.05), "confusability"),
     )
 
 
+def hard_negatives(pairs: DataFrame, positive: Column, most: int = 4_000, hard: float = 0.8) -> DataFrame:
+    """(iuid_a, iuid_b) of pairs(iuid_a, iuid_b, confusability) that aren't positive: at most `most` and ten for each positive, the `hard` share of them by confusability, the rest by hash."""
+    n_pos = pairs.filter(positive).count()
+    take = min(most, 10 * n_pos)
+    n_hard = int(hard * take)
+    rest = pairs.filter(~positive).select("iuid_a", "iuid_b", "confusability")
+    top = rest.orderBy(F.desc("confusability"), "iuid_a", "iuid_b").limit(n_hard)
+    key = F.md5(F.concat_ws("#", F.col("iuid_a").cast("string"), F.col("iuid_b").cast("string")).cast("binary"))
+    more = rest.join(top.select("iuid_a", "iuid_b"), ["iuid_a", "iuid_b"], "left_anti").orderBy(key, "iuid_a", "iuid_b").limit(take - n_hard)
+    return top.unionByName(more).select("iuid_a", "iuid_b")
+
+
+def greedy_match(links: DataFrame) -> DataFrame:
+    """(entry, target) one to one: entries in order of their key each take their best target that is left; links(entry, key, target, score).
+
+    Equal scores go to the smaller target. An entry that is the first at all its
+    targets is settled, so rounds are as many as entries wait for each other.
+    """
+    left = materialize(links.select("entry", "key", "target", "score"), "matching")
+    out: DataFrame | None = None
+    while not left.isEmpty():
+        first = left.groupBy("target").agg(F.min(F.struct("key", "entry")).alias("first"))
+        marked = left.join(first, "target").withColumn("mine", F.col("first.entry") == F.col("entry"))
+        done = marked.groupBy("entry").agg(F.every("mine").alias("free"), F.min(F.struct((-F.col("score")).alias("far"), "target")).alias("best")).filter("free")
+        pairs = materialize(done.select("entry", F.col("best.target").alias("target")), "matched")
+        out = pairs if out is None else out.unionByName(pairs)
+        now = materialize(left.join(pairs.select("entry"), "entry", "left_anti").join(pairs.select("target"), "target", "left_anti"), "matching")
+        drop_scratch(left.sparkSession, left)
+        left = now
+    return links.select("entry", "target").limit(0) if out is None else out
+
+
+def best_match(links: DataFrame) -> DataFrame:
+    """(entry, target) one to one by falling score of links(entry, target, score): each round takes the pairs that are best on both sides."""
+    left = materialize(links.select("entry", "target", "score"), "matching")
+    out: DataFrame | None = None
+    while not left.isEmpty():
+        rank = F.struct((-F.col("score")).alias("far"), "entry", "target")
+        by_entry = left.groupBy("entry").agg(F.min(rank).alias("e"))
+        by_target = left.groupBy("target").agg(F.min(rank).alias("t"))
+        pairs = materialize(by_entry.join(by_target, by_entry["e"] == by_target["t"]).select("entry", "target"), "matched")
+        out = pairs if out is None else out.unionByName(pairs)
+        now = materialize(left.join(pairs.select("entry"), "entry", "left_anti").join(pairs.select("target"), "target", "left_anti"), "matching")
+        drop_scratch(left.sparkSession, left)
+        left = now
+    return links.select("entry", "target").limit(0) if out is None else out
+
+
 def overlap_groups(boxes: DataFrame, least: float) -> DataFrame:
     """(iuid, group_iuid, prob): components of boxes with IoU >= least; prob is the group's largest IoU."""
     links = materialize(overlapping_pairs(boxes).select(F.col("a.iuid").alias("a"), F.col("b.iuid").alias("b"), iou().alias("iou")).filter(F.col("iou") >= least), "overlaps")
@@ -64,7 +130,7 @@ def overlap_groups(boxes: DataFrame, least: float) -> DataFrame:
     return member.join(best, "component").select(F.col("node").alias("iuid"), F.col("component").alias("group_iuid"), "prob")
 
 
-def suppress(boxes: DataFrame, links: DataFrame, order: list[Column], max_rounds: int = 100) -> DataFrame:
+def suppress(boxes: DataFrame, links: DataFrame, order: list[Column]) -> DataFrame:
     """Ids dropped by greedy suppression over links(a, b): in `order`, a box is kept unless linked to a kept one.
 
     Each round keeps every box that precedes all its undecided neighbours and
@@ -79,9 +145,7 @@ def suppress(boxes: DataFrame, links: DataFrame, order: list[Column], max_rounds
     )
     dropped: DataFrame | None = None
     everything = edges
-    for _ in range(max_rounds):
-        if edges.isEmpty():
-            break
+    while not edges.isEmpty():
         kept = edges.groupBy("u").agg(F.min("kv").alias("near"), F.first("ku").alias("ku")).filter("ku < near").select(F.col("u").alias("k"))
         gone = materialize(edges.join(kept, edges["v"] == kept["k"]).select(F.col("u").alias("gone")).distinct(), "gone")
         dropped = gone if dropped is None else dropped.unionByName(gone)
@@ -89,8 +153,6 @@ def suppress(boxes: DataFrame, links: DataFrame, order: list[Column], max_rounds
         edges = materialize(
             edges.join(done.withColumnRenamed("x", "u"), "u", "left_anti").join(done.withColumnRenamed("x", "v"), "v", "left_anti").select("u", "v", "ku", "kv"), "edges"
         )
-    else:
-        raise RuntimeError("suppression did not settle")
     if dropped is None:
         return everything.select(F.col("u").alias("iuid"), F.col("v").alias("keep_iuid"))
     by = everything.join(dropped.withColumnRenamed("gone", "u"), "u").join(dropped.withColumnRenamed("gone", "v"), "v", "left_anti").filter("kv < ku")
@@ -135,3 +197,113 @@ def agreement(boxes: DataFrame, least: float = 0.8) -> DataFrame:
     votes = p.select(F.col("a.iuid").alias("iuid"), F.col("b.assign_source").alias("by")).unionByName(p.select(F.col("b.iuid").alias("iuid"), F.col("a.assign_source").alias("by")))
     own = boxes.select("iuid", F.col("assign_source").alias("by"))
     return own.unionByName(votes).groupBy("iuid").agg(F.countDistinct("by").alias("agree"))
+
+
+def padded(d: str, pad: float, size: float) -> tuple[Column, Column]:
+    """Both ends of a box on an axis, moved out by `pad`, within the image."""
+    return F.greatest(F.col(f"{d}0") - pad, F.lit(0.0)), F.least(F.col(f"{d}1") + pad, F.lit(float(size)))
+
+
+def box_groups(rows: DataFrame, *key: str) -> DataFrame:
+    """Live rows, not rejected, by their source box: (key, n_members, n_agree, todo_class, done); done is one reviewed member left, n_agree its distinct sources."""
+    some = rows.filter(F.col("merged_into").isNull() & ~F.col("is_background"))
+    return some.groupBy(*key).agg(
+        F.count("*").alias("n_members"), F.countDistinct("assign_source").alias("n_agree"), F.min("assigned_class").alias("todo_class"), ((F.count("*") == 1) & F.every("mask_reviewed")).alias("done")
+    )
+
+
+def box_choices(rows: DataFrame, *key: str, same: float = 0.95, agree: float = 0.8) -> DataFrame:
+    """(key, iuid, agree, fit, rank): the distinct members on offer for each source box, the best guess first.
+
+    A member is as good as the number of distinct sources with a member that
+    agrees with it (IoU >= agree), then as its IoU with the group's box (its first
+    member's), then its id. Members nearly the same (IoU >= same) as a better one are left out.
+    """
+    some = rows.filter(F.col("merged_into").isNull() & ~F.col("is_background"))
+    named = some.withColumn("__key", F.to_json(F.struct(*key)))
+    pairs = materialize(overlapping_pairs(named).filter((F.col("a.__key") == F.col("b.__key"))).select(F.col("a.iuid").alias("a"), F.col("b.iuid").alias("b"), F.col("a.assign_source").alias("sa"), F.col("b.assign_source").alias("sb"), iou().alias("iou")), "choices")
+    close = pairs.filter(F.col("iou") >= agree)
+    votes = close.select(F.col("a").alias("iuid"), F.col("sb").alias("by")).unionByName(close.select(F.col("b").alias("iuid"), F.col("sa").alias("by"))).unionByName(some.select("iuid", F.col("assign_source").alias("by")))
+    support = votes.groupBy("iuid").agg(F.countDistinct("by").alias("agree"))
+    first = some.groupBy(*key).agg(F.min("iuid").alias("head"))
+    fit = pairs.select(F.col("a").alias("head"), F.col("b").alias("iuid"), "iou")
+    scored = some.select(*key, "iuid").join(support, "iuid").join(first, list(key)).join(fit, ["head", "iuid"], "left")
+    scored = scored.withColumn("fit", F.round(F.when(F.col("iuid") == F.col("head"), 1.0).otherwise(F.coalesce("iou", F.lit(0.0))), 6))
+    order = [(-F.col("agree")).alias("g"), (-F.col("fit")).alias("f"), F.col("iuid").alias("i")]
+    gone = suppress(scored, pairs.filter(F.col("iou") >= same).select("a", "b"), order)
+    kept = scored.join(gone.select("iuid"), "iuid", "left_anti")
+    return kept.select(*key, "iuid", "agree", "fit", F.expr(f"row_number() over (partition by {', '.join(key)} order by agree desc, fit desc, iuid)").alias("rank"))
+
+
+def dedup_current(rows: DataFrame, least: float) -> DataFrame:
+    """rows with the live ones that suppression drops rejected; their class stays."""
+    dropped = suppress(rows, overlapping_pairs(rows.filter("merged_into is null")).filter(iou() >= least).select(F.col("a.iuid").alias("a"), F.col("b.iuid").alias("b")), by_score())
+    out = rows.join(dropped.select("iuid", F.lit(True).alias("__gone")).distinct(), "iuid", "left")
+    return out.withColumn("is_background", F.col("is_background") | F.coalesce("__gone", F.lit(False))).drop("__gone")
+
+
+def merge_by_image(rows: DataFrame) -> DataFrame:
+    """(iuid, merged_into) of a partition's rows merged into the best-scored one of their image; images with one row stay."""
+    rep = rows.groupBy("image_id").agg(F.min_by("iuid", F.struct(-F.col("score"), F.col("iuid"))).alias("rep"), F.count("*").alias("n")).filter("n > 1")
+    return keyed_join(rows.select("image_id", "iuid"), rep.drop("n"), "image_id").select("iuid", F.when(F.col("iuid") != F.col("rep"), F.col("rep")).alias("merged_into"))
+
+
+def pooled_candidates(boxes: DataFrame, same: float = 0.9) -> DataFrame:
+    """(image_id, iuid, agree): the candidates of several generators (assign_source), by their ranks in turn, without near copies of earlier ones, most agreed first."""
+    ranked = boxes.withColumn("turn", F.expr("row_number() over (partition by image_id, assign_source order by score desc, iuid)"))
+    pairs = materialize(overlapping_pairs(ranked).filter(iou() >= same).select(F.col("a.iuid").alias("a"), F.col("b.iuid").alias("b")), "copies")
+    gone = suppress(ranked, pairs, [F.col("turn").alias("t"), F.col("assign_source").alias("s"), F.col("iuid").alias("i")])
+    return ranked.select("image_id", "iuid").join(agreement(boxes, same), "iuid").join(gone.select("iuid"), "iuid", "left_anti").select("image_id", "iuid", "agree")
+
+
+def capped_groups(links: DataFrame, most: int | None) -> DataFrame:
+    """(iuid, group): nodes of links(image_id, a, b, d) joined in order of d unless a group would exceed `most`; group is its smallest id.
+
+    An image's links stream in order through one task, which holds the image's
+    groups only; without a cap, use connected_components.
+    """
+    kind = dict(links.dtypes)["a"]
+
+    def run(frames):
+        image, parent, size = object(), {}, {}
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        def flush():
+            least: dict = {}
+            for x in parent:
+                r = find(x)
+                least[r] = min(least.get(r, x), x)
+            return pd.DataFrame({"iuid": list(parent), "group": [least[find(x)] for x in parent]})
+
+        for pdf in frames:
+            for i, a, b in zip(pdf["image_id"], pdf["a"], pdf["b"]):
+                if i != image:
+                    if parent:
+                        yield flush()
+                    image, parent, size = i, {}, {}
+                for x in (a, b):
+                    parent.setdefault(x, x)
+                    size.setdefault(x, 1)
+                ra, rb = find(a), find(b)
+                if ra != rb and not (most and size[ra] + size[rb] > most):
+                    parent[ra] = rb
+                    size[rb] += size[ra]
+        if parent:
+            yield flush()
+
+    rows = links.select("image_id", "a", "b", "d").repartition("image_id").sortWithinPartitions("image_id", "d", "a", "b")
+    return rows.mapInPandas(run, f"iuid {kind}, group {kind}")
+
+
+def merge_candidates(pairs: DataFrame, least: float, most_size: int = 10, top: int = 20) -> DataFrame:
+    """(group_iuid, size, score): components of pairs(iuid_a, iuid_b, p) with p >= least of two to `most_size` rows, scored by their weakest link; the `top` best."""
+    links = materialize(pairs.filter(F.col("p") >= least).select("iuid_a", "iuid_b", "p"), "candidates")
+    member = connected_components(links, "iuid_a", "iuid_b")
+    weakest = links.join(member, links["iuid_a"] == member["node"]).groupBy("component").agg(F.min("p").alias("score"))
+    sizes = member.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") <= most_size)
+    return sizes.join(weakest, "component").orderBy(F.desc("score"), "component").limit(top).select(F.col("component").alias("group_iuid"), "size", "score")

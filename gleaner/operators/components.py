@@ -28,7 +28,7 @@ def _with_least(links: DataFrame, own: bool, total: int) -> DataFrame:
     return links.filter(is_hot).join(F.broadcast(hot), "u").unionByName(links.filter(~is_hot).join(least.drop("degree"), "u"))
 
 
-def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every node of an undirected edge list; component is its smallest node.
 
     Loops and repeated edges are harmless, edges with a null end are ignored, an
@@ -41,7 +41,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     links = edges.filter(ends[0].isNotNull() & ends[1].isNotNull() & (ends[0] != ends[1]))
     links = materialize(links.select(F.greatest(*ends).alias("u"), F.least(*ends).alias("v")).distinct(), "components")
     previous, total = None, links.count()
-    for _ in range(max_rounds):
+    while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both, True, 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
         stars = _with_least(large, False, 2 * total)
@@ -55,8 +55,6 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         if mark == previous:
             break
         previous = mark
-    else:
-        raise RuntimeError("components did not settle")
     return nodes.join(links.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select(
         "node", F.coalesce("component", "node").alias("component")
     )

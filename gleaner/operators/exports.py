@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gleaner.operators.boxes import overlapping_pairs
 from gleaner.operators.stats import n_if
 from gleaner.operators.views import class_reviewed, in_pool, is_live, is_member
 from gleaner.session import materialize
@@ -83,6 +84,72 @@ def merge_documents(parts: dict[str, DataFrame]) -> DataFrame:
     return union.join(F.broadcast(names), "category")
 
 
+def document(images: DataFrame, categories: DataFrame, marks: DataFrame) -> DataFrame:
+    """(part, id, json): the lines of a COCO document in three parts; image ids are text, for numbers above 2^53 don't survive JSON.
+
+    images(image_id, file_name), categories(category_id, name), marks(id, image_id, category_id, x, y, w, h, area, iuid, iscrowd).
+    """
+    text = lambda c: F.col(c).cast("string").alias(c)
+    line = lambda part, id_, rows, *cols: rows.select(F.lit(part).alias("part"), F.col(id_).cast("long").alias("id"), F.to_json(F.struct(*cols)).alias("json"))
+    image = line("images", "image_id", images, F.col("image_id").cast("string").alias("id"), "file_name")
+    category = line("categories", "category_id", categories, F.col("category_id").alias("id"), "name")
+    mark = line("annotations", "id", marks, "id", text("image_id"), "category_id", F.array("x", "y", "w", "h").alias("bbox"), F.col("area").cast("long").alias("area"), text("iuid"), "iscrowd")
+    return image.unionByName(category).unionByName(mark)
+
+
+def with_ignored(rows: DataFrame, categories: DataFrame) -> DataFrame:
+    """(id, iuid, image_id, category_id, iscrowd) of live rows: members in their category, unassigned rows as crowds of category IGNORE; rejected rows are left out."""
+    live = rows.filter(is_live() & ~F.col("is_background"))
+    named = live.join(F.broadcast(categories.select(F.col("class_id").alias("assigned_class"), "category_id")), "assigned_class", "left")
+    out = named.filter(F.col("assigned_class").isNull() | F.col("category_id").isNotNull()).select("iuid", "image_id", F.coalesce("category_id", F.lit(IGNORE)).alias("category_id"), F.col("assigned_class").isNull().cast("int").alias("iscrowd"))
+    return numbered(out, "id", "iuid")
+
+
+def agnostic(marks: DataFrame, name: str = "object") -> tuple[DataFrame, DataFrame]:
+    """(marks, categories) with every mark in one category."""
+    return marks.withColumn("category_id", F.lit(1)), marks.sparkSession.createDataFrame([(1, name)], "category_id int, name string")
+
+
+def labelled_batch(rows: DataFrame, batch_id: str) -> DataFrame:
+    """(id, iuid, image_id, label, category_id) of a batch's live rows with a class, categories in order of their names."""
+    out = rows.filter(is_live() & is_member() & (F.col("batch_id") == batch_id)).select("iuid", "image_id", F.col("assigned_class").alias("label"))
+    names = out.select("label").distinct().selectExpr("label", "dense_rank() over (order by label) as category_id")  # one row per class
+    return numbered(out.join(F.broadcast(names), "label"), "id", "iuid")
+
+
+def unreviewed(rows: DataFrame, categories: DataFrame) -> DataFrame:
+    """(category_id, n, n_class_unreviewed, n_mask_unreviewed) of the exportable rows."""
+    out = exportable(rows).join(F.broadcast(categories.select(F.col("class_id").alias("assigned_class"), "category_id")), "assigned_class")
+    return out.groupBy("category_id").agg(F.count("*").alias("n"), n_if(~class_reviewed()).alias("n_class_unreviewed"), n_if(~F.col("mask_reviewed")).alias("n_mask_unreviewed"))
+
+
+def patched(marks: DataFrame, patches: DataFrame, key: str = "iuid", fields: tuple[str, ...] = ("x", "y", "w", "h", "area")) -> DataFrame:
+    """marks with the given fields of patches(key, *fields) where there is one; all other columns and rows stay."""
+    new = patches.select(key, *[F.col(f).alias(f"__{f}") for f in fields], F.lit(True).alias("__patched"))
+    out = marks.join(new, key, "left")
+    for f in fields:
+        out = out.withColumn(f, F.when(F.col("__patched"), F.col(f"__{f}")).otherwise(F.col(f)))
+    return out.select(*marks.columns)
+
+
+def full_manifest(rows: DataFrame, classes: DataFrame, rejected: bool = True) -> DataFrame:
+    """(file, class, iuid, source_id, granularity, modality) of live rows with a class, by its name, and of rejected rows; rows(..., source)."""
+    names = F.broadcast(classes.select(F.col("class_id").alias("assigned_class"), F.col("name").alias("__name")))
+    named = rows.filter(is_live()).join(names, "assigned_class", "left")
+    kind = F.when(F.col("is_background"), F.lit("__rejected__") if rejected else F.lit(None)).otherwise(F.coalesce("__name", "assigned_class"))
+    file = F.concat(F.lit("img_"), F.col("image_id").cast("string"), F.lit(".jpg"))
+    return named.select(file.alias("file"), kind.alias("class"), "iuid", F.col("source").alias("source_id"), "granularity", "modality").filter("class is not null")
+
+
+def report(rows: DataFrame, log: DataFrame) -> DataFrame:
+    """(metric, value) of a project: its live rows, members, rejected rows, images and commands by operation."""
+    live = is_live()
+    one = rows.agg(n_if(live).alias("instances"), n_if(live & is_member()).alias("assigned"), n_if(live & F.col("is_background")).alias("rejected"), F.countDistinct("image_id").alias("images"))
+    names = one.columns
+    flat = one.select(F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in names]), F.array(*names))).alias("metric", "value"))
+    return flat.unionByName(log.groupBy(F.concat(F.lit("op:"), "op").alias("metric")).agg(F.count("*").alias("value")))
+
+
 def match_imports(incoming: DataFrame, known: DataFrame, iou: Column, least: float = 0.3) -> DataFrame:
     """(iuid, match, how) of incoming boxes: the known box of the same iuid, else the image's box of largest IoU above `least`, else none.
 
@@ -90,7 +157,11 @@ def match_imports(incoming: DataFrame, known: DataFrame, iou: Column, least: flo
     """
     exact = incoming.join(known.select("iuid"), "iuid", "left_semi").select("iuid", F.col("iuid").alias("match"), F.lit("iuid").alias("how"))
     rest = incoming.join(known.select("iuid"), "iuid", "left_anti")
-    pair = rest.select("image_id", F.struct(*rest.columns).alias("a")).join(known.select("image_id", F.struct(*known.columns).alias("b")), "image_id").withColumn("iou", iou).filter(F.col("iou") > least)
-    best = pair.groupBy(F.col("a.iuid").alias("iuid")).agg(F.min(F.struct((-F.col("iou")).alias("far"), F.col("b.iuid").alias("id"))).alias("m"))
+    # overlaps of either table's boxes meet in tiles; an incoming box has the key (iuid, 0), a known one (iuid, 1)
+    side = lambda d, k: d.select(F.struct("iuid", F.lit(k).alias("known")).alias("iuid"), "image_id", "x0", "y0", "x1", "y1", "area")
+    met = overlapping_pairs(side(rest, 0).unionByName(side(known, 1))).filter(F.col("a.iuid.known") != F.col("b.iuid.known")).withColumn("iou", iou).filter(F.col("iou") > least)
+    mine = F.col("a.iuid.known") == 0
+    pair = met.select(F.when(mine, F.col("a.iuid.iuid")).otherwise(F.col("b.iuid.iuid")).alias("iuid"), F.when(mine, F.col("b.iuid.iuid")).otherwise(F.col("a.iuid.iuid")).alias("id"), "iou")
+    best = pair.groupBy("iuid").agg(F.min(F.struct((-F.col("iou")).alias("far"), "id")).alias("m"))
     near = rest.select("iuid").join(best, "iuid", "left").select("iuid", F.col("m.id").alias("match"), F.when(F.col("m.id").isNotNull(), "iou").otherwise("none").alias("how"))
     return exact.unionByName(near)

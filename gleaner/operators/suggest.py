@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleaner.operators.vectors import nearest
@@ -31,14 +35,15 @@ def predict(queries: DataFrame, refs: DataFrame, threshold: float) -> DataFrame:
 def verdicts(predicted: DataFrame, by: str) -> DataFrame:
     """Per group: votes, the top class (smaller name wins ties), confidence and the verdict class / reject / none."""
     votes = predicted.groupBy(by, "label").agg(F.count("*").alias("n"))
+    middle = predicted.groupBy(by).agg(F.round(F.expr("percentile(d, 0.5)"), 6).alias("median_d"))
     real = ~F.col("label").isin(REJECT, NO_MATCH)
     n = lambda name: F.sum(F.when(F.col("label") == name, F.col("n")).otherwise(0))
     out = votes.groupBy(by).agg(
         F.sum("n").alias("members"), F.min(F.when(real, F.struct((-F.col("n")).alias("minus"), "label"))).alias("top"), n(REJECT).alias("n_reject"), n(NO_MATCH).alias("n_none")
     )
     t = F.coalesce(-F.col("top.minus"), F.lit(-1))
-    return out.select(
-        by, "members", F.col("top.label").alias("top_class"), "n_reject", "n_none", F.round(F.greatest(t, F.lit(0)) / F.col("members"), 6).alias("confidence"),
+    return out.join(middle, by).select(
+        by, "members", F.col("top.label").alias("top_class"), "n_reject", "n_none", F.round(F.greatest(t, F.lit(0)) / F.col("members"), 6).alias("confidence"), "median_d",
         F.when((t >= F.col("n_reject")) & (t >= F.col("n_none")), "class").when(F.col("n_reject") >= F.col("n_none"), "reject").otherwise("none").alias("verdict"),
     )
 
@@ -127,11 +132,105 @@ def youden(scored: DataFrame, score: str, positive: Column) -> DataFrame:
     return best.select(F.round(F.coalesce(F.least(F.greatest("b.s", F.lit(0.0)), F.lit(1.0)), F.lit(0.5)), 6).alias("threshold"), F.round(F.coalesce("b.j", F.lit(0.0)), 6).alias("youden"))
 
 
-def diversify(ranked: DataFrame, weight: float = 1.2) -> DataFrame:
-    """(image_id, rank): ranked(image_id, score, label) reordered so that labels seen often come later.
+def threshold(margin_: DataFrame, explicit: float | None = None, gate: float = 0.5, default: float = 0.25) -> DataFrame:
+    """One row: the distance up to which a label is suggested: as given, else gate x margin, else the default."""
+    return margin_.select(F.coalesce(F.lit(explicit).cast("double"), F.col("margin") * gate, F.lit(default)).alias("threshold"))
+
+
+def predicted_members(predicted: DataFrame, pid: int, label: str) -> DataFrame:
+    return predicted.filter((F.col("pid") == pid) & (F.col("label") == label)).select("iuid")
+
+
+def accept(predicted: DataFrame, state: DataFrame, seq: int, source: str = "suggestion") -> DataFrame:
+    """Commands (seq, op, iuid, class, source, score) that accept the suggestions of rows without a class in state(iuid, label): assign, or background for a suggested rejection."""
+    free = predicted.filter(F.col("label") != NO_MATCH).join(state.filter("label is null").select("iuid"), "iuid", "left_semi")
+    reject = F.col("label") == REJECT
+    return free.select(
+        F.lit(seq).alias("seq"), F.when(reject, "background").otherwise("assign").alias("op"), "iuid", F.when(~reject, F.col("label")).alias("class"), F.lit(source).alias("source"), F.greatest(F.lit(0.0), 1 - F.col("d")).alias("score")
+    )
+
+
+def ranked_work(work: DataFrame, order: str = "easy") -> DataFrame:
+    """workload() plus rank: images with least work first, or with most; done ones (nothing left) last."""
+    by = "n_uncat = 0, work_est, auto_frac desc, n_uncat, cast(image_id as string)" if order == "easy" else "n_uncat = 0, work_est desc, n_uncat desc, image_id"
+    return work.withColumn("rank", F.expr(f"row_number() over (order by {by})"))  # one row per image
+
+
+def rank_distinct(queries: DataFrame, bank: DataFrame, label: str, pid: str, top: int) -> DataFrame:
+    """The `top` queries most like any bank row of the label, the best of each partition only."""
+    best = nearest(queries, bank.filter(F.col("label") == label), 1).select("q", "cos").join(queries.select(F.col("iuid").alias("q"), F.col(pid).alias("pid")), "q")
+    one = best.groupBy("pid").agg(F.min(F.struct((-F.col("cos")).alias("far"), "q")).alias("b"))
+    return one.select("pid", F.col("b.q").alias("q"), F.round(-F.col("b.far"), 6).alias("score")).orderBy(F.desc("score"), "q").limit(top)
+
+
+def grow_bank(bank: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """bank plus the confirmed rows (iuid, vec, label) that it doesn't hold; rows without a label or rejected don't enter."""
+    fresh = confirmed.filter(F.col("label").isNotNull() & (F.col("label") != REJECT) & F.col("vec").isNotNull()).join(bank.select("iuid"), "iuid", "left_anti")
+    return bank.select("iuid", "vec", "label").unionByName(fresh.select("iuid", "vec", "label"))
+
+
+def matches(rows: DataFrame, exact: str, k: int) -> DataFrame:
+    """(list, rank, group_key, iuid, cos) of rows(iuid, label, pid, exact): the best row of each class, of each partition of the pool, and of both together, k of each; rejected rows are skipped."""
+    key = F.when(F.col("label").isNull(), F.concat(F.lit("pid:"), F.col("pid").cast("string"))).otherwise(F.concat(F.lit("class:"), "label"))
+    best = rows.filter(F.col("label").isNull() | (F.col("label") != REJECT)).groupBy(key.alias("group_key")).agg(F.min(F.struct((-F.col(exact)).alias("far"), "iuid")).alias("b"))
+    kind = F.when(F.col("group_key").startswith("class:"), "class").otherwise("pool")
+    each = best.select(F.explode(F.array(kind, F.lit("mixed"))).alias("list"), "group_key", F.col("b.iuid").alias("iuid"), (-F.col("b.far")).alias("cos"))
+    ranked = each.withColumn("rank", F.expr("row_number() over (partition by list order by cos desc, iuid)")).filter(F.col("rank") <= k)
+    return ranked.select("list", "rank", "group_key", "iuid", F.round("cos", 6).alias("cos"))
+
+
+def pr_curve(scored: DataFrame, score: str, positive: Column) -> DataFrame:
+    """(threshold, precision, recall) at each distinct score; counted per value first."""
+    per = scored.groupBy(F.col(score).alias("s")).agg(F.count_if(positive).alias("p"), F.count("*").alias("n"))
+    cum = per.selectExpr("s", "sum(p) over (order by s desc) as tp", "sum(n) over (order by s desc) as seen")
+    total = per.agg(F.sum("p").alias("np"))  # one row
+    return cum.crossJoin(F.broadcast(total)).select(
+        F.round("s", 6).alias("threshold"), F.round(F.col("tp") / F.col("seen"), 6).alias("precision"), F.round(F.when(F.col("np") > 0, F.col("tp") / F.col("np")).otherwise(0.0), 6).alias("recall")
+    )
+
+
+def diversify(work: DataFrame, fractions: DataFrame, labelled: DataFrame, limit: int, diversity: float = 1.0, order: str = "easy") -> DataFrame:
+    """(image_id, rank): the order of work(image_id, work_est, rank), its head rearranged so that predicted classes vary.
 
-    Greedy choice depends on all before it; the equal effect without a walk is
-    score - weight x ln(1 + the row's place among its label's rows).
+    fractions(image_id, label, share) are each image's predicted classes,
+    labelled(label, n) how often each class is given already. Of the first
+    max(5 x limit, 600) images, `limit` are picked one by one: the next is the one
+    with the best ease (or hardness) less 1.2 x diversity x the share-weighted
+    cover of its classes, and its shares then add to the cover. The head is one
+    bounded task; the rest keeps its order behind it.
     """
-    place = F.expr("row_number() over (partition by label order by score desc, image_id)")
-    return ranked.withColumn("place", place).withColumn("value", F.col("score") - weight * F.log(F.col("place").cast("double"))).drop("place")
+    head = max(5 * limit, 600)
+    n = work.count()
+    if diversity <= 0 or n <= 2:
+        return work.select("image_id", "rank")
+    most = F.broadcast(work.agg(F.max("work_est").alias("most")))  # one row
+    parts = fractions.groupBy("image_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("label", "share")))).alias("shares"))
+    top = work.filter(F.col("rank") <= head).join(parts, "image_id", "left").crossJoin(most).select("image_id", "rank", "work_est", "most", F.coalesce("shares", F.lit("{}")).alias("shares"))
+    given = {r["label"]: r["n"] for r in labelled.collect()}  # one row per class
+    kind = dict(work.dtypes)["image_id"]
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank")
+        high = float(pdf["most"].iat[0]) or 1.0
+        ease = pdf["work_est"].to_numpy(float) / high
+        ease = ease if order == "hard" else 1.0 - ease
+        shares = [json.loads(t) for t in pdf["shares"]]
+        labels = sorted({c for s in shares for c in s} | set(given))
+        at = {c: i for i, c in enumerate(labels)}
+        x = np.zeros((len(pdf), len(labels)))
+        for i, s in enumerate(shares):
+            for c, v in s.items():
+                x[i, at[c]] = v
+        cover = np.array([given.get(c, 0) for c in labels], float) / max(given.values(), default=1)
+        free, chosen = np.ones(len(pdf), bool), []
+        for _ in range(min(limit, len(pdf))):
+            value = np.where(free, ease - 1.2 * diversity * (x @ cover), -np.inf)
+            i = int(value.argmax())
+            chosen.append(i)
+            free[i] = False
+            cover += x[i]
+        seq = [*chosen, *np.flatnonzero(free).tolist()]
+        return pd.DataFrame({"image_id": pdf["image_id"].to_numpy()[seq], "rank": np.arange(1, len(seq) + 1, dtype=np.int32)})
+
+    picked = top.withColumn("__one", F.lit(1)).groupBy("__one").applyInPandas(lambda pdf: pick(pdf.drop(columns="__one")), f"image_id {kind}, rank int")
+    return picked.unionByName(work.filter(F.col("rank") > head).select("image_id", F.col("rank").cast("int").alias("rank")))

@@ -46,11 +46,11 @@ def fuse(rows: DataFrame, blocks: dict[str, float]) -> DataFrame:
     return out.withColumn("fused", F.concat(*parts)).drop(*[f"__{c}{k}" for c in "us" for k in range(len(blocks))])
 
 
-def nearest(queries: DataFrame, refs: DataFrame, k: int, other_label: bool = False, per_label: bool = False, bias: bool = False) -> DataFrame:
+def nearest(queries: DataFrame, refs: DataFrame, k: int, other_label: bool = False, per_label: bool = False, bias: bool = False, same_label: bool = False) -> DataFrame:
     """(q, r, label, score, cos, rank): each query's k best rows of refs by cosine, never itself; ties go to the smaller id.
 
     queries(iuid, vec, label), refs(iuid, vec, label, bias). other_label admits
-    only refs of another label; per_label gives the k best of every label; bias
+    only refs of another label, same_label only those of its own; per_label gives the k best of every label; bias
     ranks by 2 cos - the ref's bias. Both sides are dealt into blocks of about
     BLOCK_ROWS and every pair of blocks is one matrix product, so a task's work is
     bounded and nothing is broadcast. Null vectors are skipped.
@@ -72,7 +72,7 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, other_label: bool = Fal
         r = np.flatnonzero(is_ref)
         r = r[np.argsort(ids[r], kind="stable")]
         q = np.flatnonzero(~is_ref)
-        out: list[tuple] = []
+        out: list[tuple[np.ndarray, ...]] = []
         kinds = sorted({l for l in labels[r] if l is not None}) if per_label else [None]
         for lo in range(0, len(q), 512):
             part = q[lo : lo + 512]
@@ -81,13 +81,18 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, other_label: bool = Fal
             score[ids[part][:, None] == ids[r][None, :]] = -np.inf
             if other_label:
                 score[labels[part][:, None] == labels[r][None, :]] = -np.inf
+            if same_label:
+                score[labels[part][:, None] != labels[r][None, :]] = -np.inf
             for kind in kinds:
                 s = np.where(labels[r] == kind, score, -np.inf) if per_label else score
                 top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                for i, row in enumerate(top):
-                    out += [(ids[part[i]], ids[r[j]], labels[r[j]], float(s[i, j]), float(cos[i, j])) for j in row if s[i, j] > -np.inf]
-        cols = list(zip(*out)) or [[]] * 5
-        return pa.table({"q": pa.array(list(cols[0]), t.schema.field("iuid").type), "r": pa.array(list(cols[1]), t.schema.field("iuid").type), "label": pa.array(list(cols[2]), pa.string()), "score": pa.array(list(cols[3]), pa.float64()), "cos": pa.array(list(cols[4]), pa.float64())})
+                i, j = np.repeat(np.arange(len(part)), top.shape[1]), top.ravel()
+                good = s[i, j] > -np.inf
+                i, j = i[good], j[good]
+                out.append((part[i], r[j], s[i, j], cos[i, j]))
+        qi, ri, best, near = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0))
+        take = lambda c, at: t.column(c).take(pa.array(at))
+        return pa.table({"q": take("iuid", qi), "r": take("iuid", ri), "label": take("label", ri), "score": pa.array(best), "cos": pa.array(near)})
 
     found = rows.groupBy("qb", "rb").applyInArrow(product, f"q {id_type}, r {id_type}, label string, score double, cos double")
     keys = "q, label" if per_label else "q"
@@ -132,3 +137,84 @@ def finch(rows: DataFrame, max_levels: int = 20) -> DataFrame:
 def default_level(counts: DataFrame, rows: int) -> DataFrame:
     """The level of counts(level, n_clusters) whose count is nearest to the root of `rows`, in logarithm; the first wins ties."""
     return counts.agg(F.min_by("level", F.struct(F.abs(F.log(F.col("n_clusters").cast("double")) - F.log(F.sqrt(F.lit(float(rows))))), "level")).alias("level"))
+
+
+def level_counts(levels: DataFrame) -> DataFrame:
+    return levels.groupBy("level").agg(F.countDistinct("cluster").alias("n_clusters"))
+
+
+def labels_at(levels: DataFrame, level: int | None = None) -> DataFrame:
+    """(iuid, pid) at a level of finch(), clamped to those there are; by default at the default level. pid counts clusters from 0 by falling size."""
+    counts = level_counts(levels)
+    rows = levels.filter("level = 0").count()
+    last = counts.agg(F.max("level")).first()[0] or 0
+    at = default_level(counts, rows).first()[0] if level is None else min(max(level, 0), last)
+    here = levels.filter(F.col("level") == at)
+    sizes = here.groupBy("cluster").agg(F.count("*").alias("size"))
+    number = sizes.selectExpr("cluster", "row_number() over (order by size desc, cluster) - 1 as pid")  # one row per cluster of the level
+    return here.join(number, "cluster").select("iuid", F.col("pid").cast("int").alias("pid"))
+
+
+def exact_count(rows: DataFrame, levels: DataFrame, k: int) -> DataFrame:
+    """(iuid, cluster): just k clusters, from the coarsest level of finch() with k or more, by joining the two nearest means again and again.
+
+    The level's means are the input of the joining; its size is checked against BLOCK_ROWS.
+    """
+    fit = level_counts(levels).filter(F.col("n_clusters") >= k).agg(F.max("level").alias("level")).first()["level"]
+    member = levels.filter(F.col("level") == (0 if fit is None else fit)).select("iuid", "cluster")
+    sizes = {r["cluster"]: r["count"] for r in member.groupBy("cluster").count().limit(BLOCK_ROWS + 1).collect()}
+    if len(sizes) > BLOCK_ROWS:
+        raise ValueError(f"no level has {k} to {BLOCK_ROWS} clusters")
+    means = sorted((r["iuid"], r["vec"]) for r in cluster_means(rows, member).collect())
+    names, x = [m[0] for m in means], np.array([m[1] for m in means], float)
+    n, head, alive = np.array([sizes[c] for c in names], float), list(range(len(names))), np.ones(len(names), bool)
+    u = x / np.maximum(np.linalg.norm(x, axis=1), EPS)[:, None]
+    sim = u @ u.T
+    np.fill_diagonal(sim, -2)
+    while alive.sum() > max(k, 1):
+        i, j = sorted(np.unravel_index(sim.argmax(), sim.shape))
+        x[i], n[i] = (x[i] * n[i] + x[j] * n[j]) / (n[i] + n[j]), n[i] + n[j]
+        head = [i if h == j else h for h in head]
+        alive[j] = False
+        sim[j] = sim[:, j] = -2
+        row = np.where(alive, (x @ x[i]) / np.maximum(np.linalg.norm(x, axis=1) * np.linalg.norm(x[i]), EPS), -2)
+        row[i] = -2
+        sim[i] = sim[:, i] = row
+    to = rows.sparkSession.createDataFrame([(c, names[h]) for c, h in zip(names, head)], f"cluster {dict(member.dtypes)['cluster']}, joined {dict(member.dtypes)['cluster']}")
+    return member.join(F.broadcast(to), "cluster").select("iuid", F.col("joined").alias("cluster"))
+
+
+def clusters_within(rows: DataFrame, group: str) -> DataFrame:
+    """(iuid, group, k): first-level clusters among the rows of each group, numbered from 0 by falling size; a lone row is a cluster."""
+    some = rows.select("iuid", "vec", F.col(group).cast("string").alias("label"))
+    near = nearest(some, some, 1, same_label=True)
+    parts = connected_components(materialize(near.select("q", "r"), "links"), "q", "r").withColumnRenamed("node", "iuid")
+    named = rows.select("iuid", group).join(parts, "iuid", "left").withColumn("component", F.coalesce("component", "iuid"))
+    sizes = named.groupBy(group, "component").agg(F.count("*").alias("size")).withColumn("k", F.expr(f"row_number() over (partition by {group} order by size desc, component) - 1"))
+    return named.join(sizes.drop("size"), [group, "component"]).select("iuid", group, "k")
+
+
+def cluster_key(**spec) -> str:
+    """The name under which the result of a clustering with these settings is kept."""
+    import hashlib
+    import json
+
+    return hashlib.sha256(json.dumps(spec, sort_keys=True, default=str).encode()).hexdigest()
+
+
+def kmeans(rows: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """(iuid, cluster) by k-means over unit vectors."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    data = rows.filter("vec is not null").select("iuid", array_to_vector(unit("vec")).alias("features"))
+    return KMeans(k=k, seed=seed).fit(data).transform(data).select("iuid", F.col("prediction").alias("cluster"))
+
+
+def biased(rows: DataFrame, coords: str, weight: float) -> DataFrame:
+    """rows plus `matrix`: the unit vector followed by the place, weighted."""
+    return rows.withColumn("matrix", F.concat(unit("vec"), F.transform(coords, lambda x: x.cast("double") * weight)))
+
+
+def distance(a: str, b: str) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) ** 2), F.lit(0.0), lambda s, x: s + x))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.operators import activity, boxes, release, stats
+from gleaner.operators import activity, boxes, browse, release, stats
 from gleaner.operators.views import View, class_reviewed, in_pool, is_live, is_member, with_source
 from gleaner.plans.adapters import DIMS, INST, LOG, dim, gate, instances, log
 
@@ -122,11 +122,13 @@ on_instances("same_image_pairs", "SELECT image_id, CAST(count(*) * (count(*) - 1
 PAIRS = """, o AS (SELECT a.image_id, a.iuid AS ia, b.iuid AS ib, a.assigned_class AS ca, b.assigned_class AS cb, a.score AS sa, b.score AS sb, a.area AS aa, b.area AS ab, a.assign_source AS wa, b.assign_source AS wb,
   a.mask_reviewed AS ra, b.mask_reviewed AS rb, a.batch_id AS ba, b.batch_id AS bb,
   greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS i,
+  greatest(b.x0 - a.x1, a.x0 - b.x1, 0) AS gx, greatest(b.y0 - a.y1, a.y0 - b.y1, 0) AS gy,
   sqrt(pow((a.x0 + a.x1 - b.x0 - b.x1) / 256, 2) + pow((a.y0 + a.y1 - b.y0 - b.y1) / 256, 2)) AS d
  FROM live a JOIN live b ON a.image_id = b.image_id AND a.iuid < b.iuid),
-p AS (SELECT *, i / (aa + ab - i + 1e-6) AS iou FROM o WHERE i > 0)"""
-on_instances("pair_features", f"""{PAIRS} SELECT image_id, ia AS iuid_a, ib AS iuid_b, round(iou, 6) AS box_iou, round(d, 6) AS centroid_dist, CAST(coalesce(ca = cb, false) AS INT) AS class_agree,
- round(least(sa, sb), 6) AS score_min, round((sa + sb) / 2, 6) AS score_mean, round(least(greatest(greatest(aa, ab) / (least(aa, ab) + 1e-6), 1.0), 50.0), 6) AS area_ratio, round(iou + exp(-d / 0.05), 6) AS confusability FROM p""",
+p AS (SELECT *, i / (aa + ab - i + 1e-6) AS iou FROM o WHERE i > 0),
+near AS (SELECT *, i / (aa + ab - i + 1e-6) AS iou FROM o WHERE gx < 16 AND gy < 16)"""
+on_instances("pair_features", f"""{PAIRS} SELECT image_id, ia AS iuid_a, ib AS iuid_b, round(iou, 6) AS box_iou, round(sqrt(gx * gx + gy * gy) / 128, 6) AS gap, round(d, 6) AS centroid_dist, CAST(coalesce(ca = cb, false) AS INT) AS class_agree,
+ round(least(sa, sb), 6) AS score_min, round((sa + sb) / 2, 6) AS score_mean, round(least(greatest(greatest(aa, ab) / (least(aa, ab) + 1e-6), 1.0), 50.0), 6) AS area_ratio, round(iou + exp(-d / 0.05), 6) AS confusability FROM near""",
              lambda d: boxes.pair_features(d.filter(is_live())))
 on_instances("overlap_groups", f"""{PAIRS}, e AS (SELECT ia AS a, ib AS b, iou FROM p WHERE iou >= 0.5), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS node, a AS least FROM s UNION SELECT s.b, r.least FROM r JOIN s ON s.a = r.node WHERE r.least < s.b), m AS (SELECT node, min(least) AS g FROM r GROUP BY 1)
@@ -170,6 +172,54 @@ SELECT a.seq, EXISTS (SELECT 1 FROM t b WHERE b.target = a.target AND b.seq > a.
 on_log("audit_tail", "SELECT seq, op, actor FROM log ORDER BY ts_us DESC, seq DESC LIMIT 50", lambda d: activity.tail(d, 50).select("seq", "op", "actor"))
 
 
+KEYED = f"""{PAIRS}, g AS (SELECT image_id, pid, count(*) AS n_members, count(DISTINCT assign_source) AS n_agree, min(assigned_class) AS todo_class, count(*) = 1 AND bool_and(mask_reviewed) AS done FROM live WHERE NOT is_background GROUP BY 1, 2)"""
+on_instances("box_groups", f"{KEYED} SELECT * FROM g", lambda d: boxes.box_groups(d, "image_id", "pid"))
+on_instances("box_todo", f"{KEYED} SELECT todo_class, count(*) AS n_boxes, count(*) FILTER (NOT done) AS n_todo, count(*) FILTER (n_members > 1) AS n_multi, count(*) FILTER (n_agree > 1) AS n_agree FROM g GROUP BY 1",
+             lambda d: boxes.box_groups(d, "image_id", "pid").groupBy("todo_class").agg(F.count("*").alias("n_boxes"), F.count_if(~F.col("done")).alias("n_todo"), F.count_if(F.col("n_members") > 1).alias("n_multi"), F.count_if(F.col("n_agree") > 1).alias("n_agree")))
+CHOICES = f"""{PAIRS}, m AS (SELECT image_id, pid, iuid, assign_source FROM live WHERE NOT is_background), q AS (SELECT p.*, ma.pid FROM p JOIN m ma ON ma.iuid = ia JOIN m mb ON mb.iuid = ib AND ma.pid = mb.pid),
+v AS (SELECT iuid, assign_source AS src FROM m UNION ALL SELECT ia, wb FROM q WHERE iou >= 0.8 UNION ALL SELECT ib, wa FROM q WHERE iou >= 0.8), s AS (SELECT iuid, count(DISTINCT src) AS agree FROM v GROUP BY 1),
+h AS (SELECT image_id, pid, min(iuid) AS head FROM m GROUP BY 1, 2), c AS (SELECT m.image_id, m.pid, m.iuid, agree, round(CASE WHEN m.iuid = head THEN 1.0 ELSE coalesce(q.iou, 0.0) END, 6) AS fit FROM m JOIN s USING (iuid) JOIN h ON h.image_id = m.image_id AND h.pid = m.pid LEFT JOIN q ON q.ia = head AND q.ib = m.iuid)"""
+on_instances("box_choices", f"""{CHOICES}, d AS (SELECT ia, ib FROM q WHERE iou >= 0.95 UNION SELECT ib, ia FROM q WHERE iou >= 0.95)
+SELECT *, row_number() OVER (PARTITION BY image_id, pid ORDER BY agree DESC, fit DESC, iuid) AS rank FROM c WHERE NOT EXISTS (SELECT 1 FROM d JOIN c b ON b.iuid = d.ib WHERE d.ia = c.iuid AND (b.agree, b.fit, -b.iuid) > (c.agree, c.fit, -c.iuid))""",
+             lambda d: boxes.box_choices(d, "image_id", "pid"))
+on_instances("box_wins", f"""{CHOICES}, r AS (SELECT iuid, row_number() OVER (PARTITION BY image_id, pid ORDER BY agree DESC, fit DESC, iuid) AS rank FROM c) SELECT assign_source AS method, count(*) AS n FROM r JOIN m USING (iuid) WHERE rank = 1 GROUP BY 1""",
+             lambda d: boxes.box_choices(d, "image_id", "pid").filter("rank = 1").select("iuid").join(d.select("iuid", F.col("assign_source").alias("method")), "iuid").groupBy("method").agg(F.count("*").alias("n")))
+on_instances("collapsed_boxes", f"""{CHOICES}, r AS (SELECT iuid, row_number() OVER (PARTITION BY image_id, pid ORDER BY agree DESC, fit DESC, iuid) AS rank FROM c) SELECT iuid FROM r WHERE rank > 1""",
+             lambda d: d.filter(is_live() & ~F.col("is_background")).select("iuid").join(boxes.box_choices(d, "image_id", "pid").filter("rank = 1").select("iuid"), "iuid", "left_anti"))
+KEPT = f"f AS (SELECT image_id, unnest(kept) AS rk FROM (SELECT image_id, arg_max(kept, rk) AS kept FROM g GROUP BY 1))"
+on_instances("dedup_current", f"{PAIRS}, {GREEDY}, {KEPT} SELECT inst.iuid, assigned_class, is_background OR (merged_into IS NULL AND inst.iuid NOT IN (SELECT k.iuid FROM k JOIN f USING (image_id, rk))) AS is_background FROM inst".replace("JOIN f USING (image_id, rk)", "JOIN f ON f.image_id = k.image_id AND f.rk = k.rk"),
+             lambda d: boxes.dedup_current(d, 0.3).select("iuid", "assigned_class", "is_background"))
+on_instances("merged_partition", "SELECT iuid, CASE WHEN iuid <> rep THEN rep END AS merged_into FROM (SELECT iuid, first_value(iuid) OVER (PARTITION BY image_id ORDER BY score DESC, iuid) AS rep, count(*) OVER (PARTITION BY image_id) AS n FROM live WHERE pid = 3) WHERE n > 1",
+             lambda d: boxes.merge_by_image(d.filter(is_live() & (F.col("pid") == 3))))
+on_instances("pooled_candidates", None, lambda d: boxes.pooled_candidates(d.filter(is_live())))
+on_instances("padded_boxes", "SELECT iuid, greatest(x0 - 4.0, 0.0) AS x0, least(x1 + 4.0, 128.0) AS x1, greatest(y0 - 4.0, 0.0) AS y0, least(y1 + 4.0, 128.0) AS y1 FROM live",
+             lambda d: d.filter(is_live()).select("iuid", *[c.cast("double").alias(f"{a}{i}") for a in "xy" for i, c in enumerate(boxes.padded(a, 4.0, 128.0))]))
+on_instances("at_pixel", "SELECT image_id, arg_min(iuid, (-score, iuid)) AS iuid FROM live WHERE x0 <= 40 AND x1 > 40 AND y0 <= 20 AND y1 > 20 GROUP BY 1", lambda d: browse.at_pixel(d, 40, 20))
+on_instances("capped_groups", None, lambda d: boxes.capped_groups(boxes.pair_features(d.filter(is_live())).filter("centroid_dist < 0.1").select("image_id", F.col("iuid_a").alias("a"), F.col("iuid_b").alias("b"), F.col("centroid_dist").alias("d")), 3))
+on_instances("pair_labels", f"{PAIRS} SELECT n.ia AS iuid_a, n.ib AS iuid_b, coalesce(n.ca = n.cb, false) AS same_class, a.pid = b.pid AS merge FROM near n JOIN live a ON a.iuid = n.ia JOIN live b ON b.iuid = n.ib",
+             lambda d: boxes.overlapping_pairs(d.filter(is_live()), 16.0).select(F.col("a.iuid").alias("iuid_a"), F.col("b.iuid").alias("iuid_b"), F.coalesce(F.col("a.assigned_class") == F.col("b.assigned_class"), F.lit(False)).alias("same_class"), (F.col("a.pid") == F.col("b.pid")).alias("merge")))
+CONFUSED = "f AS (SELECT ia AS iuid_a, ib AS iuid_b, round(iou + exp(-d / 0.05), 6) AS c, coalesce(ca = cb, false) AND box_ > 0.6 AS pos FROM (SELECT *, round(iou, 6) AS box_ FROM near))"
+on_instances("hard_negatives", f"""{PAIRS}, {CONFUSED}, k AS (SELECT least(4000, 10 * count(*) FILTER (pos)) AS take FROM f), t AS (SELECT *, row_number() OVER (ORDER BY c DESC, iuid_a, iuid_b) AS r FROM f WHERE NOT pos),
+u AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(iuid_a AS VARCHAR) || '#' || CAST(iuid_b AS VARCHAR)), iuid_a, iuid_b) AS h FROM t, k WHERE r > floor(0.8 * take))
+SELECT iuid_a, iuid_b FROM t, k WHERE r <= floor(0.8 * take) UNION ALL SELECT iuid_a, iuid_b FROM u WHERE h <= take - floor(0.8 * take)""",
+             lambda d: boxes.hard_negatives(boxes.pair_features(d.filter(is_live())), (F.col("class_agree") == 1) & (F.col("box_iou") > 0.6)))
+on_instances("merge_candidates", f"""{PAIRS}, e AS (SELECT ia AS a, ib AS b, round(iou, 6) AS p FROM p WHERE round(iou, 6) >= 0.5), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a AS node, a AS least FROM s UNION SELECT s.b, r.least FROM r JOIN s ON s.a = r.node WHERE r.least < s.b), m AS (SELECT node, min(least) AS g FROM r GROUP BY 1),
+z AS (SELECT g, count(*) AS size FROM m GROUP BY 1 HAVING count(*) <= 10), w AS (SELECT g, min(p) AS score FROM e JOIN m ON m.node = e.a GROUP BY 1) SELECT g AS group_iuid, size, score FROM z JOIN w USING (g) ORDER BY score DESC, g LIMIT 20""",
+             lambda d: boxes.merge_candidates(boxes.pair_features(d.filter(is_live()), reach=0.0).select("iuid_a", "iuid_b", F.col("box_iou").alias("p")), 0.5))
+
+
+def source_links(d: DataFrame) -> DataFrame:
+    """Links of the boxes of one source (entries, in order of their ids) with all others of their image at IoU >= 0.2."""
+    p = boxes.overlapping_pairs(d.filter(is_live()).select("iuid", "image_id", "x0", "y0", "x1", "y1", "area", (F.col("pid") < 4).alias("entry"))).withColumn("score", boxes.iou()).filter("score >= 0.2")
+    way = lambda e, t: p.filter(f"{e}.entry and not {t}.entry").select(F.col(f"{e}.iuid").alias("entry"), F.col(f"{e}.iuid").alias("key"), F.col(f"{t}.iuid").alias("target"), "score")
+    return way("a", "b").unionByName(way("b", "a"))
+
+
+on_instances("source_matches", None, lambda d: boxes.greedy_match(source_links(d)))
+on_instances("box_matches", None, lambda d: boxes.best_match(source_links(d)))
+
+
 def find_instances(rows: DataFrame, text: str) -> DataFrame:
     """(iuid, image_id) found by text: the image of that number, if there is one; else ids that start with it or classes that hold it."""
     cond = F.col("iuid").cast("string").startswith(text) | F.coalesce(F.lower("assigned_class").contains(text.lower()), F.lit(False))

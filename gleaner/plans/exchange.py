@@ -58,6 +58,27 @@ SELECT file_name, count(*) AS n FROM i WHERE substr(file_name, 4) NOT IN (SELECT
                                 table(s, r, "lineitem").select(F.concat(F.lit("all/img_"), F.col("l_orderkey").cast("string"), F.lit(".jpg")).alias("file_name"), F.col("l_orderkey").alias("image_id"), F.col("l_orderkey").alias("row")))[1].groupBy("file_name").agg(F.count("*").alias("n")))
 
 
+def _marks(s: SparkSession, r: str) -> DataFrame:
+    d = instances(s, r)
+    return exports.annotations(d, _categories(s), release.held(d, gate(F.col("image_id")), "exclude_rejected"), dim(s, "cls").filter("temp"))
+
+
+A = ORACLES["coco_annotations"]
+add("coco_document", f"""WITH a AS ({A}), i AS (SELECT DISTINCT image_id FROM a) SELECT 'images' AS part, image_id AS id, CAST(json_object('id', CAST(image_id AS VARCHAR), 'file_name', 'img_' || CAST(image_id AS VARCHAR) || '.jpg') AS VARCHAR) AS json FROM i
+UNION ALL SELECT 'categories', category_id, CAST(json_object('id', category_id, 'name', class_id) AS VARCHAR) FROM (VALUES ('A', 2), ('N', 1), ('R', 3), ('T', 4)) c(class_id, category_id)
+UNION ALL SELECT 'annotations', id, CAST(json_object('id', id, 'image_id', CAST(image_id AS VARCHAR), 'category_id', category_id, 'bbox', [x, y, w, h], 'area', CAST(area AS BIGINT), 'iuid', CAST(iuid AS VARCHAR), 'iscrowd', 0) AS VARCHAR) FROM a""",
+    lambda s, r: (lambda m: exports.document(m.select("image_id").distinct().withColumn("file_name", F.concat(F.lit("img_"), F.col("image_id").cast("string"), F.lit(".jpg"))), _categories(s).select("category_id", F.col("class_id").alias("name")), m.withColumn("iscrowd", F.lit(0))))(_marks(s, r)))
+add("partial_annotations", f"""{BOTH}, {CATS} SELECT row_number() OVER (ORDER BY iuid) AS id, iuid, image_id, coalesce(category_id, 0) AS category_id, CAST(assigned_class IS NULL AS INT) AS iscrowd FROM live LEFT JOIN cats ON class_id = assigned_class WHERE NOT is_background AND (assigned_class IS NULL OR category_id IS NOT NULL)""",
+    lambda s, r: exports.with_ignored(instances(s, r), _categories(s)))
+add("coco_agnostic", f"SELECT id, iuid, image_id, 1 AS category_id FROM ({A})", lambda s, r: exports.agnostic(_marks(s, r))[0].select("id", "iuid", "image_id", "category_id"))
+add("batch_document", f"""{BOTH} SELECT row_number() OVER (ORDER BY iuid) AS id, iuid, image_id, assigned_class AS label, dense_rank() OVER (ORDER BY assigned_class) AS category_id FROM live WHERE {MEMBER} AND batch_id = 'b1'""", lambda s, r: exports.labelled_batch(instances(s, r), "b1"))
+add("unreviewed_counts", f"""{BOTH}, {CATS} SELECT category_id, count(*) AS n, count(*) FILTER (coalesce(assign_source, '?') = 'classifier') AS n_class_unreviewed, count(*) FILTER (NOT mask_reviewed) AS n_mask_unreviewed FROM live JOIN cats ON class_id = assigned_class WHERE {MEMBER} GROUP BY 1""",
+    lambda s, r: exports.unreviewed(instances(s, r), _categories(s)))
+add("merged_document", f"SELECT *, row_number() OVER (ORDER BY image, iuid) AS id FROM ({ORACLES['merge_coco']})", lambda s, r: exports.numbered(QUERIES["merge_coco"](s, r), "id", "image", "iuid"))
+add("patched_annotations", f"SELECT id, iuid, CASE WHEN iuid % 5 = 0 THEN x + 1 ELSE x END AS x, CASE WHEN iuid % 5 = 0 THEN w - 1 ELSE w END AS w, CASE WHEN iuid % 5 = 0 THEN (w - 1) * h ELSE area END AS area FROM ({A})",
+    lambda s, r: (lambda m: exports.patched(m, m.filter("iuid % 5 = 0").select("iuid", (F.col("x") + 1).alias("x"), "y", (F.col("w") - 1).alias("w"), "h", ((F.col("w") - 1) * F.col("h")).cast("double").alias("area"))).select("id", "iuid", "x", "w", "area"))(_marks(s, r)))
+
+
 def commands(spark: SparkSession, root: str) -> DataFrame:
     """events as commands on 500 items."""
     kind = F.col("event_type")

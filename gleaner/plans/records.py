@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleaner.functions.columns import epoch_ms, hex_id
-from gleaner.operators import activity, browse, events, sets, stats
+from gleaner.operators import activity, browse, events, exports, sets, stats
 from gleaner.operators.skew import keyed_join
 from gleaner.operators.views import View, class_reviewed, in_pool, is_live, is_member, mask_reviewed, with_source
 from gleaner.plans.exchange import batches
@@ -187,3 +187,9 @@ def partition_accepts(spark: SparkSession, root: str) -> DataFrame:
 
 on_pid = f"SELECT iuid, CASE WHEN pid = 3 THEN 'c_8c08584ec6c4' END AS assigned_class, pid = 5 AS is_background, CASE WHEN pid = 3 THEN 'partition' END AS assign_source FROM rec WHERE {POOL} AND pid IN (3, 5)"
 add("assign_partition", on_pid, partition_accepts)
+# exports
+add("full_manifest", f"""SELECT 'img_' || CAST(image_id AS VARCHAR) || '.jpg' AS file, CASE WHEN is_background THEN '__rejected__' ELSE coalesce(name, assigned_class) END AS class, iuid, coalesce(source, 'unregistered') AS source_id, granularity, modality
+FROM (SELECT rec.*, bat.source FROM rec LEFT JOIN bat USING (batch_id)) LEFT JOIN classes ON class_id = assigned_class WHERE {LIVE} AND (is_background OR assigned_class IS NOT NULL)""",
+    lambda s, r: exports.full_manifest(with_source(records(s, r), batches(s, r)), table(s, r, "classes")))
+add("project_report", f"""SELECT 'instances' AS metric, count(*) FILTER ({LIVE}) AS value FROM rec UNION ALL SELECT 'assigned', count(*) FILTER ({LIVE} AND {MEMBER}) FROM rec UNION ALL SELECT 'rejected', count(*) FILTER ({LIVE} AND is_background) FROM rec
+UNION ALL SELECT 'images', count(DISTINCT image_id) FROM rec UNION ALL SELECT 'op:' || op, count(*) FROM cmd GROUP BY op""", lambda s, r: exports.report(records(s, r), commands(s, r)), f"{REC}, {CMD}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.operators import suggest, vectors
+from gleaner.operators import events, suggest, vectors
 from gleaner.plans.adapters import VEC, embedded
 from gleaner.session import materialize
 from gleaner.sources.tables import table
@@ -64,7 +64,7 @@ on_vectors("nn_predict", f"{PRED} SELECT iuid, round(d, 6) AS d, label FROM pred
 on_vectors("suggestion", f"""{PRED}, v AS (SELECT pid, label, count(*) AS n FROM pred GROUP BY 1, 2),
 t AS (SELECT pid, label, n FROM v WHERE label NOT IN ('__reject__', '__nomatch__') QUALIFY row_number() OVER (PARTITION BY pid ORDER BY n DESC, label) = 1),
 s AS (SELECT pid, CAST(sum(n) AS BIGINT) AS members, CAST(coalesce(sum(n) FILTER (label = '__reject__'), 0) AS BIGINT) AS n_reject, CAST(coalesce(sum(n) FILTER (label = '__nomatch__'), 0) AS BIGINT) AS n_none FROM v GROUP BY 1)
-SELECT pid, members, t.label AS top_class, n_reject, n_none, round(coalesce(t.n, 0) / members, 6) AS confidence,
+SELECT pid, members, t.label AS top_class, n_reject, n_none, round(coalesce(t.n, 0) / members, 6) AS confidence, (SELECT round(median(d), 6) FROM pred x WHERE x.pid = s.pid) AS median_d,
  CASE WHEN coalesce(t.n, -1) >= n_reject AND coalesce(t.n, -1) >= n_none THEN 'class' WHEN n_reject >= n_none THEN 'reject' ELSE 'none' END AS verdict FROM s LEFT JOIN t USING (pid)""", lambda d: suggest.verdicts(predicted(d), "pid"))
 on_vectors("image_summary", f"{PRED} SELECT image_id, label, count(*) AS n, round(avg(greatest(0.0, 1 - d)), 6) AS score FROM pred WHERE label <> '__nomatch__' GROUP BY 1, 2", lambda d: suggest.image_summary(predicted(d)))
 on_vectors("workload_rank", f"""{PRED}, w AS (SELECT image_id, count(*) AS n_uncat, count(*) FILTER (d > {THRESHOLD}) AS n_none, count(*) FILTER (d > 0.75 * {THRESHOLD} AND d <= {THRESHOLD}) AS n_border FROM pred GROUP BY 1)
@@ -85,11 +85,51 @@ on_vectors("rejections", f"{CONF}, t AS (SELECT iuid, round(max(p), 6) AS p FROM
 on_vectors("finch_level0", """, e AS (SELECT a, b FROM sims QUALIFY row_number() OVER (PARTITION BY a ORDER BY cos DESC, b) = 1), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS node, a AS least FROM s UNION SELECT s.b, r.least FROM r JOIN s ON s.a = r.node WHERE r.least < s.b) SELECT node AS iuid, min(least) AS cluster FROM r GROUP BY 1""", lambda d: vectors.finch_level(d))
 on_vectors("finch_levels", None, lambda d: vectors.finch(d.select("iuid", "vec", F.lit(None).cast("string").alias("label"))))
-on_vectors("csub_sizes", None, lambda d: class_subclusters(d))
 on_vectors("coord_frame", " SELECT pos - 1 AS pos, round(min(x), 6) AS low, round(max(x), 6) AS high FROM cell GROUP BY 1",
            lambda d: d.select(F.posexplode("vec").alias("pos", "x")).groupBy("pos").agg(F.round(F.min(F.col("x").cast("double")), 6).alias("low"), F.round(F.max(F.col("x").cast("double")), 6).alias("high")))
 on_vectors("reference_counts", " SELECT label, count(*) AS n FROM vec WHERE bank AND label IS NOT NULL GROUP BY 1", lambda d: labelled(d).filter("bank").groupBy("label").agg(F.count("*").alias("n")))
-on_vectors("diversify", None, lambda d: suggest.diversify(predicted(d).groupBy("image_id").agg(F.max(1 - F.col("d")).alias("score"), F.min("label").alias("label"))))
+WORK = f"""{PRED}, w AS (SELECT image_id, count(*) AS n_uncat, count(*) FILTER (d > {THRESHOLD}) AS n_none, count(*) FILTER (d > 0.75 * {THRESHOLD} AND d <= {THRESHOLD}) AS n_border FROM pred GROUP BY 1),
+z AS (SELECT image_id, n_uncat, n_none + 0.5 * n_border AS work_est, round((n_uncat - n_none - n_border) / n_uncat, 6) AS auto_frac FROM w)"""
+
+
+def work(d: DataFrame) -> DataFrame:
+    return suggest.workload(predicted(d), THRESHOLD)
+
+
+def diversified(d: DataFrame) -> DataFrame:
+    p = predicted(d).filter("label not in ('__reject__', '__nomatch__')")
+    shares = p.groupBy("image_id", "label").agg(F.count("*").alias("k")).withColumn("share", F.expr("k / sum(k) over (partition by image_id)"))
+    return suggest.diversify(suggest.ranked_work(work(d)), shares, classed(d).groupBy("label").agg(F.count("*").alias("n")), 30)
+
+
+on_vectors("diversify", None, diversified)
+on_vectors("workload_easy", f"{WORK} SELECT image_id, row_number() OVER (ORDER BY work_est, auto_frac DESC, n_uncat, CAST(image_id AS VARCHAR)) AS rank FROM z", lambda d: suggest.ranked_work(work(d)).select("image_id", "rank"))
+on_vectors("workload_hard", f"{WORK} SELECT image_id, row_number() OVER (ORDER BY work_est DESC, n_uncat DESC, image_id) AS rank FROM z", lambda d: suggest.ranked_work(work(d), "hard").select("image_id", "rank"))
+on_vectors("nn_threshold", f"{MARGIN} SELECT round(coalesce(0.5 * median(1 - cos), 0.25), 6) AS threshold FROM lab", lambda d: suggest.threshold(suggest.margin(classed(d))).select(F.round("threshold", 6).alias("threshold")))
+on_vectors("predicted_members", f"{PRED} SELECT iuid FROM pred WHERE pid = 3 AND label = 'c1'", lambda d: suggest.predicted_members(predicted(d), 3, "c1"))
+on_vectors("image_distances", f"{PRED} SELECT image_id, iuid, round(d, 6) AS d FROM pred", lambda d: predicted(d).select("image_id", "iuid", F.round("d", 6).alias("d")))
+on_vectors("accepted_suggestions", f"{PRED} SELECT iuid, CASE WHEN label <> '__reject__' THEN label END AS assigned_class, label = '__reject__' AS is_background FROM pred WHERE label <> '__nomatch__'",
+           lambda d: events.fold(suggest.accept(predicted(d), d, 1)).select("iuid", "assigned_class", "is_background"))
+on_vectors("rank_distinct", f"""{BANK}, c AS (SELECT a, a % 7 AS pid, max(cos) AS cos FROM q WHERE lb = 'c1' GROUP BY 1), o AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY pid ORDER BY cos DESC, a) = 1)
+SELECT pid, a AS q, round(cos, 6) AS score FROM o ORDER BY round(cos, 6) DESC, a LIMIT 5""", lambda d: suggest.rank_distinct(d.filter("not bank").withColumn("pid", F.col("iuid") % 7), d.filter("bank"), "c1", "pid", 5))
+on_vectors("bank_added", " SELECT iuid, label FROM vec WHERE bank AND label IS NOT NULL OR (iuid % 3 = 0 AND label IS NOT NULL AND label <> '__reject__')", lambda d: suggest.grow_bank(d.filter("bank and label is not null"), d.filter("iuid % 3 = 0")).select("iuid", "label"))
+on_vectors("match_lists", """, k AS (SELECT CASE WHEN lb IS NULL THEN 'pid:' || CAST(b % 7 AS VARCHAR) ELSE 'class:' || lb END AS group_key, b AS iuid, cos FROM sims WHERE a = 1 AND coalesce(lb, '') <> '__reject__'),
+b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY group_key ORDER BY cos DESC, iuid) = 1), l AS (SELECT 'mixed' AS list, * FROM b UNION ALL SELECT CASE WHEN group_key LIKE 'class:%' THEN 'class' ELSE 'pool' END, * FROM b)
+SELECT list, row_number() OVER (PARTITION BY list ORDER BY l.cos DESC, iuid) AS rank, group_key, iuid, round(cos, 6) AS cos FROM l QUALIFY rank <= 4""", lambda d: suggest.matches(_against(d, 1).withColumn("pid", F.col("iuid") % 7), "exact", 4))
+on_vectors("l2_nearest", """, e AS (SELECT a.iuid AS iuid, sqrt(sum(pow(a.x - b.x, 2))) AS dist FROM cell a JOIN cell b ON a.pos = b.pos WHERE b.iuid = 1 AND a.iuid <> 1 GROUP BY 1) SELECT iuid, round(dist, 6) AS dist FROM e""", lambda d: l2_to(d, 1))
+on_vectors("biased_matrix", " SELECT iuid, pos - 1 AS pos, round(x, 6) AS x FROM unit UNION ALL SELECT iuid, 64 + i, 0.5 * CASE i WHEN 0 THEN iuid % 10 ELSE iuid % 7 END FROM vec, range(2) r(i)",
+           lambda d: vectors.biased(d.withColumn("at", F.array((F.col("iuid") % 10).cast("double"), (F.col("iuid") % 7).cast("double"))), "at", 0.5).select("iuid", F.posexplode("matrix").alias("pos", "x")).withColumn("x", F.round("x", 6)))
+on_vectors("propagated", f"{PRED}, g AS (SELECT a, lb, cos FROM sims WHERE la IS NULL AND lb IS NOT NULL AND lb <> '__reject__' QUALIFY row_number() OVER (PARTITION BY a ORDER BY cos DESC, b) = 1) SELECT a AS iuid, lb AS label FROM g WHERE cos >= 0.3",
+           lambda d: vectors.nearest(pool(d), classed(d), 1).filter("cos >= 0.3").select(F.col("q").alias("iuid"), "label"))
+LEVELS = lambda d: vectors.finch(d.select("iuid", "vec", F.lit(None).cast("string").alias("label")))
+on_vectors("finch_labels", None, lambda d: vectors.labels_at(materialize(LEVELS(d), "levels")))
+on_vectors("finch_exact", None, lambda d: vectors.exact_count(d, materialize(LEVELS(d), "levels"), 12))
+on_vectors("kmeans", None, lambda d: vectors.kmeans(d, 8))
+IN_CLASS = """, e AS (SELECT a, b, la FROM sims WHERE la = lb AND la <> '__reject__' QUALIFY row_number() OVER (PARTITION BY a ORDER BY cos DESC, b) = 1), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a AS node, a AS least FROM s UNION SELECT s.b, r.least FROM r JOIN s ON s.a = r.node WHERE r.least < s.b), m AS (SELECT node, min(least) AS c FROM r GROUP BY 1),
+z AS (SELECT label, coalesce(c, iuid) AS c, count(*) AS size FROM vec LEFT JOIN m ON node = iuid WHERE label IS NOT NULL AND label <> '__reject__' GROUP BY 1, 2)"""
+on_vectors("csub_sizes", f"{IN_CLASS} SELECT label, row_number() OVER (PARTITION BY label ORDER BY size DESC, c) - 1 AS sub, size FROM z", lambda d: vectors.clusters_within(classed(d), "label").groupBy("label", F.col("k").alias("sub")).agg(F.count("*").alias("size")))
+on_vectors("image_clusters", None, lambda d: vectors.clusters_within(d, "image_id").select("iuid", "image_id", (F.col("image_id") * 1000 + F.col("k")).alias("cluster")))
 
 QUERIES["youden"] = lambda spark, root: suggest.youden(table(spark, root, "lineitem").select((F.col("l_partkey") % 1000 / 1000).alias("s"), "l_returnflag"), "s", F.col("l_returnflag") == "R")
 ORACLES["youden"] = """WITH x AS (SELECT CAST(l_partkey % 1000 AS DOUBLE) / 1000 AS s, l_returnflag = 'R' AS y FROM lineitem), v AS (SELECT s, count(*) FILTER (y) AS p, count(*) FILTER (NOT y) AS n FROM x GROUP BY 1),
@@ -97,6 +137,11 @@ c AS (SELECT s, round(sum(p) OVER (ORDER BY s DESC) / (SELECT sum(p) FROM v) - s
 SELECT round(s, 6) AS threshold, round(j, 6) AS youden FROM c ORDER BY j DESC, s DESC LIMIT 1"""
 
 
+QUERIES["pr_curve"] = lambda spark, root: suggest.pr_curve(table(spark, root, "lineitem").select((F.col("l_partkey") % 1000 / 1000).alias("s"), "l_returnflag"), "s", F.col("l_returnflag") == "R")
+ORACLES["pr_curve"] = """WITH x AS (SELECT CAST(l_partkey % 1000 AS DOUBLE) / 1000 AS s, l_returnflag = 'R' AS y FROM lineitem), v AS (SELECT s, count(*) FILTER (y) AS p, count(*) AS n FROM x GROUP BY 1)
+SELECT round(s, 6) AS threshold, round(sum(p) OVER w / sum(n) OVER w, 6) AS precision, round(sum(p) OVER w / (SELECT sum(p) FROM v), 6) AS recall FROM v WINDOW w AS (ORDER BY s DESC)"""
+
+
 def feature_health(spark: SparkSession, root: str) -> DataFrame:
     """Per method: vectors, those with a null, NaN or infinite number, and whether the method is usable whole."""
     bad = F.col("vec").isNull() | F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -129,13 +174,11 @@ def match_groups(d: DataFrame, iuid: int) -> DataFrame:
     return best.select("group_key", F.col("b.iuid").alias("iuid"), F.round(-F.col("b.far"), 6).alias("cos"))
 
 
-def class_subclusters(d: DataFrame) -> DataFrame:
-    """(label, sub, size): first-level clusters within each class, numbered by falling size."""
-    rows = classed(d)
-    near = vectors.nearest(rows, rows, 1, per_label=True).join(rows.select(F.col("iuid").alias("q"), F.col("label").alias("own")), "q").filter("label = own")
-    parts = vectors.connected_components(materialize(near.select("q", "r"), "links"), "q", "r")
-    sizes = rows.join(parts.withColumnRenamed("node", "iuid"), "iuid").groupBy("label", "component").agg(F.count("*").alias("size"))
-    return sizes.withColumn("sub", F.expr("row_number() over (partition by label order by size desc, component)")).select("label", "sub", "size")
+def l2_to(d: DataFrame, iuid: int) -> DataFrame:
+    """(iuid, dist): the Euclidean distance of all other rows to one row, which travels as a literal."""
+    row = d.filter(F.col("iuid") == iuid).select("vec").first()
+    target = F.array(*[F.lit(float(x)) for x in row["vec"]]) if row else F.lit(None).cast("array<double>")
+    return d.filter(F.col("iuid") != iuid).withColumn("target", target).select("iuid", F.round(vectors.distance("vec", "target"), 6).alias("dist"))
 
 
 def pca_map(spark: SparkSession, root: str) -> DataFrame:
