@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 
@@ -114,3 +115,44 @@ def otsu(gray: np.ndarray) -> int:
 def rle_area(column):
     """Column: the set pixels of each run-length code; null for null."""
     return F.pandas_udf(lambda counts: counts.map(lambda c: None if c is None else area(c)), "long")(column)
+
+
+def rle_of_box(x, y, w, h, width: int, height: int):
+    """Column: the run-length code of a box on a canvas."""
+    def code(xs, ys, ws, hs):
+        out = []
+        for a, b, c, d in zip(xs, ys, ws, hs):
+            m = np.zeros((height, width), bool)
+            m[b : b + d, a : a + c] = True
+            out.append(encode(m))
+        return pd.Series(out)
+
+    return F.pandas_udf(lambda a, b, c, d: code(a, b, c, d), "string")(x, y, w, h)
+
+
+def rle_iou(a, b, width: int, height: int):
+    """Column: IoU of two run-length codes of one canvas; null for null."""
+    def each(xs, ys):
+        return pd.Series([None if p is None or q is None else iou(decode(p, height, width), decode(q, height, width)) for p, q in zip(xs, ys)], dtype="float64")
+
+    return F.pandas_udf(lambda x, y: each(x, y), "double")(a, b)
+
+
+def rle_covers(code, x: int, y: int, width: int, height: int):
+    """Column: whether the mask has the pixel."""
+    return F.pandas_udf(lambda c: c.map(lambda v: v is not None and bool(decode(v, height, width)[y, x])), "boolean")(code)
+
+
+def rle_of_sizes(height, width):
+    """Column: the code of a whole image of each size."""
+    return F.pandas_udf(lambda h, w: pd.Series([encode(np.ones((int(a), int(b)), bool)) for a, b in zip(h, w)], dtype=object), "string")(height, width)
+
+
+def rle_box(code, height, width):
+    """Column: [x, y, width, height] of the set pixels; null for null, an empty mask and a code of another size."""
+    def one(c, h, w):
+        if c is None or sum(decode_runs(c)) != int(h) * int(w):
+            return None
+        return box(decode(c, int(h), int(w)))
+
+    return F.pandas_udf(lambda c, h, w: pd.Series([one(*r) for r in zip(c, h, w)], dtype=object), "array<int>")(code, height, width)

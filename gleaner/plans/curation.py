@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.operators import activity, boxes, browse, release, stats
+from gleaner.functions import masks
+from gleaner.operators import activity, boxes, browse, models, release, stats
 from gleaner.operators.views import View, class_reviewed, in_pool, is_live, is_member, with_source
 from gleaner.plans.adapters import DIMS, INST, LOG, dim, gate, instances, log
+from gleaner.session import materialize
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -209,6 +211,28 @@ z AS (SELECT g, count(*) AS size FROM m GROUP BY 1 HAVING count(*) <= 10), w AS
              lambda d: boxes.merge_candidates(boxes.pair_features(d.filter(is_live()), reach=0.0).select("iuid_a", "iuid_b", F.col("box_iou").alias("p")), 0.5))
 
 
+def recommended(d: DataFrame) -> DataFrame:
+    """Pairs with their probability of being one object, learned from pairs that share a class and lie well over each other."""
+    pairs = materialize(boxes.pair_features(d.filter(is_live())), "features")
+    merged = (F.col("class_agree") == 1) & (F.col("box_iou") > 0.6)
+    return models.merge_probability(pairs, merged, boxes.hard_negatives(pairs, merged))
+
+
+on_instances("merge_recommender", None, recommended)
+on_instances("recommended_groups", None, lambda d: boxes.merge_candidates(recommended(d), 0.5))
+
+
+def coded(d: DataFrame) -> DataFrame:
+    """Live boxes of the manual source with their masks as run-length codes on the 128 x 128 canvas."""
+    return d.filter(is_live() & (F.col("assign_source") == "manual")).withColumn("rle", masks.rle_of_box("x0", "y0", "bw", "bh", 128, 128))
+
+
+on_instances("mask_areas", "SELECT iuid, CAST(area AS BIGINT) AS area FROM live WHERE assign_source = 'manual'", lambda d: coded(d).select("iuid", masks.rle_area("rle").alias("area")))
+on_instances("mask_pixels", "SELECT iuid, x0 <= 40 AND x1 > 40 AND y0 <= 20 AND y1 > 20 AS covers FROM live WHERE assign_source = 'manual'", lambda d: coded(d).select("iuid", masks.rle_covers("rle", 40, 20, 128, 128).alias("covers")))
+on_instances("mask_ious", f"{PAIRS} SELECT ia AS iuid_a, ib AS iuid_b, round(i / (aa + ab - i), 6) AS iou FROM p WHERE wa = 'manual' AND wb = 'manual'",
+             lambda d: boxes.overlapping_pairs(coded(d)).select(F.col("a.iuid").alias("iuid_a"), F.col("b.iuid").alias("iuid_b"), F.round(masks.rle_iou(F.col("a.rle"), F.col("b.rle"), 128, 128), 6).alias("iou")))
+
+
 def source_links(d: DataFrame) -> DataFrame:
     """Links of the boxes of one source (entries, in order of their ids) with all others of their image at IoU >= 0.2."""
     p = boxes.overlapping_pairs(d.filter(is_live()).select("iuid", "image_id", "x0", "y0", "x1", "y1", "area", (F.col("pid") < 4).alias("entry"))).withColumn("score", boxes.iou()).filter("score >= 0.2")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.operators import events, suggest, vectors
+from gleaner.operators import events, models, suggest, vectors
 from gleaner.plans.adapters import VEC, embedded
 from gleaner.session import materialize
 from gleaner.sources.tables import table
@@ -240,3 +240,5 @@ def factored_lr(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES["pca_map"], QUERIES["factored_lr"] = pca_map, factored_lr
+on_vectors("forest", None, lambda d: models.predicted(classed(d), pool(d), "rf"))
+on_vectors("cv_report", None, lambda d: models.report(classed(d)))

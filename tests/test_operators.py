@@ -143,7 +143,7 @@ def test_scope_duplicates_equal_a_walk(spark):
 
 def test_fold_by_field_and_undo(spark):
     c = spark.createDataFrame([(1, "a", "assign", 1, "x", "m"), (2, "a", "background", 1, None, None), (3, "a", "undo", None, None, None), (4, "b", "unassign", 2, None, None)], "seq long, actor string, op string, iuid long, class string, source string")
-    assert rows(events.fold(c.filter("op != 'undo'"))) == [(1, None, True, "m"), (2, None, False, None)]
+    assert rows(events.fold(c.filter("op != 'undo'")).select("iuid", "assigned_class", "is_background", "assign_source")) == [(1, None, True, "m"), (2, None, False, None)]
     assert rows(events.effective(c).select("seq")) == [(1,), (4,)]
 
 
