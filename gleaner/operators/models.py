@@ -59,7 +59,9 @@ def merge_probability(pairs: DataFrame, merged: Column, negatives: DataFrame) ->
     from pyspark.ml.feature import RobustScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    marked = pairs.withColumn("y", merged.cast("double")).withColumn("w", F.lit(1.0))
+    marked = pairs.withColumn("y", merged.cast("double"))
     train = materialize(marked.filter("y = 1").unionByName(marked.filter("y = 0").join(negatives, ["iuid_a", "iuid_b"], "left_semi").select(*marked.columns)), "pairs")
-    steps = [VectorAssembler(inputCols=FEATURES, outputCol="raw"), RobustScaler(withCentering=True, inputCol="raw", outputCol="features"), LogisticRegression(labelCol="y", maxIter=100, regParam=0.001)]
+    share = train.agg(F.avg("y")).first()[0]  # both sides weigh the same
+    train = train.withColumn("w", F.when(F.col("y") == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9)))
+    steps = [VectorAssembler(inputCols=FEATURES, outputCol="raw"), RobustScaler(withCentering=True, inputCol="raw", outputCol="features"), LogisticRegression(labelCol="y", weightCol="w", maxIter=100, regParam=0.001)]
     return Pipeline(stages=steps).fit(train).transform(marked).select("iuid_a", "iuid_b", vector_to_array("probability")[1].alias("p"))
