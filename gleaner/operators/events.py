@@ -98,6 +98,22 @@ def fold(commands: DataFrame, renames: DataFrame | None = None) -> DataFrame:
     return out.select("iuid", name.alias("assigned_class"), flag("is_background"), F.col("assign_source.v").alias("assign_source"), F.col("assign_score.v").alias("assign_score"), flag("mask_reviewed"))
 
 
+def from_categories(rows: DataFrame, categories: DataFrame, classes: DataFrame, seq: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(commands, new classes) that give rows(iuid, src_category_id) without a class that of their source category, by name.
+
+    categories(category_id, name), classes(class_id, name, coco_cat_id) are lists.
+    A name that no class has becomes a class, which keeps the category's number if it is free.
+    """
+    used = classes.select(F.col("coco_cat_id").alias("category_id"))
+    fresh = categories.join(classes.select("name"), "name", "left_anti").groupBy("name").agg(F.min("category_id").alias("category_id"))
+    pins = fresh.join(used, "category_id", "left_semi").select("name", F.lit(None).cast("int").alias("coco_cat_id")).unionByName(fresh.join(used, "category_id", "left_anti").select("name", F.col("category_id").cast("int").alias("coco_cat_id")))
+    made = pins.select(F.concat(F.lit("c_"), F.substring(F.md5(F.col("name").cast("binary")), 1, 12)).alias("class_id"), "name", "coco_cat_id")
+    known = classes.select("class_id", "name").unionByName(made.select("class_id", "name")).groupBy("name").agg(F.min("class_id").alias("class"))
+    by_id = F.broadcast(categories.join(known, "name").groupBy(F.col("category_id").alias("src_category_id")).agg(F.min("class").alias("class")))
+    free = rows.filter(F.col("assigned_class").isNull() & ~F.col("is_background")).join(by_id, "src_category_id")
+    return free.select(F.lit(seq).alias("seq"), F.lit("assign").alias("op"), "iuid", "class", F.lit("import").alias("source"), F.lit(None).cast("double").alias("score")), made
+
+
 def gates(commands: DataFrame) -> DataFrame:
     """(image_id, gate) by the last release_set of each image; commands(seq, op, image_id, gate). An unknown gate is pending."""
     known = F.when(F.col("gate").isin("accepted", "rejected", "pending"), F.col("gate")).otherwise("pending")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleaner.functions import masks
-from gleaner.operators import activity, boxes, browse, models, release, stats
+from gleaner.operators import activity, boxes, browse, events, models, release, stats
 from gleaner.operators.views import View, class_reviewed, in_pool, is_live, is_member, with_source
 from gleaner.plans.adapters import DIMS, INST, LOG, dim, gate, instances, log
 from gleaner.session import materialize
@@ -211,6 +211,18 @@ z AS (SELECT g, count(*) AS size FROM m GROUP BY 1 HAVING count(*) <= 10), w AS
              lambda d: boxes.merge_candidates(boxes.pair_features(d.filter(is_live()), reach=0.0).select("iuid_a", "iuid_b", F.col("box_iou").alias("p")), 0.5))
 
 
+def categorised(d: DataFrame) -> DataFrame:
+    """Unassigned rows by their source category: the partition's number by threes, of which the first two are known classes."""
+    names = d.sparkSession.createDataFrame([(0, "A"), (1, "R"), (2, "X")], "category_id int, name string")
+    known = d.sparkSession.createDataFrame([("A", "A", 0), ("R", "R", 2)], "class_id string, name string, coco_cat_id int")
+    commands, made = events.from_categories(d.withColumn("src_category_id", (F.col("pid") % 3).cast("int")), names, known)
+    pins = F.broadcast(made.select(F.col("class_id").alias("class"), F.lit(True).alias("is_new"), "coco_cat_id"))
+    return commands.join(pins, "class", "left").select("iuid", F.when(F.col("is_new"), "new").otherwise(F.col("class")).alias("class"), "coco_cat_id")
+
+
+on_instances("assign_categories", "SELECT iuid, CASE pid % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'R' ELSE 'new' END AS class, CAST(NULL AS INT) AS coco_cat_id FROM inst WHERE assigned_class IS NULL AND NOT is_background", categorised)
+
+
 def recommended(d: DataFrame) -> DataFrame:
     """Pairs with their probability of being one object, learned from pairs that share a class and lie well over each other."""
     pairs = materialize(boxes.pair_features(d.filter(is_live())), "features")

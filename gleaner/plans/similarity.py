@@ -181,17 +181,34 @@ def l2_to(d: DataFrame, iuid: int) -> DataFrame:
     return d.filter(F.col("iuid") != iuid).withColumn("target", target).select("iuid", F.round(vectors.distance("vec", "target"), 6).alias("dist"))
 
 
-def pca_map(spark: SparkSession, root: str) -> DataFrame:
-    """(iuid, x, y): the centred vectors on their two leading directions, scaled to [0, 1]."""
+def project(rows: DataFrame, points: DataFrame) -> DataFrame:
+    """(iuid, x, y) of points(iuid, vec) on the two leading directions of rows(iuid, vec), in the frame in which rows fill [0, 1]."""
+    from pyspark.ml import Pipeline
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = embedded(spark, root).select("iuid", array_to_vector(F.col("vec").cast("array<double>")).alias("raw"))
-    centred = StandardScaler(withMean=True, withStd=False, inputCol="raw", outputCol="v").fit(rows).transform(rows)
-    xy = PCA(k=2, inputCol="v", outputCol="p").fit(centred).transform(centred).select("iuid", vector_to_array("p").alias("p"))
-    frame = xy.agg(*[f(F.col("p")[i]).alias(f"{n}{i}") for i in (0, 1) for n, f in (("lo", F.min), ("hi", F.max))])  # one row
+    raw = lambda d: d.select("iuid", array_to_vector(F.col("vec").cast("array<double>")).alias("raw"))
+    fitted = Pipeline(stages=[StandardScaler(withMean=True, withStd=False, inputCol="raw", outputCol="v"), PCA(k=2, inputCol="v", outputCol="p")]).fit(raw(rows))
+    flat = lambda d: fitted.transform(raw(d)).select("iuid", vector_to_array("p").alias("p"))
+    frame = flat(rows).agg(*[f(F.col("p")[i]).alias(f"{n}{i}") for i in (0, 1) for n, f in (("lo", F.min), ("hi", F.max))])  # one row
     scaled = lambda i: ((F.col("p")[i] - F.col(f"lo{i}")) / F.greatest(F.col(f"hi{i}") - F.col(f"lo{i}"), F.lit(1e-9)))
-    return xy.crossJoin(F.broadcast(frame)).select("iuid", scaled(0).alias("x"), scaled(1).alias("y"))
+    return flat(points).crossJoin(F.broadcast(frame)).select("iuid", scaled(0).alias("x"), scaled(1).alias("y"))
+
+
+def pca_map(spark: SparkSession, root: str) -> DataFrame:
+    """(iuid, x, y): the centred vectors on their two leading directions, scaled to [0, 1]."""
+    rows = embedded(spark, root)
+    return project(rows, rows)
+
+
+def map_neighbours(spark: SparkSession, root: str, top: int = 10) -> DataFrame:
+    """The rows nearest on the map to a new point, the mean of the bank."""
+    rows = embedded(spark, root)
+    mean = rows.filter("bank").select(F.posexplode("vec").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("x"))
+    point = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("vec")).select(F.lit(-1).cast("long").alias("iuid"), "vec")  # one row
+    at = F.broadcast(project(rows, point).select(F.col("x").alias("px"), F.col("y").alias("py")))
+    far = F.sqrt((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2)
+    return project(rows, rows).crossJoin(at).select("iuid", F.round(far, 6).alias("distance")).orderBy("distance", "iuid").limit(top)
 
 
 #: Most rows of the pool that serve as negatives.
@@ -239,6 +256,6 @@ def factored_lr(spark: SparkSession, root: str) -> DataFrame:
     return factored(embedded(spark, root))
 
 
-QUERIES["pca_map"], QUERIES["factored_lr"] = pca_map, factored_lr
+QUERIES["pca_map"], QUERIES["map_neighbours"], QUERIES["factored_lr"] = pca_map, map_neighbours, factored_lr
 on_vectors("forest", None, lambda d: models.predicted(classed(d), pool(d), "rf"))
 on_vectors("cv_report", None, lambda d: models.report(classed(d)))
