@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gleaner.operators.components import connected_components
 from gleaner.operators.skew import keyed_join
 from gleaner.session import drop_scratch, materialize
 
+#: Images of more boxes aren't compared box by box, but meet in tiles.
+CROWDED = 256
+
+
 def intersection() -> Column:
     """Common area of boxes a and b."""
     side = lambda d: F.greatest(F.least(f"a.{d}1", f"b.{d}1") - F.greatest(f"a.{d}0", f"b.{d}0"), F.lit(0))
@@ -194,7 +202,12 @@ def merge_representatives(boxes: DataFrame, groups: DataFrame) -> DataFrame:
 def agreement(boxes: DataFrame, least: float = 0.8) -> DataFrame:
     """Per box: the number of distinct sources, its own included, whose boxes agree with it by IoU >= least."""
     p = overlapping_pairs(boxes).filter(iou() >= least)
-    votes = p.select(F.col("a.iuid").alias("iuid"), F.col("b.assign_source").alias("by")).unionByName(p.select(F.col("b.iuid").alias("iuid"), F.col("a.assign_source").alias("by")))
+    return support(boxes, p.select(F.col("a.iuid").alias("a"), F.col("b.iuid").alias("b"), F.col("a.assign_source").alias("sa"), F.col("b.assign_source").alias("sb")))
+
+
+def support(boxes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(iuid, agree): each box's number of distinct sources over itself and its partners in pairs(a, b, sa, sb)."""
+    votes = pairs.select(F.col("a").alias("iuid"), F.col("sb").alias("by")).unionByName(pairs.select(F.col("b").alias("iuid"), F.col("sa").alias("by")))
     own = boxes.select("iuid", F.col("assign_source").alias("by"))
     return own.unionByName(votes).groupBy("iuid").agg(F.countDistinct("by").alias("agree"))
 
@@ -248,12 +261,68 @@ def merge_by_image(rows: DataFrame) -> DataFrame:
     return keyed_join(rows.select("image_id", "iuid"), rep.drop("n"), "image_id").select("iuid", F.when(F.col("iuid") != F.col("rep"), F.col("rep")).alias("merged_into"))
 
 
+def met_by(least: float):
+    """Batches of boxes in runs of one image (hash `image`, its number of boxes `crowd`) with `met`: whether a box of the run has IoU >= least.
+
+    A row of a crowded image counts as met, one with crowd 0 as alone. It errs to
+    the side of met only: equal hashes of two images, not-a-number and null.
+    """
+
+    def meets(t: pa.RecordBatch) -> pa.RecordBatch:
+        image, crowd, x0, y0, x1, y1 = (t.column(c).to_numpy(zero_copy_only=False) for c in ("image", "crowd", "x0", "y0", "x1", "y1"))
+        area = t.column("area").to_numpy(zero_copy_only=False).astype(np.float64)
+        met, i = crowd > CROWDED, np.flatnonzero((crowd > 0) & (crowd <= CROWDED))
+        lag = 1
+        while len(i := i[i + lag < len(image)]) and len(i := i[image[i] == image[i + lag]]):
+            j = i + lag
+            w = (np.minimum(x1[i], x1[j]) - np.maximum(x0[i], x0[j])).astype(np.float64)
+            h = (np.minimum(y1[i], y1[j]) - np.maximum(y0[i], y0[j])).astype(np.float64)
+            both = ~(w <= 0) & ~(h <= 0)
+            common = w * h
+            with np.errstate(all="ignore"):
+                both &= ~(common / (area[i] + area[j] - common + 1e-6) < least - 1e-9)
+            met[i[both]] = met[j[both]] = True
+            lag += 1
+        return pa.RecordBatch.from_arrays([*t.columns, pa.array(met)], names=[*t.schema.names, "met"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the last image, if that isn't crowded
+        for b in batches:
+            if not b.num_rows:
+                continue
+            b = pa.concat_batches([*held, b])
+            image, ends = b.column("image").to_numpy(), b.num_rows
+            if 0 < b.column("crowd")[ends - 1].as_py() <= CROWDED:
+                ends = int(np.flatnonzero(np.r_[True, image[1:] != image[:-1]])[-1])
+            yield meets(b.slice(0, ends))
+            held = [b.slice(ends)] if ends < b.num_rows else []
+        for b in held:
+            yield meets(b)
+
+    return run
+
+
 def pooled_candidates(boxes: DataFrame, same: float = 0.9) -> DataFrame:
-    """(image_id, iuid, agree): the candidates of several generators (assign_source), by their ranks in turn, without near copies of earlier ones, most agreed first."""
-    ranked = boxes.withColumn("turn", F.expr("row_number() over (partition by image_id, assign_source order by score desc, iuid)"))
-    pairs = materialize(overlapping_pairs(ranked).filter(iou() >= same).select(F.col("a.iuid").alias("a"), F.col("b.iuid").alias("b")), "copies")
-    gone = suppress(ranked, pairs, [F.col("turn").alias("t"), F.col("assign_source").alias("s"), F.col("iuid").alias("i")])
-    return ranked.select("image_id", "iuid").join(agreement(boxes, same), "iuid").join(gone.select("iuid"), "iuid", "left_anti").select("image_id", "iuid", "agree")
+    """(image_id, iuid, agree): the candidates of several generators (assign_source), by their ranks in turn, without near copies of earlier ones, most agreed first.
+
+    The rows go by image once, and each image's boxes are compared where they
+    are; only boxes with a near copy, and those of images of more than CROWDED
+    boxes, travel on to tiles and suppression.
+    """
+    cols = ["image_id", "iuid", "assign_source", "x0", "y0", "x1", "y1", "area"]
+    # windows by image leave its rows in one run of one partition
+    ranked = boxes.select(*cols, "score").withColumn("crowd", F.expr("count(*) over (partition by image_id)")).withColumn("turn", F.expr("row_number() over (partition by image_id, assign_source order by score desc, iuid)"))
+    ranked = ranked.select(*cols, "turn", F.xxhash64("image_id").alias("image"), F.when(F.col("image_id").isNotNull(), F.col("crowd")).otherwise(0).alias("crowd"))
+    met = F.col("met")
+    screened = ranked.mapInArrow(met_by(same), T.StructType([*ranked.schema.fields]).add("met", "boolean"))
+    # what only met boxes need is null for the others, so they take little space
+    screened = materialize(screened.select("image_id", "iuid", "met", F.when(~met, F.col("assign_source").isNotNull().cast("long")).alias("agree"), F.when(met, F.struct(*cols[2:], "turn")).alias("box")), "screened")
+    alone = screened.filter(~met & F.col("iuid").isNotNull()).select("image_id", "iuid", "agree")
+    some = screened.filter(met).select("image_id", "iuid", "box.*")
+    pairs = overlapping_pairs(some.drop("turn")).filter(iou() >= same)
+    pairs = materialize(pairs.select(F.col("a.iuid").alias("a"), F.col("b.iuid").alias("b"), F.col("a.assign_source").alias("sa"), F.col("b.assign_source").alias("sb")), "copies")
+    gone = suppress(some, pairs.select("a", "b"), [F.col("turn").alias("t"), F.col("assign_source").alias("s"), F.col("iuid").alias("i")])
+    return alone.unionByName(some.select("image_id", "iuid").join(support(some, pairs), "iuid").join(gone.select("iuid"), "iuid", "left_anti").select("image_id", "iuid", "agree"))
 
 
 def capped_groups(links: DataFrame, most: int | None) -> DataFrame:

@@ -99,6 +99,48 @@ def test_pooled_candidates_take_turns(spark):
     assert got == {1: 2, 3: 1, 4: 1}
 
 
+def pooled_by_walk(rows, same):
+    """The definition, box by box; rows(iuid, image, x0, y0, x1, y1, area, score, source)."""
+    def near(a, b):
+        i = max(0, min(a[4], b[4]) - max(a[2], b[2])) * max(0, min(a[5], b[5]) - max(a[3], b[3]))
+        return None not in (a[1], b[1]) and a[1] == b[1] and i > 0 and i / (a[6] + b[6] - i + 1e-6) >= same
+
+    turn, seen = {}, {}
+    for r in sorted(rows, key=lambda r: (-r[7], r[0])):
+        turn[r[0]] = seen[r[1], r[8]] = seen.get((r[1], r[8]), 0) + 1
+    kept = []
+    for r in sorted(rows, key=lambda r: (turn[r[0]], r[8] is not None, r[8] or "", r[0])):
+        if not any(near(r, k) for k in kept):
+            kept.append(r)
+    return {(r[1], r[0], len({b[8] for b in rows if b is r or near(b, r)} - {None})) for r in kept}
+
+
+BOXES = "iuid long, image_id long, x0 int, y0 int, x1 int, y1 int, area double, score double, assign_source string"
+
+
+@pytest.mark.parametrize("crowded", [256, 12])
+def test_pooled_candidates_equal_a_walk(spark, monkeypatch, crowded):
+    monkeypatch.setattr(boxes, "CROWDED", crowded)
+    r = random.Random(crowded)
+    rows = []
+    for i in range(400):
+        x, y, w, h = r.randrange(3), r.randrange(3), r.choice([0, 30, 31, 32]), r.choice([30, 31, 32])
+        rows.append((i, r.choice([None, 1, 2, 2, 2, *range(3, 60)]), x, y, x + w, y + h, float(w * h), r.randrange(4) / 4, r.choice([None, "s", "t", "u"])))
+    d = spark.createDataFrame(rows, BOXES)
+    assert {tuple(x) for x in boxes.pooled_candidates(d, 0.85).collect()} == pooled_by_walk(rows, 0.85)
+    assert boxes.pooled_candidates(d.limit(0)).count() == 0
+
+
+def test_pooled_candidates_move_lone_boxes_once(spark, monkeypatch):
+    """Boxes without a near copy go to no tiles: only the others reach the overlap join."""
+    reached, pairs = [], boxes.overlapping_pairs
+    monkeypatch.setattr(boxes, "overlapping_pairs", lambda d, *a: reached.append(d.count()) or pairs(d, *a))
+    rows = [(i, i // 4, x := 40 * (i % 4), 0, x + 30, 30, 900.0, 0.5, "s") for i in range(30_000)]
+    rows += [(30_000 + i, i, 1, 0, 31, 30, 900.0, 0.4, "t") for i in range(5)]
+    got = {r["iuid"]: r["agree"] for r in boxes.pooled_candidates(spark.createDataFrame(rows, BOXES)).collect()}
+    assert reached == [10] and got == {i: 2 if i % 4 == 0 and i < 20 else 1 for i in range(30_000)}
+
+
 def test_diversify_picks_one_by_one(spark):
     work = spark.createDataFrame([(i, float(i % 3), i + 1) for i in range(6)], "image_id long, work_est double, rank int")
     shares = spark.createDataFrame([(i, "common" if i < 4 else "rare", 1.0) for i in range(6)], "image_id long, label string, share double")
