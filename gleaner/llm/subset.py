@@ -9,12 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleaner.functions.columns import hex_id
-from gleaner.llm.neighbours import vectors
+from gleaner.llm.neighbours import DIM, vectors
+from gleaner.llm.vector_index import matrix
 from gleaner.operators.skew import keyed_join
 from gleaner.session import drop_scratch, materialize
 from gleaner.sources.tables import table
 
-DIMS, BITS, SAMPLE_ROWS = 9, 7, 32_768
+DIMS, BITS = 9, 7
+#: Steps to a unit for exact sums, and the rows of which products add up below 2**53.
+STEPS, BLOCK = 1 << 20, 1 << 13
 
 
 def hilbert_keys(grid: np.ndarray, bits: int) -> np.ndarray:
@@ -43,20 +46,52 @@ def hilbert_keys(grid: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def fit_grid(features: DataFrame, rows: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Centre, DIMS leading directions and the 2**BITS - 1 evenly spaced cuts of each, from at most ~SAMPLE_ROWS rows.
+def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pos, total): the rows' number, sum and upper triangle of summed products in whole steps, so that no order of adding changes them."""
+    upper = np.triu_indices(DIM)
+
+    def out(n: int, one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
+        total = np.concatenate([[n], one, two[upper]]).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["pos", "total"])
+
+    n, one, two = 0, np.zeros(DIM, np.int64), np.zeros((DIM, DIM), np.int64)
+    for b in batches:
+        every = matrix(b.column("vec"))
+        for start in range(0, len(every), BLOCK):
+            x = np.rint(every[start : start + BLOCK].astype(np.float64) * STEPS)
+            n, one, two = n + len(x), one + x.sum(0).astype(np.int64), two + (x.T @ x).astype(np.int64)
+            if n >= 1 << 22:  # far from the end of 64 bits
+                yield out(n, one, two)
+                n, one, two = 0, np.zeros_like(one), np.zeros_like(two)
+    if n:
+        yield out(n, one, two)
+
+
+def fit_grid(units: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centre, DIMS leading directions and the 2**BITS - 1 evenly spaced cuts of each, from all unit vectors (vec BINARY).
 
     Copies count once, and cuts lie by distance, not by mass, so that a crowd gets the cells that it covers.
     """
-    share = min(1.0, SAMPLE_ROWS / max(rows, 1))
-    raw = vectors(features, as_unit=True, share=share, seed=seed).select("vec").toArrow().column("vec").to_pylist()
-    x = np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1).astype(np.float64) if raw else np.zeros((1, DIMS))
-    x = np.unique(x, axis=0)
-    centre = x.mean(0)
-    _, _, axes = np.linalg.svd((x - centre).T @ (x - centre))
+    parts = units.select("vec").distinct().mapInArrow(sums, "pos int, total long")
+    total = [int(r["total"]) for r in parts.groupBy("pos").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total")).orderBy("pos").collect()]  # a matrix, however many rows
+    if not total:
+        return np.zeros(DIM), np.eye(DIM)[:DIMS], np.zeros((DIMS, (1 << BITS) - 1))
+    n, one = total[0], np.array(total[1 : DIM + 1], object)
+    two = np.zeros((DIM, DIM), object)
+    two[np.triu_indices(DIM)] = total[DIM + 1 :]
+    two = two + np.triu(two, 1).T
+    centre = one.astype(np.float64) / n / STEPS
+    _, _, axes = np.linalg.svd((two * n - np.outer(one, one)).astype(np.float64) / n / STEPS**2)
     axes = axes[:DIMS] * np.sign(axes[:DIMS, np.abs(axes[:DIMS]).argmax(1)].diagonal())[:, None]
-    flat = (x - centre) @ axes.T
-    return centre, axes, np.linspace(flat.min(0), flat.max(0), (1 << BITS) + 1, axis=1)[:, 1:-1]
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                flat = (matrix(b.column("vec")) - centre) @ axes.T
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS, dtype=np.int32)), pa.array(flat.min(0)), pa.array(flat.max(0))], names=["axis", "lo", "hi"])
+
+    reach = units.select("vec").mapInArrow(ends, "axis int, lo double, hi double").groupBy("axis").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("axis").collect()  # DIMS rows
+    return centre, axes, np.linspace([r["lo"] for r in reach], [r["hi"] for r in reach], (1 << BITS) + 1, axis=1)[:, 1:-1]
 
 
 def varied_subset(features: DataFrame, images: DataFrame, size: int) -> DataFrame:
@@ -74,8 +109,7 @@ def varied_subset(features: DataFrame, images: DataFrame, size: int) -> DataFram
     """
     spark = features.sparkSession
     packed = vectors(features, as_unit=True)
-    rows = features.filter(F.col("method") == "dinov2").count()
-    shared = spark.sparkContext.broadcast(fit_grid(features, rows))
+    shared = spark.sparkContext.broadcast(fit_grid(packed))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, axes, cuts = shared.value

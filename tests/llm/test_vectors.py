@@ -169,6 +169,23 @@ def test_hilbert_neighbours_touch(dims, bits):
     assert sorted(keys) == list(range(len(grid))) and (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()
 
 
+def test_subset_grid_is_fitted_on_every_vector(spark, monkeypatch):
+    """Two vectors far from 3,000 others move the centre and widen the cuts; copies, also of another length, count once."""
+    monkeypatch.setattr(subset, "SAMPLE_ROWS", 100, raising=False)
+    fit, got = subset.fit_grid, []
+    monkeypatch.setattr(subset, "fit_grid", lambda *a: got.append(fit(*a)) or got[-1])
+    rng = np.random.default_rng(5)
+    x = (np.eye(64)[0] + 0.02 * rng.standard_normal((3_000, 64))).astype(np.float32)
+    x = np.concatenate([x, -np.eye(64, dtype=np.float32)[:2], np.repeat(x[:1], 500, 0), 2 * x[1:2]])
+    images = spark.createDataFrame([], "iuid binary, image_id long")
+    assert subset.varied_subset(table(spark, hexes(len(x)), x), images, 40).count() == 40
+    (centre, axes, cuts), u = got[0], vector_index.unit(x[:3_002].astype(float))
+    flat = (u - u.mean(0)) @ axes.T
+    assert np.abs(centre - u.mean(0)).max() < 1e-6
+    assert np.abs(axes @ axes.T - np.eye(subset.DIMS)).max() < 1e-9 and np.allclose((flat**2).sum(0), np.linalg.svd(u - u.mean(0))[1][: subset.DIMS] ** 2, rtol=1e-4)
+    assert np.allclose(cuts, np.linspace(flat.min(0), flat.max(0), 129, axis=1)[:, 1:-1], atol=1e-5)
+
+
 def test_subset_has_its_size_and_spreads(spark):
     rng = np.random.default_rng(3)
     crowd = rng.standard_normal(64) + 0.01 * rng.standard_normal((300, 64))
